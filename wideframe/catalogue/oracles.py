@@ -490,4 +490,4 @@ ORACLES["whatif_best"] = f"""WITH {_SWEEP} SELECT l_orderkey, l_linenumber, l_pa
   min(g) FILTER (WHERE p = top) AS best, {r('max(p)')} AS prediction
 FROM (SELECT *, max(p) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS top FROM curve)
 GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, p_size"""
-ORACLES["whatif_curve"] = f"""WITH {_SWEEP} SELECT l_suppkey, g AS l_quantity, {r('avg(p)', 7)} AS response FROM curve GROUP BY 1, 2"""
+ORACLES["whatif_curve"] = f"""WITH {_SWEEP} SELECT l_suppkey, g AS l_quantity, {r('avg(p)', 10)} AS response FROM curve GROUP BY 1, 2"""

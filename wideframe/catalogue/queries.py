@@ -568,7 +568,7 @@ def whatif_curve(spark, sf):
     rows = fx.learn(spark, sf)
     sweep = whatif.sweep_bounds(rows, "l_quantity", 10, 40, 5)
     curve = whatif.sweep_curve(rows, _planted, "l_quantity", sweep, ["l_suppkey"])
-    return rounded(curve.groupBy("l_suppkey", "l_quantity").agg(F.avg("prediction").alias("response")), 7)
+    return rounded(curve.groupBy("l_suppkey", "l_quantity").agg(F.avg("prediction").alias("response")), 10)
 
 
 # --- models --------------------------------------------------------------------------------------
