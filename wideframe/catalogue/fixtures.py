@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wideframe.session import spread
+
 SLOTS = range(1, 8)
 WEEKS = range(14, 40)
 ALL_WEEKS = range(10, 44)
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def line_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The line items, spread over the cores where the table is a single split."""
+    return spread(table(spark, sf, "lineitem"))
+
+
 def _date_text(ship: Column, slot: int) -> Column:
     """A date as text; some orders hold digits, words, empty text or another date spelling instead."""
     kind = (F.col("o_orderkey") + slot) % 7
@@ -31,7 +38,7 @@ def orders_wide(spark: SparkSession, sf: str) -> DataFrame:
     def at(slot: int, value: str) -> Column:
         return F.when(F.col("l_linenumber") == slot, F.col(value))
 
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+    lines = line_items(spark, sf).groupBy("l_orderkey").agg(
         F.count("*").alias("n_lines"),
         *[F.sum(at(i, "l_quantity")).alias(f"rate{i}") for i in SLOTS],
         *[F.min(at(i, "l_returnflag")).alias(f"prod{i}") for i in SLOTS],
@@ -48,7 +55,7 @@ def unit_year_wide(spark: SparkSession, sf: str, weeks: range = WEEKS) -> DataFr
     """Weekly quantity and price of a customer's year in mixed-case columns, with the day of the
     year of the first order as anchor (null in a year without an order)."""
     orders = table(spark, sf, "orders")
-    lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    lines = line_items(spark, sf).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("unit"), F.year("l_shipdate").alias("year"), "l_quantity", "l_extendedprice",
         F.floor((F.dayofyear("l_shipdate") - 1) / 7).alias("week"))
     weekly = lines.groupBy("unit", "year").agg(
@@ -86,7 +93,7 @@ def learn(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with their part and a label made from quantity and size, plus noise from the keys."""
     noise = (F.col("l_partkey") * 7919 + F.col("l_linenumber") * 104729) % 20 - 10
     label = 120 - 0.05 * F.pow(F.col("l_quantity") - 30, F.lit(2)) + 0.8 * F.col("p_size") + noise
-    return (table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return (line_items(spark, sf).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
             .select(*LEARN_KEY, "l_discount", "l_tax", "l_returnflag", "l_linestatus", "p_size", "p_retailprice",
                     "p_brand", label.alias("y")))
 

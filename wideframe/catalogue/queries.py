@@ -16,7 +16,7 @@ from wideframe.operators import categories, columns, filters, folds, profile, ra
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
 from wideframe.plans import models, validation, whatif
-from wideframe.session import stage
+from wideframe.session import spread, stage
 from wideframe.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -578,7 +578,7 @@ NUMERIC = ["l_quantity", "p_size", "l_discount", "l_tax", "p_retailprice"]
 
 def _learn_vectors(spark, sf) -> DataFrame:
     rows = VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(fx.learn(spark, sf))
-    return stage(rows.select(*fx.LEARN_KEY, "p_size", "y", "features"), "learn")
+    return spread(stage(rows.select(*fx.LEARN_KEY, "p_size", "y", "features"), "learn"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -87,18 +88,45 @@ def slot_totals(df: DataFrame, families: Sequence[Family], drop: bool = True) ->
     return df.select(*kept, *[t for f in families for t in f.totals(df.columns)])
 
 
+# What one run of a date-format letter can look like in text.
+FORMAT_SHAPES = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "a": "[AaPp][Mm]"}
+
+
+def format_shape(fmt: str) -> str:
+    """Regex that every text in a date format fits."""
+    runs = re.finditer(r"'([^']*)'|([A-Za-z])\2*|[^A-Za-z']+", fmt)
+    made = []
+    for run in runs:
+        text = run.group(0)
+        if text.startswith("'"):
+            made.append(re.escape(run.group(1)))
+        elif run.group(2):
+            made.append(FORMAT_SHAPES.get(text, r"\d{1,2}"))
+        else:
+            made.append(re.escape(text))
+    return "^" + "".join(made) + "$"
+
+
+def parsed_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Timestamp of a date in one of the formats, else null.
+
+    A text is only parsed with a format whose shape it has: a failed parse is an exception in the
+    engine and costs far more than a regex.
+    """
+    tried = [F.when(text.rlike(format_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    return F.coalesce(*tried)
+
+
 def biweek(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Two-week label of a date in text form.
 
     A date gives the number of its two weeks in the year, other text is kept between underscores,
     digits alone are text, empty text stays empty and null stays null.
     """
-    trimmed = F.trim(text)
-    parsed = F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats])
-    digits = text.rlike(r"^\s*\d+\s*$")
+    parsed = F.when(~text.rlike(r"^\s*\d+\s*$"), parsed_date(F.trim(text), formats))
     label = F.ceil(F.dayofyear(parsed) / F.lit(DAYS_PER_LABEL)).cast("string")
     other = F.when(text == "", text).otherwise(F.concat(F.lit("_"), text, F.lit("_")))
-    return F.when(text.isNull(), F.lit(None)).when(parsed.isNotNull() & ~digits, label).otherwise(other)
+    return F.coalesce(label, other)
 
 
 def biweek_columns(df: DataFrame, cols: Sequence[str], drop: bool = True,

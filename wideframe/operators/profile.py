@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wideframe.operators.columns import quoted
-from wideframe.operators.quantiles import COLUMNS_PER_PASS
 from wideframe.operators.ranks import ROWS_PER_SLICE, average_ranks
+from wideframe.session import stage
 
 
 def null_shares(df: DataFrame) -> dict[str, float | None]:
@@ -72,40 +72,44 @@ def density2d(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
 def spearman(df: DataFrame, cols: Sequence[str], label: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``(feature, corr)``: absolute rank correlation of each column with the label.
 
-    Rows with a null on either side are left out pair by pair. Equal (feature, value, label) cells
-    are counted before the shuffle and the average ranks come from counts of distinct values through
-    range slices, so neither a long column nor a frequent value is handled by one task; the rank
-    look-ups are equi-joins that the adaptive skew join may split.
+    Rows with a null on either side are left out pair by pair, so a column with nulls needs label
+    ranks of its own; all columns without nulls share one ranking. Rows only carry their label's
+    rank and are summed per (feature, value) before the shuffle, and values are then ranked by
+    their counts through range slices: no task holds a whole column or a frequent value's rows.
     """
-    frames = []
-    for start in range(0, len(cols), COLUMNS_PER_PASS):
-        cells = [F.struct(F.lit(c).alias("feature"), quoted(c).cast("double").alias("x")) for c in
-                 cols[start:start + COLUMNS_PER_PASS]]
-        pairs = (
-            df.filter(quoted(label).isNotNull())
-            .select(quoted(label).cast("double").alias("y"),
-                    F.inline(F.filter(F.array(*cells), lambda c: c["x"].isNotNull())))
-            .groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
-        )
-        ranks = {}
-        for side in ("x", "y"):
-            counts = pairs.groupBy("feature", side).agg(F.sum("n").alias("n"))
-            ranks[side] = average_ranks(counts, ["feature"], side, out=f"r{side}", rows_per_slice=rows_per_slice).drop("n")
-        ranked = pairs.join(ranks["x"], ["feature", "x"]).join(ranks["y"], ["feature", "y"])
-        n, rx, ry = F.col("n").cast("double"), F.col("rx"), F.col("ry")
-        sums = ranked.groupBy("feature").agg(
-            F.sum(n).alias("n"), F.sum(n * rx).alias("sx"), F.sum(n * ry).alias("sy"), F.sum(n * rx * ry).alias("sxy"),
-            F.sum(n * rx * rx).alias("sxx"), F.sum(n * ry * ry).alias("syy"))
-        cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-        spread = F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) *
-                        (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")))
-        frames.append(sums.select("feature", F.abs(F.try_divide(cov, spread)).alias("corr")))
+    named = df.filter(quoted(label).isNotNull()).select(
+        quoted(label).cast("double").alias("__y"), *[quoted(c).cast("double").alias(c) for c in cols])
+    counted = named.agg(F.count("*").alias("__n"), *[F.count(quoted(c)).alias(c) for c in cols]).first()
+    shared = [c for c in cols if counted[c] == counted["__n"]]
+    parts = [(named, shared)] if shared else []
+    parts += [(named.filter(quoted(c).isNotNull()), [c]) for c in cols if c not in shared]
+    frames = [_rank_sums(rows, names, rows_per_slice) for rows, names in parts]
     whole = frames[0]
     for frame in frames[1:]:
         whole = whole.unionByName(frame)
     return whole
 
 
+def _rank_sums(rows: DataFrame, cols: Sequence[str], rows_per_slice: int) -> DataFrame:
+    """Rank correlation of columns that are non-null in all of ``rows``."""
+    labels = rows.groupBy("__y").agg(F.count("*").alias("n"))
+    ranked = stage(average_ranks(labels, [], "__y", out="ry", rows_per_slice=rows_per_slice), "label-ranks")
+    total = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("ry")).alias("sy"),
+                       F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("syy")).first()
+    with_rank = rows.join(ranked.select("__y", "ry"), "__y")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), quoted(c).alias("x")) for c in cols])
+    sums = stage(with_rank.select("ry", F.inline(cells)).groupBy("feature", "x").agg(
+        F.count("*").alias("n"), F.sum("ry").alias("ry")), "rank-sums")
+    placed = average_ranks(sums, ["feature"], "x", out="rx", rows_per_slice=rows_per_slice)
+    n, sy, syy = (F.lit(float(total[k] or 0)) for k in ("n", "sy", "syy"))
+    moments = placed.groupBy("feature").agg(
+        F.sum(F.col("n") * F.col("rx")).alias("sx"), F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("sxx"),
+        F.sum(F.col("rx") * F.col("ry")).alias("sxy"))
+    sx = F.col("sx")
+    spread = F.sqrt((F.col("sxx") - sx * sx / n) * (syy - sy * sy / n))
+    return moments.select("feature", F.abs(F.try_divide(F.col("sxy") - sx * sy / n, spread)).alias("corr"))
+
+
 def quad_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Least-squares ``y = c0 + c1 x + c2 x²`` per group; fewer than three distinct x give nulls.
 

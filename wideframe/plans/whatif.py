@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from wideframe.operators.columns import quoted
 
+UNROLLED = 64
+
 Scorer = Callable[[Column], Column] | Transformer
 
 
@@ -22,9 +24,13 @@ class Sweep:
     high: int
     step: int
 
-    def values(self) -> Column:
+    def points(self) -> range:
         if self.high <= self.low:
             raise ValueError("an empty grid")
+        return range(self.low, self.high, self.step)
+
+    def values(self) -> Column:
+        self.points()
         return F.sequence(F.lit(self.low), F.lit(self.high - 1), F.lit(self.step)).cast("array<double>")
 
 
@@ -50,12 +56,19 @@ def sweep_curve(df: DataFrame, scorer: Scorer, col: str, sweep: Sweep, keep: Seq
 def whatif(df: DataFrame, scorer: Scorer, col: str, sweep: Sweep, key: Sequence[str]) -> DataFrame:
     """``(key…, best, prediction)``: the grid value with the highest prediction, the smallest on ties.
 
-    An expression scorer is evaluated in an array inside the row, without a shuffle. A model needs
+    An expression scorer is evaluated in an array inside the row, without a shuffle; a short grid is
+    written out, so that the scores are compiled code. A model needs
     one row per grid value; the maximum is combined before the shuffle, so one row per key travels.
     """
     if not isinstance(scorer, Transformer):
-        scored = F.transform(sweep.values(), lambda x: F.struct(scorer(x).alias("p"), (-x).alias("x")))
-        best = F.array_max(scored)
+        def scored(x: Column) -> Column:
+            return F.struct(scorer(x).alias("p"), (-x).alias("x"))
+
+        points = sweep.points()
+        if len(points) <= UNROLLED:
+            best = F.array_max(F.array(*[scored(F.lit(float(x))) for x in points]))
+        else:
+            best = F.array_max(F.transform(sweep.values(), scored))
         return df.select(*key, best.alias("__b")).select(
             *key, (-F.col("__b.x")).alias("best"), F.col("__b.p").alias("prediction"))
     curve = sweep_curve(df, scorer, col, sweep, key)

@@ -56,3 +56,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = staged_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan or staged table that comes in fewer splits than there are cores.
+
+    For input in a few unsplittable files before work that is heavy per row. A table with enough
+    splits, as any large one has, is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
