@@ -45,20 +45,14 @@ def aligned_window(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """
     sources = {s: cols for s, cols in spec.sources(df.columns).items() if cols}
     week = f"{spec.prefix}Anchor"
-    staged = df.select(
-        *[quoted(c) for c in df.columns], anchor_week(quoted(spec.day)).alias(week),
-        *[F.array(*[F.coalesce(quoted(c).cast("double"), F.lit(0.0)) for c in cols]).alias(f"__{s}")
-          for s, cols in sources.items()])
-
+    staged = df.select(*[quoted(c) for c in df.columns], anchor_week(quoted(spec.day)).alias(week))
     first = F.col(week).cast("int") - F.lit(spec.base)
-    weeks = []
-    for s, cols in sources.items():
-        for i in range(spec.n):
-            position = F.least(F.greatest(first + F.lit(i), F.lit(0)), F.lit(len(cols) - 1))
-            value = F.when(first.isNotNull(), F.get(F.col(f"__{s}"), position))
-            weeks.append(value.alias(f"{spec.prefix}{i:02d}{s}"))
     used = {c for cols in sources.values() for c in cols} if spec.drop else set()
-    windowed = staged.select(*[quoted(c) for c in [*df.columns, week] if c not in used], *weeks)
+    kept = [quoted(c) for c in [*df.columns, week] if c not in used]
+    windowed = staged.select(*kept, *[_slice(cols, first, spec.n).alias(f"__{s}") for s, cols in sources.items()])
+
+    weeks = [F.get(F.col(f"__{s}"), F.lit(i)).alias(f"{spec.prefix}{i:02d}{s}") for s in sources for i in range(spec.n)]
+    aligned = windowed.select(*kept, *weeks)
 
     totals = []
     if spec.totals:
@@ -67,7 +61,15 @@ def aligned_window(df: DataFrame, spec: SeriesSpec) -> DataFrame:
             for i in range(1, spec.n):
                 running = running + F.col(f"{spec.prefix}{i:02d}{s}")
                 totals.append(running.alias(f"{spec.prefix}{i:02d}Total{s}"))
-    return windowed.select(*[quoted(c) for c in windowed.columns], *totals)
+    return aligned.select("*", *totals)
+
+
+def _slice(cols: Sequence[str], first: Column, n: int) -> Column:
+    """``n`` values from position ``first`` on, as one slice of the series padded with its end values."""
+    values = [F.coalesce(quoted(c).cast("double"), F.lit(0.0)) for c in cols]
+    padded = F.concat(F.array_repeat(values[0], n), F.array(*values), F.array_repeat(values[-1], n))
+    start = F.least(F.greatest(first, F.lit(-n)), F.lit(len(cols))) + F.lit(n + 1)
+    return F.when(first.isNotNull(), F.slice(padded, start, F.lit(n)))
 
 
 def attach_unit_record(df: DataFrame, records: DataFrame, on: Sequence[str], order_by: Sequence[str]) -> DataFrame:

@@ -100,7 +100,7 @@ def _rank_sums(rows: DataFrame, cols: Sequence[str], rows_per_slice: int) -> Dat
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), quoted(c).alias("x")) for c in cols])
     sums = stage(with_rank.select("ry", F.inline(cells)).groupBy("feature", "x").agg(
         F.count("*").alias("n"), F.sum("ry").alias("ry")), "rank-sums")
-    placed = average_ranks(sums, ["feature"], "x", out="rx", rows_per_slice=rows_per_slice)
+    placed = average_ranks(sums, ["feature"], "x", out="rx", rows_per_slice=rows_per_slice, staged=True)
     n, sy, syy = (F.lit(float(total[k] or 0)) for k in ("n", "sy", "syy"))
     moments = placed.groupBy("feature").agg(
         F.sum(F.col("n") * F.col("rx")).alias("sx"), F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("sxx"),

@@ -35,12 +35,14 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None,
-                   out: str = "before", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                   out: str = "before", rows_per_slice: int = ROWS_PER_SLICE, staged: bool = False) -> DataFrame:
     """Add ``out``: the total weight (or number) of the rows that come earlier in the same group.
 
     ``by`` + ``order`` must identify a row, so aggregate duplicates first; then even a group that
-    holds most of the table is split evenly by its order values.
+    holds most of the table is split evenly by its order values. The input is written once, so that
+    sizing it and ranking it do not compute it twice; ``staged`` says that it already is a table.
     """
+    df = df if staged else stage(df, "to-rank")
     by, order = list(by), list(order)
     share = F.lit(1).cast("long") if weight is None else F.col(weight)
     zero = F.lit(0).cast("long")
@@ -66,9 +68,9 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], weigh
 
 
 def average_ranks(counts: DataFrame, by: Sequence[str], value: str, n: str = "n", out: str = "rank",
-                  rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                  rows_per_slice: int = ROWS_PER_SLICE, staged: bool = False) -> DataFrame:
     """1-based average rank of each distinct value, given its number of rows ``n``."""
-    placed = running_totals(counts, by, [value], n, "__before", rows_per_slice)
+    placed = running_totals(counts, by, [value], n, "__before", rows_per_slice, staged)
     return placed.withColumn(out, F.col("__before") + (F.col(n) + 1) / F.lit(2.0)).drop("__before")
 
 
