@@ -8,6 +8,7 @@ from wideframe.catalogue.queries import NUMERIC, SEASON
 from wideframe.operators import folds
 from wideframe.plans import features as plan
 from wideframe.plans import models, validation, whatif
+from wideframe.session import stage
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +17,13 @@ def learn(spark, sf):
     return rows.withColumn("id", F.monotonically_increasing_id()).cache()
 
 
-def test_feature_set_round_trip(spark, sf, tmp_path):
-    made = plan.feature_set(fx.season_wide(spark, sf), SEASON)
+@pytest.fixture(scope="module")
+def season(spark, sf):
+    return stage(fx.season_wide(spark, sf), "season")
+
+
+def test_feature_set_round_trip(spark, season, tmp_path):
+    made = plan.feature_set(season, SEASON)
     made.write(str(tmp_path / "set"))
     back = plan.FeatureSet.load(spark, str(tmp_path / "set"))
     assert back.features() == made.features()
@@ -28,8 +34,8 @@ def test_feature_set_round_trip(spark, sf, tmp_path):
     assert "year" in back.labels
 
 
-def test_feature_model_applies_training_statistics(spark, sf):
-    shaped = plan.shape(plan.clean(fx.season_wide(spark, sf), SEASON), SEASON, drop=True)
+def test_feature_model_applies_training_statistics(season):
+    shaped = stage(plan.shape(plan.clean(season, SEASON), SEASON, drop=True), "shaped")
     old, new = shaped.filter("year < 1999"), shaped.filter("year >= 1999")
     fitted = plan.fit_features(old, SEASON)
     out = fitted.transform(new)
@@ -38,16 +44,16 @@ def test_feature_model_applies_training_statistics(spark, sf):
     assert out.dictionary.labels() == fitted.dictionary.labels()
 
 
-def test_shape_to_csv_and_include_ids(spark, sf, tmp_path):
+def test_shape_to_csv_and_include_ids(spark, season, tmp_path):
     from dataclasses import replace
 
     from wideframe.sources.tables import read_csv
 
-    plan.shape_to_csv(fx.season_wide(spark, sf), SEASON, str(tmp_path / "csv"))
+    plan.shape_to_csv(season, SEASON, str(tmp_path / "csv"))
     back = read_csv(spark, str(tmp_path / "csv"))
     assert "date1" not in back.columns and "date1_biweek" in back.columns
     assert "Line_Count" in back.columns and "rate7" not in back.columns
-    shaped = plan.shape(fx.season_wide(spark, sf), SEASON, drop=True)
+    shaped = plan.shape(season, SEASON, drop=True)
     assert "o_custkey" in replace(SEASON, include_ids=True).statistics_columns(shaped)
 
 

@@ -124,6 +124,9 @@ FROM orders, s"""
 ORACLES["fill_mean"] = f"""WITH {ORDERS_WIDE} SELECT o_orderkey,
   {_join(f'{r(f"coalesce(rate{i}, avg(rate{i}) OVER ())", 6)} AS rate{i}' for i in range(1, 5))} FROM wide"""
 
+ORACLES["sample_rows"] = """SELECT least(100, count(*)) AS n_rows, least(100, count(*)) AS n_distinct,
+  least(100, count(*)) AS n_found FROM orders"""
+
 ORACLES["sample_fraction"] = "SELECT count(*) AS orders, 1::BIGINT AS max_sides FROM orders"
 
 # --- flags, slots, labels ------------------------------------------------------------------------
@@ -323,15 +326,23 @@ ORACLES["standardize"] = f"""SELECT p_partkey,
 
 # --- folds ---------------------------------------------------------------------------------------
 
-ORACLES["group_kfold"] = """WITH RECURSIVE sizes AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
-ordered AS (SELECT *, row_number() OVER (ORDER BY n DESC, o_custkey) AS k FROM sizes),
+
+
+def _greedy(source: str, group: str, k: int) -> str:
+    """CTE ``walk``: one group per step, each to the lightest fold so far."""
+    lightest = "list_position(w.loads, list_min(w.loads))"
+    return f"""RECURSIVE sizes AS (SELECT {group} AS g, count(*) AS n FROM {source} GROUP BY 1),
+ordered AS (SELECT *, row_number() OVER (ORDER BY n DESC, g) AS k FROM sizes),
 walk AS (
-  SELECT 0::BIGINT AS k, NULL::BIGINT AS o_custkey, NULL::BIGINT AS n, NULL::INT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS g, NULL::BIGINT AS n, NULL::INT AS fold, [{_join('0' for _ in range(k))}]::BIGINT[] AS loads
   UNION ALL
-  SELECT o.k, o.o_custkey, o.n, CAST(list_position(w.loads, list_min(w.loads)) - 1 AS INT),
-    list_transform(w.loads, lambda x, i: CASE WHEN i = list_position(w.loads, list_min(w.loads)) THEN x + o.n ELSE x END)
-  FROM walk w JOIN ordered o ON o.k = w.k + 1)
-SELECT o_custkey, fold, n AS n_rows FROM walk WHERE k > 0"""
+  SELECT o.k, o.g, o.n, CAST({lightest} - 1 AS INT),
+    list_transform(w.loads, lambda x, i: CASE WHEN i = {lightest} THEN x + o.n ELSE x END)
+  FROM walk w JOIN ordered o ON o.k = w.k + 1)"""
+
+
+ORACLES["group_kfold"] = f"""WITH {_greedy('orders', 'o_custkey', 5)}
+SELECT g AS o_custkey, fold, n AS n_rows FROM walk WHERE k > 0"""
 
 ORACLES["hash_fold"] = """SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_groups, 0::BIGINT AS split,
   0 AS first_fold, 3 AS last_fold FROM orders"""
@@ -491,3 +502,17 @@ ORACLES["whatif_best"] = f"""WITH {_SWEEP} SELECT l_orderkey, l_linenumber, l_pa
 FROM (SELECT *, max(p) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS top FROM curve)
 GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, p_size"""
 ORACLES["whatif_curve"] = f"""WITH {_SWEEP} SELECT l_suppkey, g AS l_quantity, {r('avg(p)', 10)} AS response FROM curve GROUP BY 1, 2"""
+
+# --- models --------------------------------------------------------------------------------------
+
+ORACLES["nested_cv"] = f"""WITH {_greedy('lineitem', 'l_suppkey', 3)}
+SELECT fold, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups, true AS beats_mean FROM walk WHERE k > 0 GROUP BY fold"""
+ORACLES["stacking"] = """SELECT unnest(['boosted', 'forest', 'stacked']) AS model, (SELECT count(*) FROM lineitem) AS n_samples,
+  true AS beats_mean"""
+ORACLES["leaderboard"] = """SELECT unnest(['boosted', 'forest', 'elastic_net']) AS model,
+  (SELECT count(*) FROM lineitem) AS n_samples, true AS beats_mean"""
+ORACLES["tree_importance"] = "SELECT unnest(['weight', 'gain']) AS kind, true AS complete, 'l_quantity' AS top"
+ORACLES["error_trace"] = "SELECT unnest(['train', 'test']) AS dataset, 6::BIGINT AS iterations, true AS fell"
+ORACLES["decision_paths"] = "SELECT unnest([0, 1]) AS tree, count(*) AS leaves, count(*) AS starts, 0::BIGINT AS broken FROM lineitem"
+ORACLES["decision_replay"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM lineitem"
+ORACLES["whatif_model"] = "SELECT count(*) AS n_rows, count(*) AS near_optimum FROM lineitem"

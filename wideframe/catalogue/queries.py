@@ -127,8 +127,12 @@ def sample_fraction(spark, sf):
 
 @query
 def sample_rows(spark, sf):
-    """The sampling operator: as many rows as asked for, all of them from the table."""
-    return filters.sample_n(fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 100, seed=5)
+    """The sampling operator: as many rows as asked for, no row twice, all of them from the table."""
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    sampled = stage(filters.sample_n(orders, 100, seed=5), "sampled")
+    known = orders.withColumn("known", F.lit(1))
+    return sampled.join(known, ["o_orderkey", "o_totalprice"], "left").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("o_orderkey").alias("n_distinct"), F.count("known").alias("n_found"))
 
 
 # --- flags, slots, labels ------------------------------------------------------------------------
@@ -572,6 +576,9 @@ def whatif_curve(spark, sf):
 
 
 # --- models --------------------------------------------------------------------------------------
+# Fitted trees differ from engine to engine, so these report what must hold whatever the trees are:
+# every row predicted by a model that did not see its group, paths that end in the model's own
+# prediction, errors below those of the mean.
 
 NUMERIC = ["l_quantity", "p_size", "l_discount", "l_tax", "p_retailprice"]
 
@@ -581,42 +588,62 @@ def _learn_vectors(spark, sf) -> DataFrame:
     return spread(stage(rows.select(*fx.LEARN_KEY, "p_size", "y", "features"), "learn"))
 
 
+def _beside_mean(reports: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each report's number of rows, and whether its error is below that of the overall mean."""
+    guess = scores.baseline_score(rows, rows).first()["abs_mean"]
+    return reports.select("model", "n_samples", (F.col("abs_mean") < F.lit(guess)).alias("beats_mean"))
+
+
 @query
 def nested_cv(spark, sf):
-    """Outer scores beside those of the training mean; customers' hold-out rows are not used here."""
+    """Rows tested per outer fold, groups that were also trained on, and whether the model beat the mean."""
     result = validation.nested_cv(
-        _learn_vectors(spark, sf), "y", "l_suppkey", fx.LEARN_KEY, models.param_grid({"maxDepth": [3, 4]}), NUMERIC,
-        outer=3, inner=2, n_outer=2, rounds=6, patience=3)
-    return result.outer
+        _learn_vectors(spark, sf), "y", "l_suppkey", fx.LEARN_KEY, models.param_grid({"maxDepth": [2, 3]}), NUMERIC,
+        outer=3, inner=2, rounds=4, patience=2, parallelism=4, with_importance=False)
+    tested = result.predictions.groupBy(folds.FOLD).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("l_suppkey").alias("n_groups"))
+    better = result.outer.select(folds.FOLD, (F.col("test_abs") < F.col("guess_abs")).alias("beats_mean"))
+    return tested.join(better, folds.FOLD)
 
 
 @query
 def stacking(spark, sf):
-    """Score of each base model's out-of-fold predictions."""
+    """The base models' out-of-fold predictions and the stacked model, each beside the mean."""
+    rows = _learn_vectors(spark, sf)
     base = {"boosted": models.boosted("y", maxIter=5, maxDepth=3), "forest": models.forest("y", numTrees=8, maxDepth=5)}
-    _, oof = validation.stack(_learn_vectors(spark, sf), "y", "l_suppkey", fx.LEARN_KEY[:2], base, k=2,
-                              meta={"maxIter": 5})
-    return scores.stack_units([scores.score(oof, "y", n).withColumn("model", F.lit(n)) for n in base])
+    model, oof = validation.stack(rows, "y", "l_suppkey", fx.LEARN_KEY[:2], base, k=2, meta={"maxIter": 5}, parallelism=4)
+    reports = [scores.score(oof, "y", n).withColumn("model", F.lit(n)) for n in base]
+    reports.append(scores.score(model.transform(rows), "y", "prediction").withColumn("model", F.lit("stacked")))
+    return _beside_mean(scores.stack_units(reports), rows)
 
 
 @query
 def leaderboard(spark, sf):
+    rows = _learn_vectors(spark, sf)
     entries = models.candidates(["boosted", "forest", "elastic_net"], "y", params={
         "boosted": {"maxIter": 5, "maxDepth": 3}, "forest": {"numTrees": 8, "maxDepth": 5}})
-    return validation.leaderboard(_learn_vectors(spark, sf), "y", "l_suppkey", fx.LEARN_KEY[:2], entries, k=2)
+    return _beside_mean(validation.leaderboard(rows, "y", "l_suppkey", fx.LEARN_KEY[:2], entries, k=2), rows)
 
 
 @query
 def tree_importance(spark, sf):
+    """Whether split counts add up to the splits of the trees and gains to one, with the top feature."""
     model = models.boosted("y", maxIter=5, maxDepth=4).fit(_learn_vectors(spark, sf))
-    return models.importance(model, NUMERIC, spark)
+    wanted = {"weight": sum(t.numNodes // 2 for t in model.trees), "gain": 1.0}
+    return scores.stack_units([
+        models.importance(model, NUMERIC, spark, kind).agg(
+            (F.abs(F.sum("weight") - F.lit(total)) < 1e-6).alias("complete"), F.max_by("feature", "weight").alias("top"))
+        .withColumn("kind", F.lit(kind)) for kind, total in wanted.items()])
 
 
 @query
 def error_trace(spark, sf):
+    """Iterations traced per dataset, and whether the error fell from the first to the last."""
     train, test = folds.train_test(_learn_vectors(spark, sf), 0.3, fx.LEARN_KEY)
     model = models.boosted("y", maxIter=6, maxDepth=3).fit(train)
-    return models.error_trace(model, {"train": train, "test": test})
+    return models.error_trace(model, {"train": train, "test": test}).groupBy("dataset").agg(
+        F.count("*").alias("iterations"),
+        (F.max_by("error", "iteration") < F.min_by("error", "iteration")).alias("fell"))
 
 
 @query
@@ -629,19 +656,37 @@ def forest_epochs(spark, sf):
 
 @query
 def decision_paths(spark, sf):
+    """Per tree: rows that reach a leaf, and rows whose path breaks the test it reports."""
+    rows = _learn_vectors(spark, sf)
+    model = models.boosted("y", maxIter=2, maxDepth=3).fit(rows)
+    paths = models.decision_paths(model, rows, NUMERIC, fx.LEARN_KEY)
+    leaf = F.col("leaf_prediction").isNotNull()
+    return paths.groupBy("tree").agg(
+        F.count_if(leaf).alias("leaves"), F.count_if(F.col("level") == 0).alias("starts"),
+        F.count_if(~leaf & ((F.col("sign") == "<=") != (F.col("value") <= F.col("threshold")))).alias("broken"))
+
+
+@query
+def decision_replay(spark, sf):
+    """Rows whose leaf values, weighted by tree, do not add up to the model's prediction."""
     rows = _learn_vectors(spark, sf)
     model = models.boosted("y", maxIter=2, maxDepth=3).fit(rows)
-    return models.decision_paths(model, rows, NUMERIC, fx.LEARN_KEY[:4])
+    weights = F.array(*[F.lit(float(w)) for w in model.treeWeights])
+    leaves = models.decision_paths(model, rows, NUMERIC, fx.LEARN_KEY).filter("leaf_prediction is not null")
+    replayed = leaves.groupBy(*fx.LEARN_KEY).agg(F.sum(F.col("leaf_prediction") * F.get(weights, F.col("tree"))).alias("sum"))
+    both = model.transform(rows).join(replayed, fx.LEARN_KEY)
+    return both.agg(F.count("*").alias("n_rows"),
+                    F.count_if(F.abs(F.col("sum") - F.col("prediction")) > 1e-6).alias("n_off"))
 
 
 @query
 def whatif_model(spark, sf):
-    """The sweep with a trained model: how often each grid value is the best one."""
-    full = fx.learn(spark, sf).select(*fx.LEARN_KEY, *[c for c in NUMERIC if c not in fx.LEARN_KEY], "y")
+    """The sweep with a trained model: rows swept, and rows whose best value is near the planted optimum of 30."""
+    full = spread(stage(fx.learn(spark, sf).select(*fx.LEARN_KEY, *[c for c in NUMERIC if c not in fx.LEARN_KEY], "y"), "learn"))
     pipeline, _ = categories.feature_pipeline(full, NUMERIC)
     model = models.boosted("y", maxIter=5, maxDepth=4).fit(pipeline.transform(full))
     sweep = whatif.sweep_bounds(full, "l_quantity", 10, 40, 5)
     keyed = full.withColumn("planted", F.col("l_quantity"))
     key = [c for c in fx.LEARN_KEY if c != "l_quantity"] + ["planted"]
     best = whatif.whatif(keyed, PipelineModel([pipeline, model]), "l_quantity", sweep, key)
-    return best.groupBy("best").agg(F.count("*").alias("rows"), F.avg("prediction").alias("prediction"))
+    return best.agg(F.count("*").alias("n_rows"), F.count_if(F.col("best").between(20, 40)).alias("near_optimum"))
