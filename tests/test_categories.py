@@ -82,6 +82,15 @@ def test_dummy_model_is_saved_and_loaded(spark, train, test_rows, tmp_path):
     assert "p" in out[0].asDict() and not [c for c in out[0].asDict() if c.startswith("__")]
 
 
+def test_encoder_as_a_pipeline_stage(train, test_rows):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    stages = [cats.DummyEncoder(["p"], "hot"), VectorAssembler(inputCols=["hot"], outputCol="features")]
+    out = Pipeline(stages=stages).fit(train).transform(test_rows).orderBy("id").collect()
+    assert [r["features"].toArray().tolist() for r in out] == [[0, 1, 0], [0, 0, 0], [1, 0, 0]]
+
+
 def test_feature_pipeline_scales_numbers_only(spark):
     df = spark.createDataFrame([(1.0, "a"), (3.0, "b")], "x double, s string")
     model, names = cats.feature_pipeline(df, ["x"], ["s"], scale=True)

@@ -131,9 +131,17 @@ def biweek(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
 
 def biweek_columns(df: DataFrame, cols: Sequence[str], drop: bool = True,
                    formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """Add ``<col>_biweek`` for each date column."""
+    """Add ``<col>_biweek`` for each date column.
+
+    The columns go through one expression as an array: a copy of all formats per column would make
+    more generated code than the parsing is worth.
+    """
     kept = [quoted(c) for c in df.columns if not (drop and c in cols)]
-    return df.select(*kept, *[biweek(quoted(c), formats).alias(f"{c}_biweek") for c in cols])
+    if not cols:
+        return df.select(*kept)
+    labels = F.transform(F.array(*[quoted(c).cast("string") for c in cols]), lambda d: biweek(d, formats))
+    return df.select(*kept, labels.alias("__labels")).select(
+        *kept, *[F.get("__labels", F.lit(i)).alias(f"{c}_biweek") for i, c in enumerate(cols)])
 
 
 def normalized_label(value: Column, nulls: Sequence[str] = NULL_LABELS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,6 +195,17 @@ def dummy_pipeline(df: DataFrame, cols: Sequence[str], output: str = "dummies")
     return Pipeline(stages=stages).fit(df.limit(1)), names
 
 
+class DummyEncoder(Estimator):
+    """``dummy_pipeline`` as a pipeline stage: fitted on training rows, it becomes the saved encoder."""
+
+    def __init__(self, cols: Sequence[str], output: str = "dummies"):
+        super().__init__()
+        self.cols, self.output = list(cols), output
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        return dummy_pipeline(dataset, self.cols, self.output)[0]
+
+
 def feature_pipeline(df: DataFrame, numeric: Sequence[str], labels: Sequence[str] = (), scale: bool = False,
                      output: str = "features") -> tuple[PipelineModel, list[str]]:
     """Numeric columns (optionally standardised) and dummies assembled into one vector."""

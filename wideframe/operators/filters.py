@@ -139,7 +139,8 @@ def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` random rows without replacement (top-n on a random key; no full sort)."""
+    """``n`` random rows without replacement: top-n on a random key, no full sort. All ``n`` rows meet in
+    one task, so take a share with ``sample_frac`` where many are wanted."""
     return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
 
 

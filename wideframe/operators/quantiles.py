@@ -149,7 +149,6 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     by = list(by)
     rows = df.select(*by, F.col(f"`{value}`").cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
-    # An integer percentage list keeps the sketch's two ends per probability foldable.
     if (sizes.agg(F.max("__n")).first()[0] or 0) <= small:
         return rows.groupBy(*by).agg(F.percentile("__v", _array(probs)).alias("quantiles"))
 
