@@ -352,20 +352,19 @@ ORACLES["leakage_check"] = "SELECT 0::BIGINT AS shared, unnest([0, 1, 2]) AS fol
 # --- scores --------------------------------------------------------------------------------------
 
 
-def _moments(pred: str = "pred") -> str:
+def _moments(pred: str = "pred", places: int = 4, square_places: int = 4) -> str:
     e, p = f"abs(y - {pred})", f"(abs(y - {pred}) / nullif(y, 0) * 100)"
-    return _join([
-        "count(*) AS n_samples", f"{r(f'avg({e} ** 2)')} AS sq_mean",
-        f"{r(f'1 - sum({e} ** 2) / (var_pop(y) * count(*))')} AS r2", f"{r(f'avg({e})')} AS abs_mean",
-        f"{r(f'stddev_pop({e})')} AS abs_std", f"{r(f'max({e})')} AS abs_max",
-        f"{r(f'avg({e}) + 3 * stddev_pop({e})')} AS abs_std_3", f"{r(f'avg({p})')} AS percent_mean",
-        f"{r(f'stddev_pop({p})')} AS percent_std", f"{r(f'max({p})')} AS percent_max",
-        f"{r(f'median({e})')} AS abs_median", f"{r(f'quantile_cont({e}, 0.9)')} AS abs_p90",
-        f"{r(f'quantile_cont({e}, 0.95)')} AS abs_p95", f"{r(f'quantile_cont({e}, 0.99)')} AS abs_p99"])
+    cells = {
+        "r2": f"1 - sum({e} ** 2) / (var_pop(y) * count(*))", "abs_mean": f"avg({e})", "abs_std": f"stddev_pop({e})",
+        "abs_max": f"max({e})", "abs_std_3": f"avg({e}) + 3 * stddev_pop({e})", "percent_mean": f"avg({p})",
+        "percent_std": f"stddev_pop({p})", "percent_max": f"max({p})", "abs_median": f"median({e})",
+        "abs_p90": f"quantile_cont({e}, 0.9)", "abs_p95": f"quantile_cont({e}, 0.95)", "abs_p99": f"quantile_cont({e}, 0.99)"}
+    return _join(["count(*) AS n_samples", f"{r(f'avg({e} ** 2)', square_places)} AS sq_mean",
+                  *[f"{r(v, places)} AS {k}" for k, v in cells.items()]])
 
 
 ORACLES["score_report"] = f"WITH {PREDS} SELECT {_moments()} FROM preds"
-ORACLES["score_by_unit"] = f"WITH {PREDS} SELECT unit, {_moments()} FROM preds GROUP BY unit"
+ORACLES["score_by_unit"] = f"WITH {PREDS} SELECT unit, {_moments(places=6, square_places=2)} FROM preds GROUP BY unit"
 ORACLES["score_pooled"] = f"WITH {PREDS} SELECT {_moments()} FROM preds"
 ORACLES["score_bounds"] = f"""WITH {ERRORS} SELECT fold, {r('1 - sum(err ** 2) / (var_pop(y) * count(*))')} AS r2,
   {r('avg(err ** 2)')} AS sq_mean, {r('avg(err)')} AS abs_mean, {r('stddev_pop(err)')} AS abs_std, {r('max(err)')} AS abs_max,

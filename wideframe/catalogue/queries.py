@@ -383,7 +383,8 @@ def score_report(spark, sf):
 
 @query
 def score_by_unit(spark, sf):
-    return rounded(scores.score(fx.preds(spark, sf), by=["unit"]))
+    report = scores.score(fx.preds(spark, sf), by=["unit"]).withColumn("sq_mean", F.round("sq_mean", 2))
+    return rounded(report, 6)
 
 
 @query
