@@ -4,19 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import staged_path
+from .chat import assemble, conversation_digests, extra_turns
+from .near_duplicates import near_duplicates
 from .repeats import repeated_passages
+from .search import quantised, top_products
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", quantised().alias("vector"))
+    return top_products(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = _vocabulary("byte_bpe_50k.json")
+    said = r"\### Assistant: </turn> ok"
+    more = extra_turns(spark, -7, [("user", said), ("assistant", said)])
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return conversation_digests(assemble(turns, vocabulary), vocabulary)
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"), digest_only=True).withColumnRenamed("kept_text", "kept_sha256")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A cache of its own for each run, so that the query always does all of its work.
+    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), staged_path(spark, "token-cache"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_top_products": op2_top_products,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_chat": op7_chat,
     "op9_repeats": op9_repeats,
+    "op10_token_counts": op10_token_counts,
 }
