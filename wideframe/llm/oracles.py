@@ -1,9 +1,15 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from . import decontaminate, mixing, secrets
+
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {}
 
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
 ORACLES["op9_repeats"] = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
 at AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS i FROM w),
@@ -52,3 +58,107 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(19 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+
+def _matches(kind: str, pattern: str, keep: str = "true", group: int = 0) -> str:
+    """Spans of one kind: running sums over the gaps and matches of each text."""
+    p = _quoted(pattern)
+    return f"""
+    SELECT doc_id, {secrets.KINDS.index(kind)} AS rank, '{kind}' AS kind, stop - length(hit) AS start, stop FROM (
+        SELECT doc_id, hit, value, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+            SELECT doc_id, unnest(range(1, len(regexp_extract_all(t, {p})) + 1)) AS i, unnest(regexp_extract_all(t, {p})) AS hit,
+                   unnest(regexp_extract_all(t, {p}, {group})) AS value,
+                   unnest(regexp_split_to_array(t, {p})[1:len(regexp_extract_all(t, {p}))]) AS gap FROM d)) WHERE {keep}"""
+
+
+_OPAQUE = f"length(value) >= {secrets.LEAST_OPAQUE} AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')"
+_SPANS = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop), '')"
+ORACLES["op3_secrets"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_matches("assign", secrets.ASSIGN, f"length(value) >= {secrets.LEAST_VALUE}", 1)} UNION ALL {_matches("access", secrets.ACCESS)}
+    UNION ALL {_matches("hex", secrets.HEX)}),
+weak AS ({_matches("identity", secrets.IDENTITY)} UNION ALL {_matches("opaque", secrets.OPAQUE.replace("*+", "*"), _OPAQUE)}
+    UNION ALL {_matches("endpoint", secrets.ENDPOINT)}),
+parts AS (SELECT *, CASE WHEN kind IN ('access', 'identity') THEN 'identity' WHEN kind = 'endpoint' THEN 'endpoint' ELSE 'secret' END AS role
+          FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+linked AS (SELECT * FROM parts a WHERE kind IN ('identity', 'opaque', 'endpoint') AND EXISTS (
+    SELECT 1 FROM parts b WHERE a.doc_id = b.doc_id AND b.start <= a.stop + {secrets.SCOPE} AND b.stop >= a.start - {secrets.SCOPE}
+    AND (b.start >= a.stop OR b.stop <= a.start) AND (a.role = 'secret') <> (b.role = 'secret'))),
+one AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+               count(*) FILTER (kind = 'hex') AS n_hex, {_SPANS} AS spans FROM base GROUP BY doc_id),
+every AS (SELECT doc_id, {_SPANS} AS spans FROM (SELECT doc_id, kind, start, rank, stop FROM base
+          UNION ALL SELECT doc_id, kind, start, rank, stop FROM linked) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(one.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans
+FROM d LEFT JOIN one USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
+def _tokens(text: str) -> str:
+    out = f"translate(coalesce({text}, ''), '«»', '  ')"
+    out = f"regexp_replace({out}, {_quoted(decontaminate.NAME)}, '\\1«e:\\2»', 'g')"
+    out = f"regexp_replace({out}, {_quoted(decontaminate.NUMBER)}, ' «n:\\1» ', 'g')"
+    out = f"regexp_replace({out}, {_quoted(decontaminate.UNIT)}, '\\1 «u:\\2» ', 'g')"
+    return f"regexp_extract_all(lower({out}), {_quoted(decontaminate.TOKEN)})"
+
+
+_TEMPLATE = "array_to_string(list_transform(w, lambda x: CASE WHEN starts_with(x, '«') THEN x[1:2] ELSE x END), ' ')"
+_N = decontaminate.WINDOW
+ORACLES["op4_decontaminate"] = f"""
+WITH items AS (SELECT item_id, {_tokens("text")} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item_id, ws, least(len(ws), {_N}) AS size FROM items WHERE len(ws) > 0),
+item_windows AS (SELECT item_id, size, pos, w AS iw, {_TEMPLATE} AS t FROM (
+    SELECT item_id, size, i - 1 AS pos, ws[i:i + size - 1] AS w FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM sized))
+    WHERE len(list_filter(w, lambda x: NOT starts_with(x, '«'))) >= {decontaminate.LITERAL} * size),
+n_of AS (SELECT item_id, count(DISTINCT pos) AS n FROM item_windows GROUP BY item_id),
+texts AS (SELECT doc_id, {_tokens("text")} AS ws FROM documents WHERE doc_id IS NOT NULL),
+doc_windows AS (SELECT doc_id, size, place, w AS dw, {_TEMPLATE} AS t FROM (
+    SELECT doc_id, size, i - 1 AS place, ws[i:i + size - 1] AS w FROM (
+        SELECT doc_id, ws, size, unnest(range(1, greatest(len(ws) - size + 2, 1))) AS i FROM texts, (SELECT DISTINCT size FROM item_windows)))),
+hits AS (SELECT doc_id, item_id, place - pos AS shift, pos, iw, dw FROM doc_windows JOIN item_windows USING (size, t)),
+slots AS (SELECT doc_id, item_id, shift, p[1] AS mine, p[2] AS theirs FROM (SELECT *, unnest(list_zip(iw, dw)) AS p FROM hits) WHERE starts_with(p[1], '«')),
+odd AS (SELECT DISTINCT doc_id, item_id, shift FROM slots GROUP BY doc_id, item_id, shift, mine HAVING count(DISTINCT theirs) > 1),
+other AS (SELECT DISTINCT doc_id, item_id, shift FROM slots WHERE mine <> theirs),
+found AS (SELECT doc_id, item_id, shift FROM hits JOIN n_of USING (item_id) GROUP BY doc_id, item_id, shift
+          HAVING count(DISTINCT pos) >= least(max(n), {decontaminate.RUN})),
+kept AS (SELECT doc_id, item_id, max(CASE WHEN other.shift IS NULL THEN 1 ELSE 0 END) AS exact
+         FROM (SELECT * FROM found ANTI JOIN odd USING (doc_id, item_id, shift)) LEFT JOIN other USING (doc_id, item_id, shift) GROUP BY doc_id, item_id),
+docs AS (SELECT doc_id, count(*) AS n_items, CAST(sum(exact) AS BIGINT) AS n_exact, string_agg(item_id, ',' ORDER BY item_id) AS items FROM kept GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(n_exact, 0) AS n_exact, coalesce(items, '') AS items
+FROM documents LEFT JOIN docs USING (doc_id)"""
+
+
+def _weight(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {mixing.DEFAULT_WEIGHT} END" if weights else str(mixing.DEFAULT_WEIGHT)
+
+
+def _level(depth: int) -> str:
+    """The shares of one level of the tree, by running sums over siblings from the first to be full."""
+    names, weights = mixing.TREE, (mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, {})
+    here, parent, child = ", ".join(names[:depth + 1]), ", ".join(names[:depth]), names[depth]
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"{by} ORDER BY CAST(capacity AS DOUBLE) / weight, {child}"
+    budget = "(SELECT sum(tokens) * {0} // {1} FROM leaf)".format(*mixing.PART_OF_TOKENS) if not depth else "share"
+    nodes = f"(SELECT {here}, sum(tokens) * {mixing.EPOCHS} AS capacity FROM leaf GROUP BY {here})"
+    source = nodes if not depth else f"{nodes} JOIN (SELECT {parent}, share FROM level{depth - 1}) USING ({parent})"
+    return f"""
+a{depth} AS (SELECT {here}, capacity, {_weight(child, weights[depth])} AS weight, {budget} AS budget FROM {source}),
+b{depth} AS (SELECT *, coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+       sum(weight) OVER ({by}) - coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM a{depth}),
+c{depth} AS (SELECT *, capacity * open <= (budget - filled) * weight AS is_full FROM b{depth}),
+e{depth} AS (SELECT *, budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({by}) AS rest,
+       sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}) AS whole,
+       sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS run FROM c{depth}),
+level{depth} AS (SELECT {here}, CASE WHEN is_full THEN capacity ELSE (rest * run) // whole - (rest * (run - weight)) // whole END AS share FROM e{depth})"""
+
+
+_NUMBER = "regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)"
+_DOMAIN = f"CASE WHEN {_NUMBER} = '' THEN 'other' ELSE {list(mixing.DOMAINS)}[CAST({_NUMBER} AS BIGINT) % {len(mixing.DOMAINS)} + 1] END"
+ORACLES["op5_mixture"] = f"""
+WITH d AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS tokens FROM documents WHERE doc_id IS NOT NULL),
+leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM d WHERE tokens > 0 GROUP BY ALL),
+{_level(0)}, {_level(1)}, {_level(2)},
+plan AS (SELECT domain, lang, source, share // leaf.tokens AS whole, share % leaf.tokens AS rest FROM leaf JOIN level2 USING (domain, lang, source) WHERE share > 0),
+r AS (SELECT d.*, whole, rest, md5('0:' || CAST(whole AS VARCHAR) || ':' || doc_id) AS h FROM d JOIN plan USING (domain, lang, source) WHERE tokens > 0),
+t AS (SELECT *, whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest THEN 1 ELSE 0 END AS times FROM r)
+SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(0, CAST(times AS BIGINT))) AS INTEGER) AS epoch FROM t"""

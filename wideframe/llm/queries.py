@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import staged_path
 from .chat import assemble, conversation_digests, extra_turns
+from .decontaminate import contamination
+from .mixing import mixed
 from .near_duplicates import near_duplicates
+from .quality import quality
 from .repeats import repeated_passages
 from .search import quantised, top_products
+from .secrets import secret_digests
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +29,27 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", quantised().alias("vector"))
     return top_products(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +62,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(assemble(turns, vocabulary), vocabulary)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"), digest_only=True).withColumnRenamed("kept_text", "kept_sha256")
 
@@ -51,9 +76,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_top_products": op2_top_products,
+    "op3_secrets": op3_secrets,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_mixture": op5_mixture,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_chat": op7_chat,
+    "op8_toxicity": op8_toxicity,
     "op9_repeats": op9_repeats,
     "op10_token_counts": op10_token_counts,
 }
