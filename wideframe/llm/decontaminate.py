@@ -16,9 +16,9 @@ WINDOW = 8
 RUN = 6
 #: A window has at least this share of words that are no placeholders.
 LITERAL = 0.5
-#: Rows of the benchmark's window table that may be broadcast (at most 100 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
-BROADCAST_IDS = 2_000_000
+#: Rows of the benchmark's window table that may be broadcast (about 500 bytes each in memory, 25 MB); more are joined by a shuffle.
+BROADCAST_WINDOWS = 50_000
+BROADCAST_IDS = 500_000
 
 #: Fixed strings: units that count as such behind a number.
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months",
@@ -70,8 +70,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
     windows = None
     for size in sizes:
-        own = items.filter(F.col("size") == size).select("item_id", "size", "words", F.posexplode(_windows(size)).alias("at", "hash"))
-        own = own.withColumn("item_words", F.slice("words", F.col("at") + 1, size)).drop("words").filter(_literal(F.col("item_words")) >= LITERAL * size)
+        own = items.filter(F.col("size") == size).select("item_id", "size", "words", "template", F.posexplode(_windows(size)).alias("at", "hash"))
+        own = own.select("item_id", "size", "at", "hash", F.slice("words", F.col("at") + 1, size).alias("item_words"), F.slice("template", F.col("at") + 1, size).alias("item_template"))
+        own = own.filter(_literal(F.col("item_words")) >= LITERAL * size)
         windows = own if windows is None else windows.unionByName(own)
     if windows is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shift int, windows long, of long, exact boolean")
@@ -92,11 +93,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = stage(docs.join(ids, "doc_id", "left_semi").distinct().select("doc_id", tokens(F.col("text")).alias("words")).withColumn("template", template(F.col("words"))), "few")
     pairs = None
     for size in sizes:
-        here = few.select("doc_id", "words", F.posexplode(_windows(size)).alias("place", "hash"))
-        here = here.join(sized(windows.filter(F.col("size") == size)), "hash").select(
-            "doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "item_words", F.slice("words", F.col("place") + 1, size).alias("doc_words"))
+        # The templates are compared as they were stored: a lambda function in a join key is not safe where Spark builds the sides of
+        # several joins at once, as for the branches of a union.
+        here = few.select("doc_id", "words", "template", F.posexplode(_windows(size)).alias("place", "hash"))
+        here = here.select("doc_id", "place", "hash", F.slice("words", F.col("place") + 1, size).alias("doc_words"), F.slice("template", F.col("place") + 1, size).alias("doc_template"))
+        here = here.join(sized(windows.filter(F.col("size") == size)), "hash").filter(F.col("item_template") == F.col("doc_template")).select(
+            "doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "item_words", "doc_words")
         pairs = here if pairs is None else pairs.union(here)
-    pairs = stage(pairs.filter(template(F.col("item_words")) == template(F.col("doc_words"))).distinct(), "hits")  # against equal hashes
+    pairs = stage(pairs.distinct(), "hits")
     key = ["doc_id", "item_id", "shift"]
     slots = (pairs.select(*key, F.explode(F.arrays_zip("item_words", "doc_words")).alias("w")).select(*key, F.col("w.item_words").alias("mine"), F.col("w.doc_words").alias("theirs"))
              .filter(F.startswith("mine", F.lit("«"))).distinct())

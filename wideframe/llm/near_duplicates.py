@@ -26,8 +26,8 @@ BANDS, ROWS = 32, 4  # a pair at the threshold shares no band in 5 of a million
 #: Equal minima below which a pair is not looked at further; at the threshold that happens in 1 of a million cases.
 LEAST_EQUAL = 72
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
-#: Ids of 8 bytes each that may be broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast (about 50 bytes each in memory, 25 MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -139,7 +139,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, part: int =
     Both tables have ``vec_id`` (whole number) and ``vector`` (array of whole numbers held as doubles); the result is exact for any
     data, the index only decides what need not be multiplied. A row is compared with all rows of another id.
 
-    Null vectors and ids, and vectors with null components, take no part. Shorter vectors count as filled up with zeros. Rows
+    Null vectors and ids, and vectors with null or non-finite components, take no part. A score beyond 64 bits fails. Shorter vectors count as filled up with zeros. Rows
     that repeat an id count once, with their smallest vector. Fewer than ``k`` rows give what there is; no rows give none.
     """
     spark = vectors.sparkSession

@@ -15,8 +15,8 @@ from .quality import accepted
 from .secrets import BROADCAST_SPANS, found_secrets, redacted
 
 written = stage
-#: Ids of 8 bytes each that may be broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast (about 50 bytes each in memory, 25 MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:

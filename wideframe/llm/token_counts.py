@@ -13,8 +13,8 @@ from ..session import stage
 LIMIT = 4096
 #: Texts that go to the tokenizer's library in one call.
 BATCH = 64
-#: Digests of 32 bytes that may be broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_DIGESTS = 500_000
+#: Digests that may be broadcast (about 150 bytes each in memory, 45 MB); more are joined by a shuffle.
+BROADCAST_DIGESTS = 300_000
 
 _SCHEMA = "content binary, tokenizer string, n_tokens long"
 
@@ -81,9 +81,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     missing = stage(texts.select("content").distinct().join(counted(), "content", "left_anti"), "missing")
     number = missing.count()
     if number:
-        missing = F.broadcast(missing) if number <= BROADCAST_DIGESTS else missing
-        # The partial aggregation keeps one text of each kind per task before anything is shuffled.
-        once = texts.select("content", "text").join(missing, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+        # The partial aggregation keeps one text of each kind per task before anything is shuffled, whichever way the join goes.
+        once = texts.select("content", "text")
+        if number <= BROADCAST_DIGESTS:
+            once = once.join(F.broadcast(missing), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+        else:
+            once = once.groupBy("content").agg(F.first("text").alias("text")).join(missing, "content", "left_semi")
         once.mapInArrow(_encoded(kind, model, version), _SCHEMA).write.mode("append").parquet(cache)
     return (texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(counted(), "content")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
