@@ -103,3 +103,23 @@ def test_feature_pipeline_scales_numbers_only(spark):
 def test_standardize_constant_column(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, c double")
     assert [tuple(r) for r in cats.standardize(df, ["x", "c"]).orderBy("x").collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+@pytest.mark.parametrize("labels", [6_000, 150_000])
+def test_dummies_beyond_any_number_of_columns(spark, labels):
+    df = spark.range(labels).select(F.concat(F.lit("v"), "id").alias("v"), "id")
+    dictionary = cats.fit_dictionary(df, ["v"])
+    odd = spark.createDataFrame([(None, -1), ("new", -2)], "v string, id long")
+    rows = cats.dummy_vector(df.filter(F.col("id") % 997 == 0).union(odd), dictionary).collect()
+    places = {r.id: (r.dummies.size, list(r.dummies.indices)) for r in rows}
+    order = {v: i for i, v in enumerate(sorted(f"v{i}" for i in range(labels)))}
+    assert places == {r.id: (labels, [order[r.v]] if r.id >= 0 else []) for r in rows}
+    train, test, _ = cats.split_encode(df, odd, ["v"], form="vector")
+    assert test.first()["dummies"].size == labels - 1 and train.filter("v = 'v0'").first()["dummies"].numNonzeros() == 0
+
+
+def test_scaled_pipeline_fills_nulls(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (None,), (float("nan"),)], "x double")
+    model, _ = cats.feature_pipeline(df, ["x"], scale=True)
+    values = [r.features[0] for r in model.transform(df).collect()]
+    assert values[2] == values[3] == pytest.approx(0) and values[0] == pytest.approx(-values[1])

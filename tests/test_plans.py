@@ -131,10 +131,28 @@ def test_decision_paths_reach_the_models_prediction(spark, learn):
     assert paths.filter("leaf_prediction is not null and (feature is not null or threshold is not null)").count() == 0
 
 
+def s_loss(df):
+    from wideframe.operators.score import abs_std_loss
+
+    return abs_std_loss(df, "y", "prediction").first()["loss"]
+
+
 def test_grown_forest_keeps_gaining_epochs(learn):
     train, test = folds.train_test(learn, 0.3, ["id"])
     grown = models.grow_forest(train, test, "y", step=2, max_epochs=3, tol=1e9, min_epochs=2, maxDepth=4)
-    assert len(grown.scores) == 1 and grown.model.getNumTrees == 2
+    assert len(grown.scores) == 1 and [m.getNumTrees for m in grown.models] == [2]
+    more = models.grow_forest(train, test, "y", step=3, max_epochs=3, tol=-1e9, maxDepth=4)
+    assert [m.getNumTrees for m in more.models] == [3, 3, 3]
+    assert s_loss(more.transform(test)) == pytest.approx(more.scores[-1])
+
+
+def test_staged_errors_are_those_of_shorter_models(learn):
+    train, test = folds.train_test(learn, 0.3, ["id"])
+    whole = models.boosted("y", maxIter=4, maxDepth=3).fit(train)
+    staged = models.staged_errors(whole, test, "y")
+    for k in (1, 3, 4):
+        short = models.boosted("y", maxIter=k, maxDepth=3).fit(train)
+        assert s_loss(short.transform(test)) == pytest.approx(staged[k - 1]["loss"])
 
 
 def test_nested_cv(learn):
@@ -170,3 +188,23 @@ def test_whatif_with_a_model_finds_the_planted_optimum(learn):
     best = whatif.whatif(plain, PipelineModel([assembler, model]), "l_quantity", whatif.Sweep(1, 50, 5), ["id"])
     assert best.count() == plain.count()
     assert best.filter("best between 20 and 40").count() > 0.9 * plain.count()
+
+
+def test_paths_of_category_splits_and_original_values(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorIndexer
+
+    rows = [(i, "abcdef"[i % 6], float(i % 7), 10.0 * (i % 6 in (1, 4)) + i % 7) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, kind string, x double, y double")
+    steps = [StringIndexer(inputCol="kind", outputCol="code"), VectorAssembler(inputCols=["code", "x"], outputCol="raw"),
+             VectorIndexer(inputCol="raw", outputCol="features", maxCategories=6)]
+    made = Pipeline(stages=steps).fit(df).transform(df)
+    model = models.boosted("y", maxIter=2, maxDepth=3).fit(made)
+    paths = models.decision_paths(model, made, ["code", "x"], ["id"], originals={"code": "kind"})
+    assert paths.filter("categories is not null").count() > 0
+    assert paths.filter("categories is not null and (sign = 'in') <> array_contains(categories, value)").count() == 0
+    kinds = {r.id: r.kind for r in made.collect()}
+    assert all(r.original == kinds[r.id] for r in paths.filter("feature = 'code'").collect())
+    weights = F.array(*[F.lit(float(w)) for w in model.treeWeights])
+    replayed = paths.filter("leaf_prediction is not null").groupBy("id").agg(F.sum(F.col("leaf_prediction") * F.get(weights, F.col("tree"))).alias("sum"))
+    assert replayed.join(model.transform(made), "id").filter(F.abs(F.col("sum") - F.col("prediction")) > 1e-9).count() == 0

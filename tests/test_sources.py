@@ -48,3 +48,23 @@ def test_jdbc_options():
 def test_sparse_long_drops_zero_and_null(spark):
     df = spark.createDataFrame([(1, 0.0, 2.0), (2, None, 0.0)], "id int, a double, b double")
     assert [tuple(r) for r in tables.to_sparse_long(df, ["a", "b"], "id").collect()] == [(1, "b", 2.0)]
+
+
+def test_typed_csv_gives_every_row_back(spark, tmp_path):
+    texts = [None, "", " pad ", "a\nb", "c\r\nd", 'say "x"', "\\N", "\\e", "\\", "\\\\n", ",", "\t", "#", "'", "null", "ä漢😀"]
+    df = spark.createDataFrame([(i, t, None if i % 3 else i / 7) for i, t in enumerate(texts)], "id int, t string, x double")
+    tables.write_csv(df, str(tmp_path / "typed"))
+    back = tables.read_csv(spark, str(tmp_path / "typed"))
+    assert back.schema == df.schema
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == sorted(map(tuple, df.collect()), key=lambda r: r[0])
+
+
+def test_cells_follow_their_header(spark, tmp_path):
+    (tmp_path / "cells.tsv").write_text("b\ta\n x \t1\n\t2\n")
+    rows = tables.read_cells(spark, str(tmp_path / "cells.tsv"), "a int, b string").collect()
+    assert [tuple(r) for r in rows] == [(1, " x "), (2, None)]
+    with pytest.raises(ValueError, match="header"):
+        tables.read_cells(spark, str(tmp_path / "cells.tsv"), "a int, c string")
+    (tmp_path / "bad.tsv").write_text("a\tb\nten\tx\n")
+    with pytest.raises(Exception):
+        tables.read_cells(spark, str(tmp_path / "bad.tsv"), "a int, b string").collect()

@@ -55,6 +55,19 @@ def test_area_and_centroid_do_not_depend_on_direction(spark):
         assert tuple(row) == pytest.approx((12.0, 5 / 3, 5 / 3))
 
 
+def test_parts_holes_and_islands_in_any_order(spark):
+    def square(x, y, side):
+        return [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+
+    rings = [square(3, 3, 2), square(0, 0, 8), square(20, 0, 8), square(2, 2, 4), square(20, 0, 1)]  # island, part, part, hole, hole at a corner
+    df = spark.createDataFrame([(1, [[{"x": float(a), "y": float(b)} for a, b in r] for r in rings])], RINGS)
+    assert df.select(geometry.area(F.col("rings"))).first()[0] == pytest.approx(4 + 64 + 64 - 16 - 1)
+    assert df.select(*[c.alias(n) for n, c in geometry.bbox(F.col("rings")).items()]).first().asDict() == {"xmin": 0, "ymin": 0, "xmax": 28, "ymax": 8}
+    for x, y, inside in ((4, 4, True), (2.5, 2.5, False), (25, 5, True), (20.5, 0.5, False), (12, 4, False)):
+        points = spark.createDataFrame([(float(x), float(y))], "x double, y double")
+        assert (spatial.polygons_with_points(df, points, "id").count() == 1) == inside
+
+
 def test_empty_sides(spark):
     df = spark.createDataFrame([(1, [[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 1.0}]])], RINGS)
     points = spark.createDataFrame([(0.9, 0.5)], "x double, y double")

@@ -230,9 +230,14 @@ FROM v JOIN b USING (nulls) GROUP BY nulls, least(floor((v - lo) / width), 11)""
 ORACLES["density2d"] = """SELECT CAST(floor(embedding[1]::DOUBLE / 0.05) AS BIGINT) AS cx,
   CAST(floor(embedding[2]::DOUBLE / 0.05) AS BIGINT) AS cy, count(*) AS count FROM embeddings GROUP BY 1, 2"""
 
-ORACLES["top_counts"] = """WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1),
-k AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_brand) AS rn FROM c)
-SELECT CASE WHEN rn <= 10 THEN p_brand ELSE 'others' END AS value, CAST(sum(n) AS BIGINT) AS count FROM k GROUP BY 1"""
+def _top(value: str, n: int) -> str:
+    return f"""WITH c AS (SELECT {value} AS v, count(*) AS n FROM part GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS rn FROM c)
+SELECT CASE WHEN rn <= {n} THEN v ELSE 'others' END AS value, CAST(sum(n) AS BIGINT) AS count, rn > {n} AS rest FROM k GROUP BY 1, 3"""
+
+
+ORACLES["top_counts"] = _top("p_brand", 10)
+ORACLES["top_counts_named_rest"] = _top("CASE WHEN p_size % 3 = 0 THEN 'others' ELSE p_brand END", 3)
 
 
 def _spearman(source: str, features: dict[str, str], label: str) -> str:
@@ -515,3 +520,81 @@ ORACLES["error_trace"] = "SELECT unnest(['train', 'test']) AS dataset, 6::BIGINT
 ORACLES["decision_paths"] = "SELECT unnest([0, 1]) AS tree, count(*) AS leaves, count(*) AS starts, 0::BIGINT AS broken FROM lineitem"
 ORACLES["decision_replay"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM lineitem"
 ORACLES["whatif_model"] = "SELECT count(*) AS n_rows, count(*) AS near_optimum FROM lineitem"
+
+
+# --- the same results by other plans, and round trips ------------------------------------------------
+
+for _name, _like in (("outliers_bracketed", "outliers"), ("holdout_report_bracketed", "holdout_report"), ("spatial_split", "spatial_semi"),
+                     ("feature_set_round_trip", "feature_matrix")):
+    ORACLES[_name] = ORACLES[_like]
+
+ORACLES["fill_not_a_number"] = f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS p
+  FROM orders),
+s AS (SELECT avg(p) AS m, avg(p) + stddev_samp(p) AS high, greatest(0, avg(p) - stddev_samp(p)) AS low, quantile_cont(p, 0.1) AS q1,
+  quantile_cont(p, 0.9) AS q9 FROM o)
+SELECT o_orderkey, {r('coalesce(p, m)', 3)} AS price, {r('CASE WHEN p IS NOT NULL THEN least(greatest(p, low), high) END', 3)} AS clamped,
+  CASE WHEN p BETWEEN q1 AND q9 THEN 1 END AS kept FROM o, s"""
+
+ORACLES["range_rows"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 20000 AND 60000"
+ORACLES["parameter_rows"] = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
+ORACLES["first_rows"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"
+
+ORACLES["row_position_ties"] = """WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1),
+s AS (SELECT *, CAST(sum(n) OVER (ORDER BY o_orderpriority) AS BIGINT) AS upto FROM c)
+SELECT o_orderpriority, upto - n AS first, upto - 1 AS last, n FROM s"""
+
+ORACLES["average_ranks_sliced"] = f"""WITH c AS (SELECT l_returnflag, l_extendedprice, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT *, {r('(sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - n) + (n + 1) / 2.0::DOUBLE', 2)} AS rank FROM c"""
+
+ORACLES["stop_epoch_gaps"] = f"""WITH t AS (SELECT l_suppkey AS run, l_linenumber AS epoch, avg(l_extendedprice) AS score
+  FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL),
+g AS (SELECT *, lag(score) OVER (PARTITION BY run ORDER BY epoch) - score AS gain,
+  row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM t),
+s AS (SELECT run, min(k) FILTER (WHERE gain < 200 AND k >= 2) AS stop, max(k) AS last FROM g GROUP BY run)
+SELECT s.run, stop AS stop_epoch, k AS kept_epochs, {r('score')} AS score
+FROM s JOIN g ON g.run = s.run AND g.k = coalesce(stop - 1, last)"""
+
+ORACLES["spearman_nulls"] = _spearman("WITH src AS (SELECT * FROM lineitem)", {
+    f"c{k}": f"CASE WHEN l_suppkey % 10 <> {k} THEN (l_quantity * {k + 3} + l_linenumber * 7) % {11 + k} END" for k in range(10)}, "l_extendedprice")
+
+ORACLES["response_fit_few"] = f"""WITH d AS (SELECT l_suppkey, least(l_linenumber, l_suppkey % 4 + 1)::DOUBLE AS x, l_extendedprice AS y FROM lineitem),
+m AS (SELECT l_suppkey, count(*) AS n, count(DISTINCT x) AS places, avg(x) AS mx, avg(x ** 2) AS mq, avg(y) AS my, var_pop(x) AS sxx,
+  var_pop(x ** 2) AS sqq, covar_pop(x, x ** 2) AS sxq, covar_pop(x, y) AS sxy, covar_pop(x ** 2, y) AS sqy FROM d GROUP BY l_suppkey),
+c AS (SELECT *, CASE WHEN places >= 3 THEN (sxy * sqq - sqy * sxq) / (sxx * sqq - sxq * sxq) END AS c1,
+  CASE WHEN places >= 3 THEN (sqy * sxx - sxy * sxq) / (sxx * sqq - sxq * sxq) END AS c2 FROM m)
+SELECT l_suppkey, n, {r('my - c1 * mx - c2 * mq', 2)} AS c0, {r('c1', 2)} AS c1, {r('c2', 2)} AS c2 FROM c"""
+
+ORACLES["split_vector"] = """WITH p AS (SELECT p_partkey % 3 = 0 AS test, p_name AS a, CASE WHEN p_size % 4 <> 0 THEN p_type END AS b FROM part),
+n AS (SELECT count(DISTINCT a) + count(DISTINCT b) AS entries FROM p WHERE NOT test)
+SELECT CASE WHEN test THEN 'test' ELSE 'train' END AS side, max(entries) AS entries,
+  count(*) FILTER (WHERE a IN (SELECT a FROM p WHERE NOT test)) + count(*) FILTER (WHERE b IN (SELECT b FROM p WHERE NOT test AND b IS NOT NULL)) AS hits
+FROM p, n GROUP BY test"""
+
+ORACLES["standardize_nulls"] = f"""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size END::DOUBLE AS a,
+  CASE WHEN p_size % 3 <> 0 THEN p_retailprice END AS b FROM part),
+f AS (SELECT p_partkey, coalesce(a, avg(a) OVER ()) AS a, coalesce(b, avg(b) OVER ()) AS b FROM p)
+SELECT p_partkey, {r('(a - avg(a) OVER ()) / stddev_samp(a) OVER ()', 5)} AS size, {r('(b - avg(b) OVER ()) / stddev_samp(b) OVER ()', 5)} AS price FROM f"""
+
+ORACLES["group_kfold_nulls"] = """SELECT count(*) AS tested, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS without,
+  count(DISTINCT CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END) AS groups, 0 AS split FROM orders"""
+
+ORACLES["category_codes_joined"] = """WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_name END AS v FROM part),
+d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS code FROM (SELECT DISTINCT v FROM p WHERE p_partkey % 2 = 0 AND v IS NOT NULL))
+SELECT p_partkey, coalesce(code, -1) AS p_name, d.v AS label FROM p LEFT JOIN d ON p.v = d.v"""
+
+ORACLES["spatial_parts"] = f"""WITH s AS (SELECT s_suppkey AS id, ((s_suppkey * 37) % 41 - 20) / 20.0::DOUBLE AS x, ((s_suppkey * 53) % 41 - 20) / 20.0::DOUBLE AS y
+  FROM supplier), p AS (SELECT embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py FROM embeddings)
+SELECT id AS shape_id, 0.109375::DOUBLE AS area, CASE WHEN EXISTS (SELECT 1 FROM p WHERE
+  (px BETWEEN x AND x + 0.25 AND py BETWEEN y AND y + 0.25 AND NOT (px > x + 0.0625 AND px < x + 0.1875 AND py > y + 0.0625 AND py < y + 0.1875))
+  OR (px BETWEEN x + 0.5 AND x + 0.75 AND py BETWEEN y AND y + 0.25)) THEN 1 END AS held FROM s"""
+
+ORACLES["forest_epochs"] = "SELECT count(*) AS n_samples, true AS beats_mean, true AS trees, true AS gains, true AS replayed FROM lineitem"
+
+ORACLES["csv_round_trip"] = """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN ' pad ' WHEN 2 THEN 'a' || chr(10) || 'b' || chr(13) || chr(10) || '"c"'
+  WHEN 3 THEN chr(92) || 'N' || chr(9) || ',' || chr(92) WHEN 4 THEN NULL ELSE o_orderpriority END AS text, o_totalprice, o_orderdate FROM orders"""
+ORACLES["cells_round_trip"] = "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders"
+ORACLES["table_round_trip"] = "SELECT o_orderkey, o_totalprice, o_orderstatus, true AS same FROM orders"
+ORACLES["id_list_complement"] = """SELECT o_orderkey, CAST(o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') AS INT) AS listed
+  FROM orders"""
+ORACLES["unit_files"] = "SELECT count(*) AS n_rows, count(*) AS n_right FROM orders"
+ORACLES["model_round_trip"] = "SELECT count(*) AS n_rows, count(*) AS n_same, true AS evaluated FROM lineitem"

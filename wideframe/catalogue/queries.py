@@ -16,7 +16,7 @@ from wideframe.operators import categories, columns, filters, folds, profile, ra
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
 from wideframe.plans import models, validation, whatif
-from wideframe.session import spread, stage
+from wideframe.session import spread, stage, staged_path
 from wideframe.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,15 @@ def outliers(spark, sf):
                                    cap=("l_extendedprice", 80_000))
 
 
+@query
+def outliers_bracketed(spark, sf):
+    """The same limits found by brackets, as for tables beyond one task."""
+    lines = fx.table(spark, sf, "lineitem").select(
+        *fx.LEARN_KEY[:4], "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    limits = filters.fit_outliers(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], cap=("l_extendedprice", 80_000), small=500)
+    return limits.apply(lines)
+
+
 @query
 def winsorize(spark, sf):
     orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
@@ -115,6 +124,33 @@ def fill_mean(spark, sf):
     return rounded(filters.fill_mean(wide, ["rate1", "rate2", "rate3", "rate4"]), 6)
 
 
+@query
+def fill_not_a_number(spark, sf):
+    """NaN is no value: it takes no part in means, limits and clamps, is filled, and drops a row like a null."""
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, float("nan")).when(
+        F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"))
+    kept = filters.fit_outliers(orders, ["price"], (0.1, 0.9)).apply(orders).select("o_orderkey", F.lit(1).alias("kept"))
+    clamped = filters.winsorize(orders, "price", k=1.0).withColumnRenamed("price", "clamped")
+    filled = filters.fill_mean(orders, ["price"])
+    return rounded(filled.join(clamped, "o_orderkey").join(kept, "o_orderkey", "left"), 3)
+
+
+@query
+def range_rows(spark, sf):
+    return filters.range_filter(fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 20_000, 60_000)
+
+
+@query
+def parameter_rows(spark, sf):
+    return tables.parameter_filter(fx.table(spark, sf, "orders"), o_orderstatus="F", o_orderpriority="1-URGENT").select("o_orderkey")
+
+
+@query
+def first_rows(spark, sf):
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return ranks.first_n(orders, [F.col("o_totalprice").desc(), "o_orderkey"], 25)
+
+
 @query
 def sample_fraction(spark, sf):
     """Disjoint and complete: every order is on exactly one side."""
@@ -204,11 +240,32 @@ def row_position(spark, sf):
     return columns.with_row_id(orders, ["o_totalprice", "o_orderkey"])
 
 
+@query
+def row_position_ties(spark, sf):
+    """Positions along an order with many ties: every position once, and in the order of the values."""
+    placed = stage(columns.with_row_id(fx.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"]), "placed")
+    return placed.groupBy("o_orderpriority").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count_distinct("row_id").alias("n"))
+
+
+@query
+def average_ranks_sliced(spark, sf):
+    """Average ranks through range slices of few rows."""
+    counts = fx.table(spark, sf, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("n"))
+    return rounded(ranks.average_ranks(counts, ["l_returnflag"], "l_extendedprice", rows_per_slice=300), 2)
+
+
 @query
 def stop_epoch(spark, sf):
     return rounded(scores.stop_epoch(fx.trace(spark, sf), tol=200.0, min_epochs=3))
 
 
+@query
+def stop_epoch_gaps(spark, sf):
+    """Traces that begin at a number of their own and leave epochs out."""
+    trace = fx.trace(spark, sf).filter("epoch <> 2").withColumn("epoch", F.col("epoch") * 3 + F.col("run") % 4)
+    return rounded(scores.stop_epoch(trace, tol=200.0, min_epochs=2))
+
+
 # --- profiles ------------------------------------------------------------------------------------
 
 @query
@@ -245,6 +302,13 @@ def top_counts(spark, sf):
     return profile.top_counts(fx.table(spark, sf, "part"), "p_brand", 10)
 
 
+@query
+def top_counts_named_rest(spark, sf):
+    """A value that is called like the row of all others."""
+    part = fx.table(spark, sf, "part").select(F.when(F.col("p_size") % 3 == 0, F.lit("others")).otherwise(F.col("p_brand")).alias("brand"))
+    return profile.top_counts(part, "brand", 3)
+
+
 SPEARMAN_COLUMNS = ["l_quantity", "l_discount", "tax_open", "p_size", "p_retailprice"]
 
 
@@ -257,6 +321,14 @@ def spearman(spark, sf):
     return rounded(profile.spearman(wide, SPEARMAN_COLUMNS, "l_extendedprice"), 6)
 
 
+@query
+def spearman_nulls(spark, sf):
+    """Ten columns, each with nulls of its own."""
+    lines = fx.table(spark, sf, "lineitem")
+    cells = [F.when(F.col("l_suppkey") % 10 != k, (F.col("l_quantity") * (k + 3) + F.col("l_linenumber") * 7) % (11 + k)).alias(f"c{k}") for k in range(10)]
+    return rounded(profile.spearman(lines.select("l_extendedprice", *cells), [f"c{k}" for k in range(10)], "l_extendedprice", rows_per_slice=5_000), 6)
+
+
 @query
 def spearman_dummies(spark, sf):
     """Rank correlation of the expanded label columns, the null class among them."""
@@ -270,6 +342,13 @@ def response_fit(spark, sf):
     return rounded(profile.quad_fit(fx.table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice"))
 
 
+@query
+def response_fit_few(spark, sf):
+    """Groups with one, two, three and four distinct places: a curve needs three."""
+    lines = fx.table(spark, sf, "lineitem").withColumn("x", F.least(F.col("l_linenumber"), F.col("l_suppkey") % 4 + 1).cast("double"))
+    return rounded(profile.quad_fit(lines, ["l_suppkey"], "x", "l_extendedprice"), 2)
+
+
 # --- categories ----------------------------------------------------------------------------------
 
 @query
@@ -296,6 +375,16 @@ def category_codes(spark, sf):
     return null_like.join(next_code, "doc_id")
 
 
+@query
+def category_codes_joined(spark, sf):
+    """Codes of a label column with nulls through a join instead of a map."""
+    lines = fx.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("p_name"))
+    dictionary = categories.fit_dictionary(lines.filter("p_partkey % 2 = 0"), ["p_name"])
+    coded = categories.encode_codes(lines, dictionary)
+    back = categories.decode_codes(coded, dictionary).withColumnRenamed("p_name", "label")
+    return coded.join(back, "p_partkey")
+
+
 @query
 def category_labels(spark, sf):
     """Codes decoded again: the labels of the dictionary come back, others are null."""
@@ -317,6 +406,17 @@ def split_encode(spark, sf):
     return categories.split_encode(known, docs, ["lang"], exclude=["source", "good_source"])[1]
 
 
+@query
+def split_vector(spark, sf):
+    """A label column of any size as a sparse vector: entries, and the rows of either side whose label has one."""
+    parts = fx.table(spark, sf, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("p_type"))
+    train, test = parts.filter("p_partkey % 3 <> 0"), parts.filter("p_partkey % 3 = 0")
+    sides = categories.split_encode(train, test, ["p_name", "p_type"], drop_first=False, form="vector")[:2]
+    parted = [df.select(F.lit(n).alias("side"), models.vector_to_array("dummies").alias("v")) for n, df in zip(("train", "test"), sides)]
+    return scores.stack_units(parted).groupBy("side").agg(
+        F.max(F.size("v")).cast("long").alias("entries"), F.sum(F.aggregate("v", F.lit(0.0), lambda t, x: t + x)).cast("long").alias("hits"))
+
+
 @query
 def one_hot(spark, sf):
     orders = fx.orders_wide(spark, sf).select("o_orderkey", "o_orderpriority", "prod5")
@@ -346,6 +446,16 @@ def standardize(spark, sf):
     return rounded(categories.standardize(parts, ["p_size", "p_retailprice"]), 6)
 
 
+@query
+def standardize_nulls(spark, sf):
+    """The scaled pipeline over a column with nulls and one with NaN: both become the mean, that is zero."""
+    parts = fx.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("size"),
+        F.when(F.col("p_size") % 3 == 0, float("nan")).otherwise(F.col("p_retailprice")).alias("price"))
+    model, _ = categories.feature_pipeline(parts, ["size", "price"], scale=True)
+    cells = models.vector_to_array("features")
+    return rounded(model.transform(parts).select("p_partkey", cells[0].alias("size"), cells[1].alias("price")), 5)
+
+
 # --- folds ---------------------------------------------------------------------------------------
 
 @query
@@ -355,6 +465,18 @@ def group_kfold(spark, sf):
     return folded.groupBy("o_custkey", "fold").agg(F.count("*").alias("n_rows"))
 
 
+@query
+def group_kfold_nulls(spark, sf):
+    """Orders without a customer are rows of their own: every row is tested once, and no customer is in two folds."""
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey"))
+    folded = stage(folds.group_kfold(orders, "o_custkey", 4, nulls="spread"), "folded")
+    tested = scores.stack_units([test.withColumn("run", F.lit(i)) for i, _, test in folds.folds(folded, 4)])
+    split = folds.fold_leakage(folded.filter("o_custkey is not null"), "o_custkey")
+    return tested.groupBy("o_custkey").agg(F.count("*").alias("n")).agg(
+        F.sum("n").alias("tested"), F.sum(F.when(F.col("o_custkey").isNull(), F.col("n"))).alias("without"),
+        F.count("o_custkey").alias("groups")).withColumn("split", F.lit(split.count()))
+
+
 @query
 def hash_fold(spark, sf):
     """Every row has one of the folds, no customer has two, and every fold is used."""
@@ -369,9 +491,9 @@ def hash_fold(spark, sf):
 @query
 def leakage_check(spark, sf):
     folded = folds.group_kfold(fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 3)
-    found = [folds.leakage(train, test, "o_custkey").agg(F.count("*").alias("shared")).withColumn("fold", F.lit(i))
-             for i, train, test in folds.folds(folded, 3)]
-    return scores.stack_units(found)
+    shared = folds.fold_leakage(folded, "o_custkey").join(folded, "o_custkey").select("o_custkey", "fold").distinct()
+    every = spark.createDataFrame([(i,) for i in range(3)], "fold int")
+    return every.join(shared, "fold", "left").groupBy("fold").agg(F.count("o_custkey").alias("shared"))
 
 
 # --- scores --------------------------------------------------------------------------------------
@@ -409,6 +531,12 @@ def holdout_report(spark, sf):
     return rounded(scores.holdout_stats(fx.preds(spark, sf), by=["fold"]))
 
 
+@query
+def holdout_report_bracketed(spark, sf):
+    """The same percentiles found by brackets, as for groups beyond one task."""
+    return rounded(scores.holdout_stats(fx.preds(spark, sf), by=["fold"], small=200))
+
+
 @query
 def baseline_score(spark, sf):
     rows = fx.preds(spark, sf)
@@ -443,8 +571,7 @@ def best_params(spark, sf):
 @query
 def importance_merge(spark, sf):
     weights = fx.fold_importance(spark, sf)
-    per_fold = scores.importance_by_source(weights, ["fold"])
-    return scores.merge_importance([per_fold.filter(F.col("fold") == i) for i in range(1, 8)])
+    return scores.merge_importance([scores.importance_by_source(weights, ["fold"])])
 
 
 @query
@@ -493,6 +620,29 @@ def spatial_semi(spark, sf):
     return spatial.polygons_with_points(shapes, fx.points(spark, sf), "shape_id").select("shape_id", "s_acctbal")
 
 
+@query
+def spatial_split(spark, sf):
+    """The same shapes on a grid whose cells are split until they hold few points."""
+    shapes = geometry.parse_shapes(fx.shapes(spark, sf), "xml")
+    return spatial.polygons_with_points(shapes, fx.points(spark, sf), "shape_id", points_per_cell=4).select("shape_id", "s_acctbal")
+
+
+@query
+def spatial_parts(spark, sf):
+    """Squares of two parts, one with a hole: area of all parts, and whether a point lies in any of them."""
+    k = F.col("s_suppkey")
+    x, y = ((k * 37) % 41 - 20) / F.lit(20.0), ((k * 53) % 41 - 20) / F.lit(20.0)
+
+    def square(x: Column, y: Column, side: float) -> Column:
+        corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
+        return F.array(*[F.struct((x + a * side).alias("x"), (y + b * side).alias("y")) for a, b in corners])
+
+    shapes = fx.table(spark, sf, "supplier").select(
+        k.alias("shape_id"), F.array(square(x, y, 0.25), square(x + 0.5, y, 0.25), square(x + 0.0625, y + 0.0625, 0.125)).alias("rings"))
+    held = spatial.polygons_with_points(shapes, fx.points(spark, sf), "shape_id").select("shape_id", F.lit(1).alias("held"))
+    return rounded(shapes.select("shape_id", geometry.area(F.col("rings")).alias("area")).join(held, "shape_id", "left"), 6)
+
+
 HOLDOUT_FEATURES = ["l_quantity", "l_returnflag__DUMMY__a", "l_returnflag__DUMMY__zz", "s_acctbal", "absent"]
 
 
@@ -506,6 +656,90 @@ def holdout_assembly(spark, sf):
     return plan.assemble_holdout(shapes, fx.points(spark, sf), lines, HOLDOUT_FEATURES, "shape_id", "unit", order)[0]
 
 
+# --- round trips -----------------------------------------------------------------------------------
+
+def _odd_texts(spark, sf) -> DataFrame:
+    """Orders with padded, empty, broken and quoted texts."""
+    k = F.col("o_orderkey")
+    text = (F.when(k % 9 == 0, F.lit("")).when(k % 9 == 1, F.lit(" pad ")).when(k % 9 == 2, F.lit('a\nb\r\n"c"')).when(k % 9 == 3, F.lit("\\N\t,\\"))
+            .when(k % 9 != 4, F.col("o_orderpriority")))
+    return fx.table(spark, sf, "orders").select("o_orderkey", text.alias("text"), "o_totalprice", "o_orderdate")
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Typed CSV written to the shared folder and read back."""
+    path = staged_path(spark, "csv")
+    tables.write_csv(_odd_texts(spark, sf), path)
+    return tables.read_csv(spark, path)
+
+
+@query
+def cells_round_trip(spark, sf):
+    """Tab-separated text whose header has another order than the schema."""
+    path = staged_path(spark, "cells")
+    rows = fx.table(spark, sf, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    rows.write.options(header=True, sep="\t").csv(path)
+    return tables.read_cells(spark, path, "o_orderkey long, o_orderpriority string, o_totalprice double", spread=4)
+
+
+@query
+def table_round_trip(spark, sf):
+    """A partitioned table read by column, and a sorted text export of it."""
+    path = staged_path(spark, "table")
+    tables.write_table(fx.table(spark, sf, "orders"), path, partition_by=["o_orderstatus"])
+    back = tables.read_table(spark, path, ["o_orderkey", "o_totalprice", "o_orderstatus"])
+    tables.sorted_write(back, ["o_totalprice", "o_orderkey"], f"{path}-sorted")
+    kept = spark.read.csv(f"{path}-sorted", schema="o_orderkey long, price double, status string", header=True)
+    return back.join(kept, "o_orderkey").select("o_orderkey", "o_totalprice", "o_orderstatus", (F.col("price") == F.col("o_totalprice")).alias("same"))
+
+
+@query
+def id_list_complement(spark, sf):
+    """Orders of customers that an id file lists, and the rest as their complement."""
+    path = staged_path(spark, "ids")
+    fx.holdout_ids(spark, sf).write.option("header", True).csv(path)
+    ids = tables.read_id_list(spark, path, "o_custkey")
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    listed = orders.join(ids, "o_custkey", "left_semi").select("o_orderkey")
+    rest = filters.complement(orders, listed, "o_orderkey")
+    return rest.select("o_orderkey", F.lit(0).alias("listed")).unionByName(listed.withColumn("listed", F.lit(1)))
+
+
+@query
+def unit_files(spark, sf):
+    """The unit of every row from the name of its file: here the number of the task that wrote it."""
+    path = staged_path(spark, "units")
+    fx.table(spark, sf, "orders").select("o_orderkey").repartition(4, "o_orderkey").withColumn("written_by", F.spark_partition_id().cast("long")).write.parquet(path)
+    back = tables.read_units(spark, path, r"^part-(\d+)-")
+    return back.agg(F.count("*").alias("n_rows"), F.count_if(F.col("unit") == F.col("written_by")).alias("n_right"))
+
+
+@query
+def feature_set_round_trip(spark, sf):
+    """The encoded set written, loaded, and read as the sparse matrix."""
+    path = staged_path(spark, "features")
+    plan.feature_set(fx.season_wide(spark, sf), SEASON).write(path)
+    return rounded(plan.FeatureSet.load(spark, path).long(), 3)
+
+
+@query
+def model_round_trip(spark, sf):
+    """A pipeline with its dictionary saved and loaded: rows whose prediction is unchanged, and the evaluator's score."""
+    full = stage(fx.learn(spark, sf).select(*fx.LEARN_KEY, *[c for c in NUMERIC if c not in fx.LEARN_KEY], "y"), "learn")
+    pipeline, _ = categories.feature_pipeline(full, NUMERIC)
+    vectors = pipeline.transform(full)
+    model = models.boosted("y", maxIter=2, maxDepth=3).fit(vectors)
+    path = staged_path(spark, "pipeline")
+    tables.save_model(PipelineModel(stages=[pipeline, model]), path)
+    again = tables.load_model(path).transform(full).withColumnRenamed("prediction", "again")
+    both = model.transform(again)
+    value = models.AbsStdEvaluator("y", "prediction").evaluate(both)
+    expected = scores.abs_std_loss(both, "y", "prediction").first()["loss"] * 100
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("again") == F.col("prediction")).alias("n_same")).withColumn(
+        "evaluated", F.lit(abs(value - expected) <= 0.5))
+
+
 # --- compositions --------------------------------------------------------------------------------
 
 SEASON = plan.FeatureConfig(
@@ -649,10 +883,17 @@ def error_trace(spark, sf):
 
 @query
 def forest_epochs(spark, sf):
-    """Score after each epoch of a growing forest."""
-    train, test = folds.train_test(_learn_vectors(spark, sf), 0.3, fx.LEARN_KEY)
+    """What holds of a growing forest: rows it predicts, trees per epoch kept, gains above the tolerance, and the mean beaten."""
+    rows = _learn_vectors(spark, sf)
+    train, test = folds.train_test(rows, 0.3, fx.LEARN_KEY)
     grown = models.grow_forest(train, test, "y", step=4, max_epochs=3, tol=0.01, maxDepth=5)
-    return spark.createDataFrame(list(enumerate(grown.scores)), "epoch int, score double")
+    gains = [a - b for a, b in zip(grown.scores, grown.scores[1:])]
+    again = scores.abs_std_loss(grown.transform(test), "y", "prediction").first()["loss"]
+    guess = scores.baseline_score(rows, rows).first()["abs_mean"]
+    made = scores.score(grown.transform(rows), "y", "prediction")
+    return made.select("n_samples", (F.col("abs_mean") < F.lit(guess)).alias("beats_mean")).withColumns({
+        "trees": F.lit(all(len(m.trees) == 4 for m in grown.models)), "gains": F.lit(all(g >= 0.01 for g in gains)),
+        "replayed": F.lit(abs(again - grown.scores[-1]) < 1e-6)})
 
 
 @query

@@ -15,7 +15,7 @@ def xml_double(xml: Column, path: str) -> Column:
 
 
 def parse_shapes(df: DataFrame, xml_col: str, schema: str = SHAPE_DDL) -> DataFrame:
-    """Add ``rings`` (array of arrays of ``x, y``; the first is the outline, the rest are holes)."""
+    """Add ``rings`` (array of arrays of ``x, y``): outlines of one or more parts and holes, in any order."""
     shape = F.from_xml(F.col(xml_col), schema)
     rings = F.transform(shape["Rings"]["Ring"], lambda r: F.transform(
         r["Points"]["Point"], lambda p: F.struct(p["X"].alias("x"), p["Y"].alias("y"))))
@@ -66,10 +66,23 @@ def _ring_sums(ring: Column) -> Column:
     return F.aggregate(ring_edges(ring), F.struct(zero.alias("a"), zero.alias("mx"), zero.alias("my")), add)
 
 
+def _lies_in(ring: Column, other: Column) -> Column:
+    """Whether a corner of ``ring`` is inside ``other`` and not on its edges; rings do not cross."""
+    around = ring_edges(other)
+    return F.exists(ring, lambda p: ~F.exists(around, lambda e: _on_edge(e, p["x"], p["y"])) & (
+        F.aggregate(around, F.lit(0), lambda n, e: n + _winding(e, p["x"], p["y"])) % 2 == 1))
+
+
+def _depth_is_odd(rings: Column, i: Column, ring: Column) -> Column:
+    """Whether the ring lies inside an odd number of the other rings."""
+    return F.size(F.filter(rings, lambda other, j: (j != i) & _lies_in(ring, other))) % 2 == 1
+
+
 def _signed_total(rings: Column, field: str) -> Column:
-    """Outline minus holes, whatever direction each ring runs in."""
-    sums = F.transform(rings, _ring_sums)
-    signed = F.transform(sums, lambda s, i: s[field] * F.signum(s["a"]) * F.when(i == 0, F.lit(1.0)).otherwise(-1.0))
+    """Parts minus holes, whatever direction and order the rings have: a ring inside an odd number of others is a hole."""
+    filled = F.filter(rings, lambda r: F.size(r) > 0)
+    sums = F.transform(filled, lambda r, i: F.struct(_ring_sums(r).alias("s"), _depth_is_odd(filled, i, r).alias("hole")))
+    signed = F.transform(sums, lambda s: s["s"][field] * F.signum(s["s"]["a"]) * F.when(s["hole"], F.lit(-1.0)).otherwise(1.0))
     return F.aggregate(signed, F.lit(0.0), lambda t, v: t + v)
 
 
@@ -83,6 +96,7 @@ def centroid(rings: Column) -> tuple[Column, Column]:
 
 
 def bbox(rings: Column) -> dict[str, Column]:
-    points = rings[0]
+    """The box around all parts."""
+    points = F.flatten(rings)
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ class CategoryDictionary:
         """The labels themselves, for uses that need one column per label; refused above ``limit``."""
         total = sum(self.sizes().values())
         if total > limit:
-            raise ValueError(f"{total} labels are more than {limit} columns; use one_hot_long or dummy_pipeline")
+            raise ValueError(f"{total} labels are more than {limit} columns; use one_hot_long or dummy_vector")
         found: dict[str, list[str]] = {c: [] for c in self.columns}
         for row in self.entries.orderBy("column", "code").collect():
             found[row["column"]].append(row["label"])
@@ -63,6 +64,11 @@ def fit_dictionary(df: DataFrame, cols: Sequence[str]) -> CategoryDictionary:
     return CategoryDictionary(placed.select("column", "label", F.col("code").cast("int").alias("code")), tuple(cols))
 
 
+def _no_label(df: DataFrame):
+    """A join key for a null label that no label has, another one for each row, so that nulls do not meet in one task."""
+    return F.concat(F.lit("\u0000"), F.xxhash64(*[quoted(c) for c in df.columns]).cast("string"))
+
+
 def encode_codes(df: DataFrame, dictionary: CategoryDictionary, unknown: str = "null") -> DataFrame:
     """Replace labels by codes; a null label becomes -1.
 
@@ -87,7 +93,7 @@ def encode_codes(df: DataFrame, dictionary: CategoryDictionary, unknown: str = "
         else:
             lookup = dictionary.of(c).select(F.col("label").alias(f"__label_{c}"), F.col("code").alias(f"__code_{c}"))
             lookup = broadcast_if_small(lookup, sizes[c])
-            df = df.join(lookup, label == F.col(f"`__label_{c}`"), "left").drop(f"__label_{c}")
+            df = df.join(lookup, F.coalesce(label, _no_label(df)) == F.col(f"`__label_{c}`"), "left").drop(f"__label_{c}")
             codes[c] = quoted(f"__code_{c}")
 
     missing = {
@@ -108,7 +114,9 @@ def decode_codes(df: DataFrame, dictionary: CategoryDictionary) -> DataFrame:
     sizes = dictionary.sizes()
     for c in dictionary.columns:
         lookup = dictionary.of(c).select(F.col("code").alias(f"__code_{c}"), F.col("label").alias(f"__label_{c}"))
-        df = df.join(broadcast_if_small(lookup, sizes[c]), quoted(c) == quoted(f"__code_{c}"), "left")
+        # Codes that stand for no label get keys of their own below all codes, so they do not meet in one task.
+        code = F.when(quoted(c) >= 0, quoted(c)).otherwise((-2 - F.pmod(F.xxhash64(*[quoted(x) for x in df.columns]), F.lit(10_000))).cast("int"))
+        df = df.join(broadcast_if_small(lookup, sizes[c]), code == quoted(f"__code_{c}"), "left")
     return df.select(*[
         quoted(f"__label_{c}").alias(c) if c in dictionary.columns else quoted(c)
         for c in df.columns if not c.startswith(("__code_", "__label_"))
@@ -159,11 +167,44 @@ def one_hot_long(df: DataFrame, cols: Sequence[str], row_id: Sequence[str],
     return long.select(*row_id, name.alias("feature"), F.lit(1.0).alias("value"))
 
 
+def dummy_vector(df: DataFrame, dictionary: CategoryDictionary, output: str = "dummies", drop_first: bool = False) -> DataFrame:
+    """Dummies of all label columns as one sparse vector, for any number of labels; the label columns stay.
+
+    Labels become codes by a join and codes become entries by the sizes of the dictionary, so no label
+    reaches the driver. A null or unknown label, and with ``drop_first`` the first, is an all-zero block. Entries
+    follow the dictionary's columns and codes.
+    """
+    sizes, columns = dictionary.sizes(), list(dictionary.columns)
+    known = [c for c in columns if sizes[c] > int(drop_first)]
+    if not known:
+        return df.withColumn(output, array_to_vector(F.array().cast("array<double>")))
+    codes, hot = [f"__dummy_{c}" for c in known], [f"__hot_{c}" for c in known]
+    as_codes = CategoryDictionary(
+        dictionary.entries.filter(F.col("column").isin(known)).withColumn("column", F.concat(F.lit("__dummy_"), "column")), tuple(codes))
+    coded = encode_codes(df.select("*", *[quoted(c).alias(n) for c, n in zip(known, codes)]), as_codes)
+    entries = {c: sizes[c] - int(drop_first) for c in known}
+
+    def place(c: str, n: str):
+        at = quoted(n) - int(drop_first)
+        return F.when(at >= 0, at).otherwise(F.lit(entries[c])).cast("double").alias(n)
+
+    coded = coded.select(*[quoted(c) for c in df.columns], *[place(c, n) for c, n in zip(known, codes)])
+    # The encoder learns only sizes: one row with each column's last code, which stands for none and is dropped.
+    last = df.sparkSession.createDataFrame([tuple(float(entries[c]) for c in known)], [f"`{n}`".strip("`") for n in codes])
+    encoder = OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True).fit(last)
+    return VectorAssembler(inputCols=hot, outputCol=output).transform(encoder.transform(coded)).drop(*codes, *hot)
+
+
 def split_encode(train: DataFrame, test: DataFrame, cols: Sequence[str], exclude: Sequence[str] = (),
-                 drop_first: bool = True) -> tuple[DataFrame, DataFrame, CategoryDictionary]:
-    """Dummies on both sides with the training labels only."""
+                 drop_first: bool = True, form: str = "columns") -> tuple[DataFrame, DataFrame, CategoryDictionary]:
+    """Dummies on both sides with the training labels only.
+
+    ``form`` is ``columns`` (one each, refused above ``MAX_DUMMY_COLUMNS``) or ``vector`` (any number of labels).
+    """
     train, test = train.drop(*exclude), test.drop(*exclude)
     dictionary = fit_dictionary(train, [c for c in cols if c not in exclude])
+    if form == "vector":
+        return dummy_vector(train, dictionary, drop_first=drop_first), dummy_vector(test, dictionary, drop_first=drop_first), dictionary
     return one_hot(train, dictionary, drop_first), one_hot(test, dictionary, drop_first), dictionary
 
 
@@ -208,7 +249,11 @@ class DummyEncoder(Estimator):
 
 def feature_pipeline(df: DataFrame, numeric: Sequence[str], labels: Sequence[str] = (), scale: bool = False,
                      output: str = "features") -> tuple[PipelineModel, list[str]]:
-    """Numeric columns (optionally standardised) and dummies assembled into one vector."""
+    """Numeric columns (optionally standardised) and dummies assembled into one vector.
+
+    Scaling fills nulls and NaN with the column's mean of the fitting rows, which becomes zero; a column
+    without any value there cannot be scaled. Without scaling both stay NaN in the vector.
+    """
     stages, parts, names = [], [], list(numeric)
     if labels:
         dummies, dummy_names = dummy_pipeline(df, labels)
@@ -216,11 +261,18 @@ def feature_pipeline(df: DataFrame, numeric: Sequence[str], labels: Sequence[str
         parts.append("dummies")
         names += dummy_names
     raw = "__numeric" if scale else "__plain"
-    stages.append(VectorAssembler(inputCols=list(numeric), outputCol=raw, handleInvalid="keep"))
+    inputs = list(numeric)
+    if scale and inputs:
+        inputs = [f"__filled_{c}" for c in numeric]
+        casts = ", ".join(f"cast(`{c}` as double) AS `__number_{c}`" for c in numeric)
+        stages.append(SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"))
+        stages.append(Imputer(inputCols=[f"__number_{c}" for c in numeric], outputCols=inputs, strategy="mean"))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=raw, handleInvalid="keep"))
     if scale:
         stages.append(StandardScaler(inputCol=raw, outputCol="__scaled", withMean=True, withStd=True))
     stages.append(VectorAssembler(inputCols=["__scaled" if scale else raw, *parts], outputCol=output))
-    spare = ", ".join([raw, *(["__scaled"] if scale else []), *parts])
+    made = [f"`__{kind}_{c}`" for kind in ("number", "filled") for c in numeric] if scale else []
+    spare = ", ".join([raw, *(["__scaled"] if scale else []), *made, *parts])
     stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({spare}) FROM __THIS__"))
     return Pipeline(stages=stages).fit(df), names
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,10 +135,18 @@ def drop_sparse_columns(df: DataFrame, max_null: float = 0.9) -> tuple[DataFrame
 def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "row_id") -> DataFrame:
     """Add a row id: opaque when no order is asked for, else the 0-based position in that order.
 
-    The ordered form ranks through range partitions, never through one task.
+    Rows that tie in the order are told apart by a running id, so the range slices stay even however many tie.
+    The rows are written once, in slices; a row's position is its place in its slice plus the slices before.
     """
     if not order_by:
         return df.withColumn(name, F.monotonically_increasing_id())
-    from wideframe.operators.ranks import running_totals
-
-    return running_totals(df, by=[], order=list(order_by), out=name)
+    from wideframe.session import stage
+
+    order = [*[quoted(c) for c in order_by], F.col("__tie")]
+    cut = stage(df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order)
+                .withColumn("__slice", F.spark_partition_id()), "row-ids")
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    starts = cut.groupBy("__slice").agg(F.count("*").alias("__n")).select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__slice").orderBy(*order)
+    return cut.join(F.broadcast(starts), "__slice").select(
+        *[quoted(c) for c in df.columns], (F.col("__start") + F.row_number().over(inside) - 1).cast("long").alias(name))

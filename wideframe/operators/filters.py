@@ -12,18 +12,26 @@ from pyspark.sql import functions as F
 
 from wideframe.operators.columns import columns_of, quoted
 from wideframe.operators.quantiles import SMALL, exact_quantiles
+from wideframe.session import stage
 
 
 def _all(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Make NaN the same as null, once, at ingest."""
-    floating = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return df.select(*[
-        F.when(~F.isnan(quoted(c)), quoted(c)).alias(c) if c in floating else quoted(c) for c in df.columns
-    ])
+def _floating(df: DataFrame) -> set[str]:
+    return {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+
+
+def _known(df: DataFrame, col: str) -> Column:
+    """The column's value; null where it is NaN."""
+    return F.when(~F.isnan(quoted(col)), quoted(col)) if col in _floating(df) else quoted(col)
+
+
+def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Make NaN the same as null, in all columns or in ``cols``: at ingest, and before every fit here."""
+    floating = _floating(df) & set(df.columns if cols is None else cols)
+    return df.select(*[_known(df, c).alias(c) if c in floating else quoted(c) for c in df.columns])
 
 
 def base_filter(df: DataFrame, in_: Mapping[str, Sequence] | None = None, not_null: Sequence[str] = (),
@@ -61,10 +69,10 @@ def fit_outliers(df: DataFrame, cols: Sequence[str] | None = None, q: tuple[floa
                  cap: tuple[str, float] | None = None, approx: bool = False, small: int = SMALL) -> OutlierBounds:
     """Fit quantile limits of every numeric column on the capped rows.
 
-    Columns without any value get no limits. ``approx`` trades exact quantiles for one sketch pass.
+    Columns without any value get no limits, and NaN is no value. ``approx`` trades exact quantiles for one sketch pass.
     """
     columns = sorted(columns_of(df, "numeric") if cols is None else cols)
-    capped = OutlierBounds(cap).apply(df)
+    capped = nan_to_null(OutlierBounds(cap).apply(df), columns)
     if approx:
         row = capped.agg(*[
             F.percentile_approx(quoted(c), F.array(F.lit(q[0]), F.lit(q[1])), 100_000).alias(c) for c in columns
@@ -91,14 +99,14 @@ class Clamp:
     def apply(self, df: DataFrame) -> DataFrame:
         if self.low is None:
             return df
-        value = quoted(self.col)
+        value = _known(df, self.col)
         return df.withColumn(
             self.col, F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(self.low)), F.lit(self.high))))
 
 
 def fit_winsor(df: DataFrame, col: str, k: float = 3, floor: float | None = 0) -> Clamp:
-    """Limits at mean ± k sample standard deviations, the lower one not below ``floor``."""
-    mean, sd = df.agg(F.avg(quoted(col)), F.stddev_samp(quoted(col))).first()
+    """Limits at mean ± k sample standard deviations, the lower one not below ``floor``; NaN counts as null."""
+    mean, sd = df.agg(F.avg(_known(df, col)), F.stddev_samp(_known(df, col))).first()
     if mean is None or sd is None:
         return Clamp(col, None, None)
     low = mean - k * sd
@@ -119,15 +127,15 @@ class Fill:
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.select(*[
-            F.coalesce(quoted(c), F.lit(self.values[c])).alias(c) if self.values.get(c) is not None else quoted(c)
+            F.coalesce(_known(df, c), F.lit(self.values[c])).alias(c) if self.values.get(c) is not None else quoted(c)
             for c in df.columns
         ])
 
 
 def fit_mean(df: DataFrame, cols: Sequence[str] | None = None) -> Fill:
-    """Column means in one aggregation."""
+    """Column means in one aggregation; NaN counts as null."""
     columns = columns_of(df, "numeric") if cols is None else list(cols)
-    return Fill(df.agg(*[F.avg(quoted(c)).alias(c) for c in columns]).first().asDict() if columns else {})
+    return Fill(df.agg(*[F.avg(_known(df, c)).alias(c) for c in columns]).first().asDict() if columns else {})
 
 
 def fill_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -135,13 +143,24 @@ def fill_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Null and NaN become zero (``na.fill`` takes both)."""
     return df.na.fill(0, list(cols) if cols is not None else columns_of(df, "numeric"))
 
 
 def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` random rows without replacement: top-n on a random key, no full sort. All ``n`` rows meet in
-    one task, so take a share with ``sample_frac`` where many are wanted."""
-    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+    """``n`` random rows without replacement.
+
+    A random key is drawn once and written with the rows that can matter: keys below a threshold that all
+    but surely leaves a few more than ``n``. The row count decides the threshold, so the top-n that follows
+    sees about ``n`` rows whatever the size of the table; should the threshold leave too few, it is raised.
+    """
+    total, rows = df.count(), df.withColumn("__r", F.rand(seed))
+    share = 1.0 if total <= n else min(1.0, (n + 6 * n**0.5 + 20) / total)
+    while True:
+        near = stage(rows.filter(F.col("__r") <= share), "sample")
+        if share >= 1.0 or near.count() >= n:
+            return near.orderBy("__r").limit(n).drop("__r")
+        share = min(1.0, 2 * share)
 
 
 def sample_frac(df: DataFrame, fraction: float, key: Sequence[str], seed: int = 0) -> tuple[DataFrame, DataFrame]:

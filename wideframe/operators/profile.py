@@ -36,13 +36,14 @@ def label_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 def top_counts(df: DataFrame, col: str, n: int = 20, others: str = "others") -> DataFrame:
     """The ``n`` most frequent values (ties by value) and the number of all other rows.
 
-    The top rows are a per-task top-n, and the rest is a total minus their sum.
+    ``rest`` marks the row of all others, so a value that is called like it stays apart. The table is read
+    once: the counts are staged, the top rows are a per-task top-n, and the rest is the total minus their sum.
     """
-    counts = df.filter(quoted(col).isNotNull()).groupBy(quoted(col).cast("string").alias("value")).count()
-    top = counts.orderBy(F.desc("count"), "value").limit(n)
-    total = df.agg(F.count(quoted(col))).first()[0]
+    counts = stage(df.filter(quoted(col).isNotNull()).groupBy(quoted(col).cast("string").alias("value")).count(), "counts")
+    top = counts.orderBy(F.desc("count"), "value").limit(n).withColumn("rest", F.lit(False))
+    total = counts.agg(F.sum("count")).first()[0] or 0
     named = top.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("named"))
-    rest = named.select(F.lit(others).alias("value"), (F.lit(total) - F.col("named")).alias("count"))
+    rest = named.select(F.lit(others).alias("value"), (F.lit(total) - F.col("named")).alias("count"), F.lit(True).alias("rest"))
     return top.unionByName(rest.filter("count > 0"))
 
 
@@ -73,57 +74,50 @@ def spearman(df: DataFrame, cols: Sequence[str], label: str, rows_per_slice: int
     """``(feature, corr)``: absolute rank correlation of each column with the label.
 
     Rows with a null on either side are left out pair by pair, so a column with nulls needs label
-    ranks of its own; all columns without nulls share one ranking. Rows only carry their label's
-    rank and are summed per (feature, value) before the shuffle, and values are then ranked by
-    their counts through range slices: no task holds a whole column or a frequent value's rows.
+    ranks of its own; all columns without nulls share one ranking. The source is staged once and added
+    up per (feature, value, label) once for all columns; every ranking is made from those counts through
+    range slices, so the number of jobs does not grow with the columns and no task holds a whole column.
     """
-    named = df.filter(quoted(label).isNotNull()).select(
-        quoted(label).cast("double").alias("__y"), *[quoted(c).cast("double").alias(c) for c in cols])
+    named = stage(df.filter(quoted(label).isNotNull()).select(
+        quoted(label).cast("double").alias("__y"), *[quoted(c).cast("double").alias(c) for c in cols]), "rank-source")
     counted = named.agg(F.count("*").alias("__n"), *[F.count(quoted(c)).alias(c) for c in cols]).first()
-    shared = [c for c in cols if counted[c] == counted["__n"]]
-    parts = [(named, shared)] if shared else []
-    parts += [(named.filter(quoted(c).isNotNull()), [c]) for c in cols if c not in shared]
-    frames = [_rank_sums(rows, names, rows_per_slice) for rows, names in parts]
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    return whole
-
-
-def _rank_sums(rows: DataFrame, cols: Sequence[str], rows_per_slice: int) -> DataFrame:
-    """Rank correlation of columns that are non-null in all of ``rows``."""
-    labels = rows.groupBy("__y").agg(F.count("*").alias("n"))
-    ranked = stage(average_ranks(labels, [], "__y", out="ry", rows_per_slice=rows_per_slice), "label-ranks")
-    total = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("ry")).alias("sy"),
-                       F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("syy")).first()
-    with_rank = rows.join(ranked.select("__y", "ry"), "__y")
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), quoted(c).alias("x")) for c in cols])
-    sums = stage(with_rank.select("ry", F.inline(cells)).groupBy("feature", "x").agg(
-        F.count("*").alias("n"), F.sum("ry").alias("ry")), "rank-sums")
+    # The ranking of the label that a feature uses: its own number, or -1 for all features without nulls.
+    ranking = {c: -1 if counted[c] == counted["__n"] else i for i, c in enumerate(cols)}
+    first = {number: c for c, number in reversed(ranking.items())}
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(ranking[c]).alias("ranking"), quoted(c).alias("x")) for c in cols])
+    counts = stage(named.select("__y", F.inline(F.filter(cells, lambda c: c["x"].isNotNull())))
+                   .groupBy("feature", "ranking", "x", "__y").agg(F.count("*").alias("n")), "rank-counts")
+    labels = counts.filter(F.col("feature").isin(list(first.values()))).groupBy("ranking", "__y").agg(F.sum("n").alias("n"))
+    ranked = stage(average_ranks(labels, ["ranking"], "__y", out="ry", rows_per_slice=rows_per_slice), "label-ranks")
+    ry = F.col("ry")
+    totals = ranked.groupBy("ranking").agg(F.sum("n").cast("double").alias("total"), F.sum(F.col("n") * ry).alias("sy"), F.sum(F.col("n") * ry * ry).alias("syy"))
+    sums = stage(counts.join(ranked.select("ranking", "__y", "ry"), ["ranking", "__y"]).groupBy("feature", "ranking", "x").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * ry).alias("ry")), "rank-sums")
     placed = average_ranks(sums, ["feature"], "x", out="rx", rows_per_slice=rows_per_slice, staged=True)
-    n, sy, syy = (F.lit(float(total[k] or 0)) for k in ("n", "sy", "syy"))
-    moments = placed.groupBy("feature").agg(
+    moments = placed.groupBy("feature", "ranking").agg(
         F.sum(F.col("n") * F.col("rx")).alias("sx"), F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("sxx"),
-        F.sum(F.col("rx") * F.col("ry")).alias("sxy"))
-    sx = F.col("sx")
-    spread = F.sqrt((F.col("sxx") - sx * sx / n) * (syy - sy * sy / n))
+        F.sum(F.col("rx") * ry).alias("sxy")).join(F.broadcast(totals), "ranking")  # one row per column at most
+    n, sx, sy = F.col("total"), F.col("sx"), F.col("sy")
+    spread = F.sqrt((F.col("sxx") - sx * sx / n) * (F.col("syy") - sy * sy / n))
     return moments.select("feature", F.abs(F.try_divide(F.col("sxy") - sx * sy / n, spread)).alias("corr"))
 
 
 def quad_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Least-squares ``y = c0 + c1 x + c2 x²`` per group; fewer than three distinct x give nulls.
 
-    One aggregation of power sums, taken around the overall mean of x so that they do not cancel,
-    and a closed 3x3 solution per group.
+    Rows are first added up per distinct x, which also counts these, then to power sums around the
+    overall mean of x so that they do not cancel; a closed 3x3 solution per group.
     """
     both = df.filter(quoted(x).isNotNull() & quoted(y).isNotNull())
     origin = both.agg(F.avg(quoted(x).cast("double"))).first()[0] or 0.0
     a, b = quoted(x).cast("double") - F.lit(origin), quoted(y).cast("double")
-    sums = both.groupBy(*by).agg(
-        F.count("*").alias("n"), *[F.sum(F.pow(a, F.lit(p))).alias(f"x{p}") for p in range(1, 5)],
-        *[F.sum(F.pow(a, F.lit(p)) * b).alias(f"y{p}") for p in range(3)])
+    places = both.select(*by, a.alias("__x"), b.alias("__y")).groupBy(*by, "__x").agg(F.count("*").alias("__n"), F.sum("__y").alias("__y"))
+    a, times = F.col("__x"), F.col("__n")
+    sums = places.groupBy(*by).agg(
+        F.sum(times).alias("n"), F.count("*").alias("places"), *[F.sum(F.pow(a, F.lit(p)) * times).alias(f"x{p}") for p in range(1, 5)],
+        *[F.sum(F.pow(a, F.lit(p)) * F.col("__y")).alias(f"y{p}") for p in range(3)])
     solved = _solve_quadratic([F.col(c) for c in ("n", "x1", "x2", "x3", "x4")], [F.col(f"y{p}") for p in range(3)])
-    fitted = sums.select(*by, "n", *[c.alias(f"a{i}") for i, c in enumerate(solved)])
+    fitted = sums.select(*by, "n", *[F.when(F.col("places") >= 3, c).alias(f"a{i}") for i, c in enumerate(solved)])
     a0, a1, a2, at = F.col("a0"), F.col("a1"), F.col("a2"), F.lit(origin)
     return fitted.select(*by, "n", (a0 - a1 * at + a2 * at * at).alias("c0"), (a1 - 2 * a2 * at).alias("c1"),
                          a2.alias("c2"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wideframe.operators.categories import source_of
@@ -101,8 +101,12 @@ def holdout_stats(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequence[
                   small: int = SMALL) -> DataFrame:
     """Mean and 95th percentile of the absolute and of the percent error."""
     rows = _errors(df, y, pred, by)
-    absolute = with_quantiles(rows, by, [F.avg("err").alias("abs_mean")], "err", {"abs_p95": 0.95}, small)
-    percent = with_quantiles(rows, by, [F.avg("pct").alias("percent_mean")], "pct", {"percent_p95": 0.95}, small)
+    means = [F.avg("err").alias("abs_mean"), F.avg("pct").alias("percent_mean")]
+    peak = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if by and peak <= small:
+        return rows.groupBy(*by).agg(means[0], F.percentile("err", F.lit(0.95)).alias("abs_p95"), means[1], F.percentile("pct", F.lit(0.95)).alias("percent_p95"))
+    absolute = with_quantiles(rows, by, means[:1], "err", {"abs_p95": 0.95}, small)
+    percent = with_quantiles(rows, by, means[1:], "pct", {"percent_p95": 0.95}, small)
     if by:
         return null_safe_join(absolute, percent, by)
     return absolute.select("*", *[F.lit(v).alias(k) for k, v in percent.first().asDict().items()])
@@ -156,17 +160,21 @@ def merge_importance(frames: Sequence[DataFrame], feature: str = "feature", weig
 
 def stop_epoch(trace: DataFrame, tol: float, min_epochs: int, run: str = "run", epoch: str = "epoch",
                score_col: str = "score") -> DataFrame:
-    """Per run, the first epoch (counted from 1) whose gain over the one before is below ``tol``, not
-    earlier than ``min_epochs``, and the score of the last epoch kept.
+    """Per run, the first epoch whose gain over the one before is below ``tol``, not earlier than the
+    ``min_epochs``-th, and the score of the last epoch kept.
 
-    Epochs meet their predecessors in a join on (run, epoch), so a long run is spread over tasks.
+    Epochs count by their place in the run, from 1, whatever numbers they carry: traces may begin at any
+    number and leave some out. A run has as many rows as epochs, which one task orders.
     """
-    steps = trace.select(run, F.col(epoch).cast("long").alias("__e"), F.col(score_col).alias("__s"))
-    before = steps.select(run, (F.col("__e") + 1).alias("__e"), F.col("__s").alias("__p"))
-    gains = steps.join(before, [run, "__e"], "left")
-    stops = F.col("__p").isNotNull() & (F.col("__p") - F.col("__s") < tol) & (F.col("__e") + 1 >= min_epochs)
-    found = gains.groupBy(run).agg(F.min(F.when(stops, F.col("__e"))).alias("__stop"), F.max("__e").alias("__last"))
-    kept = found.select(run, (F.col("__stop") + 1).alias("stop_epoch"),
-                        F.coalesce(F.col("__stop") - 1, F.col("__last")).alias("__e"))
-    return kept.join(steps, [run, "__e"]).select(
-        run, "stop_epoch", (F.col("__e") + 1).alias("kept_epochs"), F.col("__s").alias("score"))
+    order = Window.partitionBy(run).orderBy("__e")
+    steps = trace.select(run, F.col(epoch).alias("__e"), F.col(score_col).alias("__s")).select(
+        run, "__s", F.row_number().over(order).alias("__at"), F.lag("__s").over(order).alias("__p"))
+    stops = F.col("__p").isNotNull() & (F.col("__p") - F.col("__s") < tol) & (F.col("__at") >= min_epochs)
+    found = steps.groupBy(run).agg(
+        F.min(F.when(stops, F.col("__at"))).alias("stop_epoch"), F.max("__at").alias("__last"),
+        F.min_by("__p", F.when(stops, F.col("__at"))).alias("__before"), F.max_by("__s", "__at").alias("__final"))
+    stopped = F.col("stop_epoch").isNotNull()
+    return found.select(
+        run, F.col("stop_epoch").cast("long").alias("stop_epoch"),
+        F.when(stopped, F.col("stop_epoch") - 1).otherwise(F.col("__last")).cast("long").alias("kept_epochs"),
+        F.when(stopped, F.col("__before")).otherwise(F.col("__final")).alias("score"))

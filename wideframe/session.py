@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,16 +60,16 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def stage(df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, in a folder per value of ``partition_by``.
 
     Cuts lineage so that a lost executor costs a re-read and not a recomputation, and pins values
     that a re-evaluation could change (range-partition ids, sketches). Parquet keeps later reads
     column-pruned.
     """
     path = staged_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select([f"`{c}`" for c in df.columns])
 
 
 def spread(df: DataFrame) -> DataFrame:

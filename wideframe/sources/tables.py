@@ -16,12 +16,19 @@ from wideframe.operators.columns import match_columns
 
 def read_cells(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t",
                nrows: int | None = None, spread: int | None = None) -> DataFrame:
-    """Delimited text with a header line.
+    """Delimited text with a header line, whose names say which column is which, in any order.
 
-    A gzip file is one split whatever its size, so ``spread`` redistributes its rows for the work
-    that follows. ``nrows`` reads the first rows only, as a look at a file.
+    The header of the first file decides the order, and a file with another header fails, as does a row that
+    does not fit the schema. A gzip file is one split whatever its size, so ``spread`` redistributes its rows
+    for the work that follows. ``nrows`` reads the first rows only, as a look at a file.
     """
-    df = spark.read.csv(path, schema=schema, sep=sep, header=True, nullValue="", emptyValue="")
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    head = spark.read.csv(path, sep=sep, header=True, inferSchema=False).columns
+    if sorted(head) != sorted(wanted.names):
+        raise ValueError(f"the header has {head}, the schema {wanted.names}")
+    df = spark.read.csv(path, schema=T.StructType([wanted[c] for c in head]), sep=sep, header=True, nullValue="", emptyValue="",
+                        enforceSchema=False, mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df = df.select([f"`{c}`" for c in wanted.names])
     if nrows is not None:
         df = df.limit(nrows)
     return df.repartition(spread) if spread else df
@@ -99,16 +106,45 @@ def read_units(spark: SparkSession, glob: str, id_regex: str, id_name: str = "un
     return df.withColumn(id_name, F.regexp_extract(F.col("_metadata.file_name"), id_regex, 1).cast("long"))
 
 
+#: Fixed spellings in text cells: null, an empty text, a line feed, a carriage return and a backslash.
+CSV_NULL, CSV_EMPTY, CSV_LINE, CSV_RETURN, CSV_BACKSLASH = r"\N", r"\e", r"\n", r"\r", r"\b"
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _spelled(text):
+    out = F.replace(text, F.lit("\\"), F.lit(CSV_BACKSLASH))
+    out = F.replace(F.replace(out, F.lit("\n"), F.lit(CSV_LINE)), F.lit("\r"), F.lit(CSV_RETURN))
+    return F.when(text.isNull(), CSV_NULL).when(text == "", CSV_EMPTY).otherwise(out)
+
+
+def _read_back(text):
+    out = F.replace(F.replace(text, F.lit(CSV_LINE), F.lit("\n")), F.lit(CSV_RETURN), F.lit("\r"))
+    out = F.replace(out, F.lit(CSV_BACKSLASH), F.lit("\\"))
+    return F.when(text == CSV_NULL, F.lit(None)).when(text == CSV_EMPTY, F.lit("")).otherwise(out)
+
+
+def _texts(schema: T.StructType) -> set[str]:
+    return {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Gzip CSV with a header and, beside it, the schema as JSON so that types survive the text form."""
-    spark = df.sparkSession
-    df.write.mode(mode).csv(f"{path}/rows", header=True, compression="gzip")
+    """Gzip CSV with a header and, beside it, the schema as JSON, so that rows come back as they were.
+
+    A row is one line: line breaks, nulls, empty texts and backslashes in text cells are spelled as above, and
+    padding stays. Times keep their microseconds.
+    """
+    spark, texts = df.sparkSession, _texts(df.schema)
+    cells = df.select(*[_spelled(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns])
+    cells.write.mode(mode).options(**CSV_OPTIONS).csv(f"{path}/rows", compression="gzip")
     spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/types")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(f"{path}/types").first()["value"]
-    return spark.read.csv(f"{path}/rows", schema=T.StructType.fromJson(json.loads(text)), header=True)
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/types").first()["value"]))
+    rows = spark.read.options(**CSV_OPTIONS).csv(f"{path}/rows", schema=schema, enforceSchema=False, mode="FAILFAST")
+    texts = _texts(schema)
+    return rows.select(*[_read_back(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in schema.names])
 
 
 def to_sparse_long(df: DataFrame, features: Sequence[str], row_id: Sequence[str] | str) -> DataFrame:
