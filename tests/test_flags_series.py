@@ -25,7 +25,9 @@ def test_slot_totals_repeat_and_missing(spark):
 
 @pytest.mark.parametrize("text,label", [
     ("2016-01-14", "1"), ("2016-01-15", "2"), ("12/31/2016", "27"), ("1/3/1996", "1"), ("Mar 4, 2017", "5"), ("4 Mar 2017", "5"),
-    ("2017-03-04 10:11:12", "5"), ("fall", "_fall_"), ("  12 ", "_  12 _"), ("20170304", "_20170304_"), ("", ""), (None, None)])
+    ("2017-03-04 10:11:12", "5"), ("fall", "_fall_"), ("  12 ", "_  12 _"), ("20170304", "_20170304_"), ("", ""), (None, None),
+    ("2016-04-21 00:00:00.000", "8"), ("Apr 21 2016 12:00AM", "8"), ("2016/04/21", "8"), ("4/21/16", "8"), ("2016-04-21T10:00:00Z", "8"),
+    ("2016-04-21T10:00:00.25+02:00", "8"), ("2016-04-21 10:00", "8"), ("May 3", "_May 3_"), ("1.2.3", "_1.2.3_"), ("2016/13/45", "_2016/13/45_")])
 def test_biweek(spark, text, label):
     df = spark.createDataFrame([(text,)], "d string")
     assert flags.biweek_columns(df, ["d"]).first()["d_biweek"] == label

@@ -598,3 +598,6 @@ ORACLES["id_list_complement"] = """SELECT o_orderkey, CAST(o_custkey IN (SELECT
   FROM orders"""
 ORACLES["unit_files"] = "SELECT count(*) AS n_rows, count(*) AS n_right FROM orders"
 ORACLES["model_round_trip"] = "SELECT count(*) AS n_rows, count(*) AS n_same, true AS evaluated FROM lineitem"
+
+ORACLES["biweek_spellings"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN '_May 3_'
+  ELSE CAST(CAST(ceil(dayofyear(o_orderdate) / 14.0) AS INT) AS VARCHAR) END AS d_biweek FROM orders"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wideframe.catalogue import fixtures as fx
 from wideframe.functions import flags, geometry, series
-from wideframe.operators import categories, columns, filters, folds, profile, ranks, spatial
+from wideframe.operators import categories, columns, filters, folds, joins, profile, ranks, spatial
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
 from wideframe.plans import models, validation, whatif
@@ -199,6 +199,17 @@ def biweek(spark, sf):
     return flags.biweek_columns(wide, [f"date{i}" for i in fx.SLOTS])
 
 
+@query
+def biweek_spellings(spark, sf):
+    """Order dates as databases print them."""
+    spellings = ("yyyy-MM-dd HH:mm:ss.SSS", "MMM d yyyy hh:mma", "yyyy/MM/dd", "M/d/yy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd HH:mm")
+    k = F.col("o_orderkey") % (len(spellings) + 1)
+    text = F.lit("May 3")
+    for i, spelling in enumerate(spellings):
+        text = F.when(k == i, F.date_format("o_orderdate", spelling)).otherwise(text)
+    return flags.biweek_columns(fx.table(spark, sf, "orders").select("o_orderkey", text.alias("d")), ["d"])
+
+
 @query
 def normalize_labels(spark, sf):
     status = F.when(F.col("o_orderstatus") == "P", "None").when(F.col("o_orderstatus") == "F", "").otherwise(
@@ -592,14 +603,17 @@ def assemble(spark, sf):
     """Lines with order, customer, nation, region and part, filtered at the source."""
     t = {n: fx.table(spark, sf, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part")}
     lines = filters.base_filter(t["lineitem"], {"l_returnflag": ["A", "N"]}, ["l_shipdate"], ["l_extendedprice"])
-    return (
-        lines.join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("l_orderkey", "l_linenumber", "l_quantity", "o_orderpriority", "p_brand", "p_size", "c_mktsegment",
-                "n_name", "r_name"))
+
+    def same(*names: str) -> dict[str, str]:
+        return {n: n for n in names}
+
+    return joins.assemble(lines, [
+        joins.Lookup(t["orders"], {"l_orderkey": "o_orderkey"}, same("o_custkey", "o_orderpriority")),
+        joins.Lookup(t["part"], {"l_partkey": "p_partkey"}, same("p_brand", "p_size")),
+        joins.Lookup(t["customer"], {"o_custkey": "c_custkey"}, same("c_nationkey", "c_mktsegment")),
+        joins.Lookup(t["nation"], {"c_nationkey": "n_nationkey"}, same("n_regionkey", "n_name")),
+        joins.Lookup(t["region"], {"n_regionkey": "r_regionkey"}, same("r_name")),
+    ], keep=["l_orderkey", "l_linenumber", "l_quantity", "o_orderpriority", "p_brand", "p_size", "c_mktsegment", "n_name", "r_name"])
 
 
 @query

@@ -29,6 +29,18 @@ DATE_FORMATS = (
     "d-MMM-yyyy",
 )
 
+# Further spellings, as databases print dates, and what each is read as; two-digit years are of this century.
+# Parts of seconds and zones fall away: the day is the one that is written.
+DATE_SPELLINGS = (
+    (r"(:\d{1,2})\.\d+", "$1"),
+    (r"(:\d{1,2}) ?(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$", "$1"),
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3"),
+    (r"^(\d{4}-\d{1,2}-\d{1,2}) ?[ T]\d{1,2}:\d{1,2}$", "$1"),
+    (r"^(\d{1,2}/\d{1,2})/(\d{2})( .*)?$", "$1/20$2"),
+    (r"^([A-Za-z]{3}) +(\d{1,2}),? +(\d{4})(?: +\d{1,2}:.*)?$", "$1 $2, $3"),
+)
+DATE_SPELLING = r"\d[/.:]\d|[zZ]$|[+-]\d{2}:?\d{2}$|^[A-Za-z]{3} +\d{1,2},? +\d{4}"
+
 DAYS_PER_LABEL = 14
 
 
@@ -111,9 +123,14 @@ def parsed_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Timestamp of a date in one of the formats, else null.
 
     A text is only parsed with a format whose shape it has: a failed parse is an exception in the
-    engine and costs far more than a regex.
+    engine and costs far more than a regex. What then is no date is looked at in ``DATE_SPELLINGS``.
     """
-    tried = [F.when(text.rlike(format_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    shape = "|".join(f"(?:{format_shape(f)})" for f in formats)
+    plain = text
+    for pattern, reading in DATE_SPELLINGS:
+        plain = F.regexp_replace(plain, pattern, reading)
+    known = F.when(text.rlike(shape) | ~text.rlike(DATE_SPELLING), text).otherwise(plain)
+    tried = [F.when(known.rlike(format_shape(f)), F.try_to_timestamp(known, F.lit(f))) for f in formats]
     return F.coalesce(*tried)
 
 
