@@ -208,3 +208,22 @@ def test_paths_of_category_splits_and_original_values(spark):
     weights = F.array(*[F.lit(float(w)) for w in model.treeWeights])
     replayed = paths.filter("leaf_prediction is not null").groupBy("id").agg(F.sum(F.col("leaf_prediction") * F.get(weights, F.col("tree"))).alias("sum"))
     assert replayed.join(model.transform(made), "id").filter(F.abs(F.col("sum") - F.col("prediction")) > 1e-9).count() == 0
+
+
+def test_vector_form_holds_what_the_long_form_holds(season):
+    made = plan.feature_set(season, SEASON)
+    names = made.features()
+    from pyspark.ml.functions import vector_to_array
+
+    cells = made.vector().select(*made.key, F.posexplode(vector_to_array("features")).alias("at", "value")).filter("value <> 0 and not isnan(value)")
+    named = cells.select(*made.key, F.get(F.array(*[F.lit(n) for n in names]), F.col("at")).alias("feature"), "value")
+    long = made.long()
+    assert named.exceptAll(long).count() == 0 and long.exceptAll(named).count() == 0
+
+
+def test_label_form_of_any_number_of_labels(spark):
+    df = spark.range(6_000).select("id", F.concat(F.lit("L"), "id").alias("name"), F.lit(None).cast("double").alias("x"))
+    with pytest.raises(ValueError, match="6000 labels"):
+        plan.shape_labels(df, ["name"])
+    made = plan.shape_labels(df, ["name"], ids=["id"], form="vector")
+    assert made.columns == ["x", "dummies"] and made.first()["dummies"].size == 6_000 and made.filter("x = 0").count() == 6_000

@@ -11,13 +11,14 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wideframe.functions.flags import (DATE_FORMATS, NULL_LABELS, Family, biweek_columns, exists_flags,
                                        normalize_labels, prev_delta, slot_totals)
 from wideframe.functions.series import SeriesSpec, aligned_window, attach_unit_record
-from wideframe.operators.categories import (DUMMY_SEP, CategoryDictionary, fit_dictionary, one_hot, one_hot_long)
+from wideframe.operators.categories import DUMMY_SEP, CategoryDictionary, dummy_vector, fit_dictionary, one_hot, one_hot_long
 from wideframe.operators.columns import (align_features, columns_of, drop_columns, drop_matching, keep_numbered,
                                          lower_names, quoted, rename, sanitize_names)
 from wideframe.operators.filters import Fill, OutlierBounds, fill_zero, fit_mean, fit_outliers
@@ -122,7 +123,15 @@ class FeatureSet:
         numbers = to_sparse_long(self.frame, self.numeric, self.key)
         return numbers.unionByName(one_hot_long(self.frame, self.labels, self.key, self.dictionary))
 
+    def vector(self, output: str = "features") -> DataFrame:
+        """Row key, roles and one sparse vector of numeric columns and dummies, for any number of labels; NaN stands for null."""
+        rows = dummy_vector(self.frame, self.dictionary, "__dummies")
+        kept = dict.fromkeys([*self.key, self.label, self.group, *([self.weight] if self.weight else [])])
+        parts = VectorAssembler(inputCols=[*self.numeric, "__dummies"], outputCol=output, handleInvalid="keep")
+        return parts.transform(rows).select(*[quoted(c) for c in kept], output)
+
     def features(self) -> list[str]:
+        """Names in the order of ``wide`` and ``vector``; refused above ``MAX_DUMMY_COLUMNS`` as ``wide`` is."""
         found = self.dictionary.labels()
         return [*self.numeric, *[f"{c}{DUMMY_SEP}{v}" for c in self.labels for v in found[c]]]
 
@@ -204,10 +213,14 @@ def shape_to_csv(df: DataFrame, cfg: FeatureConfig, path: str) -> None:
 
 
 def shape_labels(df: DataFrame, group_cols: Sequence[str], ids: Sequence[str] = (),
-                 nulls: Sequence[str] = ("none", "")) -> DataFrame:
-    """Lower-cased labels, dummies of the group columns, ids dropped, nulls to zero, safe names."""
+                 nulls: Sequence[str] = ("none", ""), form: str = "columns") -> DataFrame:
+    """Lower-cased labels, dummies of the group columns, ids dropped, nulls to zero, safe names.
+
+    ``form`` is ``columns`` (one per label, refused above ``MAX_DUMMY_COLUMNS``) or ``vector`` (``dummies``, any number of labels).
+    """
     lowered = normalize_labels(df, columns_of(df, "string"), nulls)
-    hot = one_hot(lowered, fit_dictionary(lowered, group_cols))
+    dictionary = fit_dictionary(lowered, group_cols)
+    hot = dummy_vector(lowered, dictionary).drop(*group_cols) if form == "vector" else one_hot(lowered, dictionary)
     return sanitize_names(fill_zero(drop_columns(hot, ids)))
 
 
