@@ -12,8 +12,8 @@ def _quoted(pattern: str) -> str:
 
 ORACLES["op9_repeats"] = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
-at AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS i FROM w),
-win AS (SELECT doc_id, i, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS g FROM at),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS i FROM w),
+win AS (SELECT doc_id, i, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS g FROM starts),
 low AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
 hit AS (SELECT doc_id, i FROM win JOIN low USING (g) WHERE first < doc_id),
 gone AS (SELECT DISTINCT doc_id, i + k AS p FROM hit, range(13) r(k)),
