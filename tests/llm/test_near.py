@@ -86,3 +86,17 @@ def test_components(spark, seed):
     nodes = {x for e in real for x in e}
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.component for r in components(df).collect()} == smallest(nodes, real)
+
+
+def test_no_link_is_lost_in_a_large_messy_group(spark):
+    """Copies of one text with up to a third of it changed, and copies of those copies: links of all strengths, many of them lone."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(140)]
+    texts = {}
+    for k in range(700):
+        t = texts[rng.randrange(k)].split() if k > 5 and rng.random() < 0.6 else list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 8])):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(10**6)}"
+        texts[k] = " ".join(t)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert got(near.near_duplicates(df)) == brute(texts)

@@ -2,8 +2,8 @@
 
 Plan. Texts are read once for signatures; equal shingle sets form classes and only a class's smallest document goes on. Every
 band bucket is first a star around its smallest member. A document checks the one centre with which it shares most bands, by
-signature and then by full sets, and the links give components. Buckets that still hold several components are compared in
-full, in blocks of bounded size, where a task keeps only links that join components that it has not joined yet. So no group of
+signature and then by full sets, and the links give components. Buckets of two whose pair was not that one are checked alike. Larger
+buckets that still hold several components are compared in full, in blocks of bounded size, where a task keeps only links that join components that it has not joined yet. So no group of
 copies is written out as pairs, and no pair of a bucket whose ends are in different components goes unchecked.
 """
 
@@ -157,29 +157,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = stage(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, one long, two long, signature binary"), "signatures")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("one", "two").agg(F.min("doc_id").alias("node"))
+    # Small sides of joins are staged where they were grouped by the join's key: a join over a fresh exchange on either side
+    # lets adaptive execution split a key that holds many rows, a class of copies or a bucket of near copies.
+    classes = stage(usable.groupBy("one", "two").agg(F.min("doc_id").alias("node")), "classes")
     members = usable.select("doc_id", "one", "two").join(classes, ["one", "two"]).select("doc_id", "node").distinct()
     nodes = usable.join(classes.select("one", "two", F.col("node").alias("doc_id")), ["one", "two", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    nodes = nodes.select(F.col("doc_id").alias("node"), "signature")
+    nodes = stage(nodes.select(F.col("doc_id").alias("node"), "signature"), "nodes")
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keys = nodes.select("node", "signature", band.alias("band"))
     keys = keys.select("node", F.xxhash64(F.expr(f"substring(signature, band * {4 * ROWS} + 1, {4 * ROWS})"), "band").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    centres = stage(keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1"), "centres")
     buckets = stage(keys.join(centres, "key"), "buckets")
 
     # A star around each bucket's smallest member; each document checks the centre it shares most bands with.
     shared = buckets.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
     best = shared.groupBy("node").agg(F.max(F.struct("n", F.negative("centre").alias("c"))).alias("m")).select(F.negative("m.c").alias("a"), F.col("node").alias("b"))
     equal = F.expr(" + ".join(f"int(substring(sa, {4 * k + 1}, 4) = substring(sb, {4 * k + 1}, 4))" for k in range(BANDS * ROWS)))
-    likely = (best.join(nodes.toDF("a", "sa"), "a").join(nodes.toDF("b", "sb"), "b").filter(equal >= LEAST_EQUAL).select("a", "b"))
-    likely = stage(likely, "pairs")
-    texts = stage(_among(docs, likely.select("a").union(likely.select("b")).distinct().toDF("node")), "texts")
-    links = stage(likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").mapInArrow(_verified, "a long, b long"), "links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs ``a, b`` the links: by signature, then by full sets."""
+        likely = stage(pairs.join(nodes.toDF("a", "sa"), "a").join(nodes.toDF("b", "sb"), "b").filter(equal >= LEAST_EQUAL).select("a", "b"), "pairs")
+        texts = stage(_among(docs, likely.select("a").union(likely.select("b")).distinct().toDF("node")), "texts")
+        return stage(likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").mapInArrow(_verified, "a long, b long"), "links")
+
+    best = stage(best, "best")
+    links = confirmed(best)
     labels = stage(components(links), "labels")
+    label = F.coalesce("component", "node")
+
+    # Buckets of two: their pair, unless it was the one checked or its ends are joined by now.
+    twos = buckets.filter("size = 2 and node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    ends = [labels.toDF(n, f"c{n}") for n in ("a", "b")]
+    twos = twos.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = links.union(confirmed(twos))
 
     # Buckets of three and more that still hold several components: all their pairs, in blocks.
-    label = F.coalesce("component", "node")
     open_ = buckets.filter("size > 2").join(labels, "node", "left").select("key", "node", "size", label.alias("component"))
     several = (open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.max("size").alias("size"))
                .filter("low < high").groupBy("content", "size").agg(F.min("key").alias("key")).select("key"))
@@ -187,7 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = _among(docs, rest.select("node").distinct())
     full = stage(rest.join(nodes, "node").join(texts, "node"), "blocks")
     sizes = full.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    full = full.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = full.join(stage(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("key", "node", "component", "signature", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     more = full.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long")
