@@ -4,7 +4,8 @@ Plan. Documents are packed once into chunks of about 4 MB of text, written compr
 is fixed by that write. Every later exchange carries one row per chunk and symbol, however many documents of the chunk hold
 it, so a passage in a third of all documents costs one row per chunk and not one per document.
 
-1. Copies: texts with equal digests; a copy of a smaller document is covered whole and takes no part in steps 2 and 3.
+1. Copies: each chunk sends its distinct texts' digests with their smallest document. A copy of a smaller document is covered whole
+   and sends no windows in step 3.
 2. Reveal: each chunk sends the fingerprints of its windows' symbols; sorted by fingerprint, neighbours of different chunks
    are shared. Within a chunk the same is found on the spot.
 3. Verify: windows under shared symbols are sent as 128-bit hashes of their words with the chunk's smallest document; the
@@ -47,14 +48,23 @@ def _unpacked(blob: pa.Scalar) -> tuple[np.ndarray, pa.Array]:
     return ids.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), texts
 
 
+def _first_of(ids: np.ndarray, texts: pa.Array) -> tuple[list[bytes], dict[bytes, int]]:
+    """Each text's digest, and the smallest document of each."""
+    digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts.fill_null("").to_pylist()]
+    first: dict[bytes, int] = {}
+    for digest, doc in zip(digests, ids.tolist()):
+        first[digest] = min(first.get(digest, doc), doc)
+    return digests, first
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            ids = part.column("doc_id")
-            digests = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in part.column("text").to_pylist()]
+            ids = part.column("doc_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
+            _, first = _first_of(ids, part.column("text"))
             yield pa.record_batch([
-                pa.array([uuid.uuid4().int >> 66], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                pa.array([digests], pa.list_(pa.binary())), pa.array([_packed(part)], pa.binary())],
+                pa.array([uuid.uuid4().int >> 66], pa.int64()), pa.array([list(first.values())], pa.list_(pa.int64())),
+                pa.array([list(first)], pa.list_(pa.binary())), pa.array([_packed(part)], pa.binary())],
                 names=["chunk", "ids", "digests", "blob"])
 
 
@@ -109,6 +119,15 @@ def _list(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else np.zeros(0, np.int64)
 
 
+def _is_copy(batch: pa.RecordBatch, row: int, ids: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Documents whose text a smaller document has, in this chunk or, as ``copied`` and ``origin`` say, in another."""
+    digests, first = _first_of(ids, texts)
+    cell = batch.column(batch.schema.get_field_index("copied"))[row]
+    if cell.is_valid:
+        first.update(zip(cell.as_py(), batch.column(batch.schema.get_field_index("origin"))[row].as_py()))
+    return np.fromiter((first[d] for d in digests), np.int64, len(digests)) < ids
+
+
 def _windows(window: int):
     """Chunks with their shared symbols: the windows under those symbols, each with the chunk's smallest document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +136,7 @@ def _windows(window: int):
                 ids, texts = _unpacked(batch.column("blob")[row])
                 words, hashes, starts, owner, prints = _chunk_windows(texts, window)
                 docs = ids[owner]
-                use = _is_in(prints.view(np.int64), _list(batch, "symbols", row)) & ~_is_in(docs, _list(batch, "copies", row))
+                use = _is_in(prints.view(np.int64), _list(batch, "symbols", row)) & ~_is_copy(batch, row, ids, texts)[owner]
                 one = gram_hashes(hashes, window)[starts[use]].view(np.int64)
                 two = gram_hashes(words.hashes(1), window, BASES[1])[starts[use]].view(np.int64)
                 order = np.lexsort((docs[use], two, one))
@@ -169,7 +188,7 @@ def _covered(ids, starts, owner, prints, one, copies, found, smallest, window, f
         found, smallest = found[sort], smallest[sort]
         place = np.minimum(np.searchsorted(found, one), len(found) - 1)
         least = np.where(found[place] == one, np.minimum(least, smallest[place]), least)
-    hit = (least < docs) | _is_in(docs, copies)
+    hit = (least < docs) | copies[owner]
     edge = np.zeros(first[-1] + 1, np.int64)
     np.add.at(edge, starts[hit], 1)
     np.add.at(edge, starts[hit] + window, -1)
@@ -197,7 +216,7 @@ def _results(window: int, digest_only: bool):
                 ids, texts = _unpacked(batch.column("blob")[row])
                 words, hashes, starts, owner, prints = _chunk_windows(texts, window)
                 one = gram_hashes(hashes, window)[starts].view(np.int64)
-                gone = _covered(ids, starts, owner, prints, one, _list(batch, "copies", row), _list(batch, "found", row),
+                gone = _covered(ids, starts, owner, prints, one, _is_copy(batch, row, ids, texts), _list(batch, "found", row),
                                 _list(batch, "smallest", row), window, words.first)
                 counts = np.diff(words.first)
                 removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
@@ -223,7 +242,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, digest_only: bool =
     blobs = chunks.select("chunk", "blob")
     each = chunks.select("chunk", F.explode(F.arrays_zip("ids", "digests")).alias("t")).select("chunk", F.col("t.ids").alias("doc"), F.col("t.digests").alias("digest"))
     first = each.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    copies = each.join(first, "digest").filter("doc > first").groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
+    copies = each.join(stage(first, "first"), "digest").filter("doc > first").groupBy("chunk").agg(F.collect_list("digest").alias("copied"), F.collect_list("first").alias("origin"))
     symbols = (blobs.mapInArrow(_symbols(window), "symbol long, chunk long").repartition("symbol").sortWithinPartitions("symbol", "chunk")
                .mapInArrow(_shared, "chunk long, symbol long").groupBy("chunk").agg(F.collect_list("symbol").alias("symbols")))
     marked = stage(symbols.join(copies, "chunk", "full"), "symbols")
@@ -231,5 +250,5 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, digest_only: bool =
                .mapInArrow(_windows(window), "one long, two long, doc long, chunk long")
                .repartition("one").sortWithinPartitions("one", "two", "doc").mapInArrow(_smallest, "chunk long, one long, smallest long"))
     found = stage(windows.groupBy("chunk").agg(F.collect_list("one").alias("found"), F.collect_list("smallest").alias("smallest")), "windows")
-    return (blobs.join(marked.select("chunk", "copies"), "chunk", "left").join(found, "chunk", "left")
+    return (blobs.join(marked.select("chunk", "copied", "origin"), "chunk", "left").join(found, "chunk", "left")
             .mapInArrow(_results(window, digest_only), "doc_id long, n_words long, n_removed long, kept_text string"))
