@@ -36,14 +36,22 @@ class CategoryDictionary:
     entries: DataFrame
     columns: tuple[str, ...]
     _sizes: dict[str, int] = field(default_factory=dict)
+    _bytes: dict[str, int] = field(default_factory=dict)
 
     def sizes(self) -> dict[str, int]:
         """Number of labels per column."""
         if not self._sizes:
-            counted = self.entries.groupBy("column").count().collect()  # one row per column
-            self._sizes = {c: 0 for c in self.columns} | {r["column"]: r["count"] for r in counted}
+            counted = self.entries.groupBy("column").agg(  # one row per column
+                F.count("*").alias("n"), F.sum(F.octet_length("label") + 40).alias("bytes")).collect()
+            self._sizes = {c: 0 for c in self.columns} | {r["column"]: r["n"] for r in counted}
+            self._bytes = {c: 0 for c in self.columns} | {r["column"]: r["bytes"] for r in counted}
         return self._sizes
 
+    def bytes(self) -> dict[str, int]:
+        """Size of each column's labels and codes as rows."""
+        self.sizes()
+        return self._bytes
+
     def labels(self, limit: int = MAX_DUMMY_COLUMNS) -> dict[str, list[str]]:
         """The labels themselves, for uses that need one column per label; refused above ``limit``."""
         total = sum(self.sizes().values())
@@ -92,7 +100,7 @@ def encode_codes(df: DataFrame, dictionary: CategoryDictionary, unknown: str = "
             codes[c] = F.lit(None).cast("int")
         else:
             lookup = dictionary.of(c).select(F.col("label").alias(f"__label_{c}"), F.col("code").alias(f"__code_{c}"))
-            lookup = broadcast_if_small(lookup, sizes[c])
+            lookup = broadcast_if_small(lookup, sizes[c], dictionary.bytes()[c])
             df = df.join(lookup, F.coalesce(label, _no_label(df)) == F.col(f"`__label_{c}`"), "left").drop(f"__label_{c}")
             codes[c] = quoted(f"__code_{c}")
 
@@ -116,7 +124,7 @@ def decode_codes(df: DataFrame, dictionary: CategoryDictionary) -> DataFrame:
         lookup = dictionary.of(c).select(F.col("code").alias(f"__code_{c}"), F.col("label").alias(f"__label_{c}"))
         # Codes that stand for no label get keys of their own below all codes, so they do not meet in one task.
         code = F.when(quoted(c) >= 0, quoted(c)).otherwise((-2 - F.pmod(F.xxhash64(*[quoted(x) for x in df.columns]), F.lit(10_000))).cast("int"))
-        df = df.join(broadcast_if_small(lookup, sizes[c]), code == quoted(f"__code_{c}"), "left")
+        df = df.join(broadcast_if_small(lookup, sizes[c], dictionary.bytes()[c]), code == quoted(f"__code_{c}"), "left")
     return df.select(*[
         quoted(f"__label_{c}").alias(c) if c in dictionary.columns else quoted(c)
         for c in df.columns if not c.startswith(("__code_", "__label_"))
@@ -162,7 +170,7 @@ def one_hot_long(df: DataFrame, cols: Sequence[str], row_id: Sequence[str],
     if dictionary is not None:
         entries = dictionary.entries.filter(F.col("code") >= int(drop_first)).select("column", "label")
         total = sum(dictionary.sizes().values())
-        long = long.join(broadcast_if_small(entries, total), ["column", "label"], "left_semi")
+        long = long.join(broadcast_if_small(entries, total, sum(dictionary.bytes().values())), ["column", "label"], "left_semi")
     name = F.concat("column", F.lit(DUMMY_SEP), "label")
     return long.select(*row_id, name.alias("feature"), F.lit(1.0).alias("value"))
 

@@ -17,6 +17,7 @@ from wideframe.session import stage
 
 ROWS_PER_SLICE = 1_000_000
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -29,9 +30,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in on])
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a table whose row count was measured; above the bound the plain join stays."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, rows: int, size: int | None = None) -> DataFrame:
+    """Broadcast hint for a table whose rows, and bytes where a row has no bound, were measured; else the plain join stays."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None,

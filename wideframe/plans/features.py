@@ -107,6 +107,7 @@ class FeatureSet:
     numeric: Sequence[str]
     labels: Sequence[str]
     dictionary: CategoryDictionary
+    complete: bool = False  # the dictionary was fitted on these very rows, so it has all of their labels
 
     def part(self, name: str) -> DataFrame:
         """A column subset by role (``numeric``, ``labels``, ``label``, ``group``, ``weight``) with the row key."""
@@ -121,7 +122,7 @@ class FeatureSet:
     def long(self) -> DataFrame:
         """The same as non-zero ``(row key, feature, value)`` triples, for any number of labels."""
         numbers = to_sparse_long(self.frame, self.numeric, self.key)
-        return numbers.unionByName(one_hot_long(self.frame, self.labels, self.key, self.dictionary))
+        return numbers.unionByName(one_hot_long(self.frame, self.labels, self.key, None if self.complete else self.dictionary))
 
     def vector(self, output: str = "features") -> DataFrame:
         """Row key, roles and one sparse vector of numeric columns and dummies, for any number of labels; NaN stands for null."""
@@ -196,7 +197,7 @@ def feature_set(df: DataFrame, cfg: FeatureConfig, staged: bool = True) -> Featu
     """
     shaped = shape(clean(df, cfg), cfg, drop=True)
     shaped = stage(shaped, "shaped") if staged else shaped
-    return fit_features(shaped, cfg).transform(shaped, drop_outliers=True)
+    return replace(fit_features(shaped, cfg).transform(shaped, drop_outliers=True), complete=True)
 
 
 def encode_raw(df: DataFrame, cfg: FeatureConfig, staged: bool = True) -> FeatureSet:
