@@ -88,5 +88,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
         else:
             once = once.groupBy("content").agg(F.first("text").alias("text")).join(missing, "content", "left_semi")
         once.mapInArrow(_encoded(kind, model, version), _SCHEMA).write.mode("append").parquet(cache)
-    return (texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(counted(), "content")
+    # Staged, so that the join has an exchange of its own on either side and rows of one frequent text can be split.
+    counts = stage(counted(), "counts")
+    return (texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(counts, "content")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
