@@ -2,6 +2,7 @@
 
 import pytest
 from llm.odd import TEXTS, no_documents, odd_documents, prose
+from pyspark.sql import functions as F
 from wideframe.llm import decontaminate as d
 
 ITEM = "A train leaves the old station near Paris with 120 people and drives 45 km to the town of Lyon where 30 people get off before it returns to Paris again."
@@ -42,3 +43,14 @@ def test_odd_documents(spark):
     assert {r.doc_id for r in rows if r.contaminated} == {1, 2, 3, 17}
     assert d.contamination(no_documents(spark), benchmark).count() == 0
     assert d.contamination(odd_documents(spark), benchmark.filter("false")).filter("contaminated").count() == 0
+
+
+def test_many_names_and_numbers_in_a_row(spark):
+    names = " ".join("Ab" + "c" * (k % 7) for k in range(100_000))
+    numbers = ",".join(str(7 ** (k % 9)) for k in range(100_000))
+    fill = prose(700, 30)
+    texts = [(1, fill + " " + names + "\n" + ITEM), (2, fill + " " + numbers + "\n" + ITEM), (3, names + " " + numbers), (4, "a " + names.replace(" ", ", "))]
+    got = found(spark, texts)
+    assert got[1] == got[2] == (True, 1, 1, "1") and not got[3][0] and not got[4][0]
+    words = spark.createDataFrame([("x " + names + ". 1.2.3, 4:5. de La Paz, Oslo",)], "text string").select(d.tokens(F.col("text"))).first()[0]
+    assert words == ["x", "«e:" + names.lower() + "»", "«n:1.2.3»", "«n:4:5»", "de", "«e:la paz»", "«e:oslo»"]

@@ -29,12 +29,17 @@ NUMBER = r"([0-9]+(?:[.,:][0-9]+)*)"
 UNIT = r"(«n:[^»]*») ?(%|€|\$|(?:" + "|".join(UNITS) + r")\b)"
 TOKEN = r"«[^»]*»|[\p{L}\p{M}]+"
 
+#: The same two with possessive repetition, which Java runs as a loop: a repeated group of varying length is a call a round otherwise and
+#: ends in a stack overflow on some thousand names or numbers in a row. Nothing follows the repetitions, so the matches are the same.
+LOOPED_NAME = r"([\p{Ll},;] )(\p{Lu}[\p{L}\p{M}]*+(?: \p{Lu}[\p{L}\p{M}]*+)*+)"
+LOOPED_NUMBER = r"([0-9]++(?:[.,:][0-9]++)*+)"
+
 
 def tokens(text: Column) -> Column:
     """Words in small letters without punctuation; numbers, units and names as ``«n:value»``, ``«u:value»``, ``«e:value»``."""
     text = F.translate(text, "«»", "  ")
-    text = F.regexp_replace(text, NAME, r"$1«e:$2»")
-    text = F.regexp_replace(text, NUMBER, r" «n:$1» ")
+    text = F.regexp_replace(text, LOOPED_NAME, r"$1«e:$2»")
+    text = F.regexp_replace(text, LOOPED_NUMBER, r" «n:$1» ")
     text = F.lower(F.regexp_replace(text, UNIT, r"$1 «u:$2» "))
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
