@@ -54,3 +54,23 @@ def test_many_names_and_numbers_in_a_row(spark):
     assert got[1] == got[2] == (True, 1, 1, "1") and not got[3][0] and not got[4][0]
     words = spark.createDataFrame([("x " + names + ". 1.2.3, 4:5. de La Paz, Oslo",)], "text string").select(d.tokens(F.col("text"))).first()[0]
     assert words == ["x", "«e:" + names.lower() + "»", "«n:1.2.3»", "«n:4:5»", "de", "«e:la paz»", "«e:oslo»"]
+
+
+QUESTIONS = [(1, "What is the capital of France?"), (2, "Which of the two rivers that cross the old town is the longer one?"),
+             (3, "Alice has 5 red cats. Alice buys 3 more cats. How many cats does Alice own now?"),
+             (4, "In spring Anna, Bert, Carl, Dora, Emil and Fritz walked 12 km with Gerd, Hans, Ida and Jan to the lake near Bonn."), (5, ITEM)]
+
+
+def test_in_any_place_and_case(spark):
+    text = dict(QUESTIONS)
+    fill = [prose(800 + k, 20) for k in range(20)]
+    robert = text[3].replace("Alice", "Robert").replace("5", "7")
+    docs = [(10 * i + k, f"{fill[k]} asked me {t} {fill[i]}") for i, t in QUESTIONS for k, t in enumerate((t, t.lower(), t.upper()))]
+    docs += [(61, robert), (62, fill[1] + " asked me " + robert), (63, robert.replace("Robert", "Maria", 1)), (64, "asked me What is the capital of Spain?"),
+             (65, "asked me what was the capital of France?"), (66, fill[3]), (67, "where Bob Smith said " + ITEM.replace("Paris again", "Paris Again"))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_items, r.n_exact, r.items) for r in d.contamination(docs, spark.createDataFrame(QUESTIONS, "item_id long, text string")).collect()}
+    for i, _ in QUESTIONS:
+        assert all(got[10 * i + k] == (1, 1, str(i)) for k in range(3)), (i, got)
+    assert got[61] == got[62] == (1, 0, "3") and got[64] == (1, 0, "1")
+    assert got[63] == got[65] == got[66] == (0, 0, "") and got[67] == (1, 1, "5")

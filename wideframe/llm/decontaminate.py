@@ -33,17 +33,31 @@ TOKEN = r"«[^»]*»|[\p{L}\p{M}]+"
 #: ends in a stack overflow on some thousand names or numbers in a row. Nothing follows the repetitions, so the matches are the same.
 LOOPED_NAME = r"([\p{Ll},;] )(\p{Lu}[\p{L}\p{M}]*+(?: \p{Lu}[\p{L}\p{M}]*+)*+)"
 LOOPED_NUMBER = r"([0-9]++(?:[.,:][0-9]++)*+)"
+#: Every run of capitalised words, whatever stands before it.
+CAPITALS = r"(?<![\p{L}\p{M}])(\p{Lu}[\p{L}\p{M}]*+(?: \p{Lu}[\p{L}\p{M}]*+)*+)"
 
+#: Readings of a text: names by what stands before them; no names and no case, for copies in mid-sentence, capitals or small letters;
+#: every capitalised word a name, for names at the start of a sentence.
+CONTEXT, PLAIN, CAPITAL = 0, 1, 2
+FORMS = (CONTEXT, PLAIN, CAPITAL)
 
-def tokens(text: Column) -> Column:
+
+def tokens(text: Column, form: int = CONTEXT) -> Column:
     """Words in small letters without punctuation; numbers, units and names as ``«n:value»``, ``«u:value»``, ``«e:value»``."""
     text = F.translate(text, "«»", "  ")
-    text = F.regexp_replace(text, LOOPED_NAME, r"$1«e:$2»")
+    if form == CONTEXT:
+        text = F.regexp_replace(text, LOOPED_NAME, r"$1«e:$2»")
+    text = F.regexp_replace(text, CAPITALS, r"«e:$1»") if form == CAPITAL else F.lower(text) if form == PLAIN else text
     text = F.regexp_replace(text, LOOPED_NUMBER, r" «n:$1» ")
     text = F.lower(F.regexp_replace(text, UNIT, r"$1 «u:$2» "))
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def _readings(text: Column) -> Column:
+    """A row for each form of the text: ``r.form``, ``r.words``."""
+    return F.explode(F.array(*[F.struct(F.lit(f).alias("form"), tokens(text, f).alias("words")) for f in FORMS])).alias("r")
+
+
 def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("«")), F.substring(w, 1, 2)).otherwise(w))
 
@@ -60,33 +74,33 @@ def _literal(words: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, shift, windows, of, exact``: where a benchmark item's text, or its template with other values, is in a document.
+    """``doc_id, item_id, form, shift, windows, of, consistent, exact``: where a benchmark item's text, or its template with other values, is in a document.
 
-    ``shift`` is the place of the item's first token among the document's, ``windows`` how many template windows agree there
-    (of the item's ``of``), ``exact`` whether all values behind placeholders are the item's own. Values must be consistent: one value of the item stands for
-    one value of the document throughout, within each type of placeholder.
+    Item and document are compared in each of the ``FORMS``. ``shift`` is the place of the item's first token among the document's,
+    ``windows`` how many template windows agree there (of the item's ``of``), ``exact`` whether all values behind placeholders are the
+    item's own, ``consistent`` whether one value of the item stands for one value of the document throughout, within each type of placeholder.
 
     Null texts and items without text have no windows; windows that are mostly placeholders are not used, so an item of
     placeholders only is never found. Null ids take no part. Rows that repeat an id are searched each; equal hits count once.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).filter("item_id is not null and size(words) > 0")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    items = benchmark.select(F.col("item_id").cast("long"), _readings(text)).select("item_id", "r.*").filter("item_id is not null and size(words) > 0")
     items = items.distinct().withColumn("template", template(F.col("words"))).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
     items = stage(items, "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
     windows = None
     for size in sizes:
-        own = items.filter(F.col("size") == size).select("item_id", "size", "words", "template", F.posexplode(_windows(size)).alias("at", "hash"))
-        own = own.select("item_id", "size", "at", "hash", F.slice("words", F.col("at") + 1, size).alias("item_words"), F.slice("template", F.col("at") + 1, size).alias("item_template"))
+        own = items.filter(F.col("size") == size).select("item_id", "form", "size", "words", "template", F.posexplode(_windows(size)).alias("at", "hash"))
+        own = own.select("item_id", "form", "size", "at", "hash", F.slice("words", F.col("at") + 1, size).alias("item_words"), F.slice("template", F.col("at") + 1, size).alias("item_template"))
         own = own.filter(_literal(F.col("item_words")) >= LITERAL * size)
         windows = own if windows is None else windows.unionByName(own)
     if windows is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shift int, windows long, of long, exact boolean")
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, form int, shift int, windows long, of long, consistent boolean, exact boolean")
     windows = stage(windows, "windows")
     number = windows.count()
     sized = lambda df: F.broadcast(df) if number <= BROADCAST_WINDOWS else df
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text")).filter("doc_id is not null")
-    doc_tokens = docs.withColumn("template", template(tokens(F.col("text"))))
+    doc_tokens = docs.select("doc_id", _readings(F.col("text"))).select("doc_id", template(F.col("r.words")).alias("template"))
     known = windows.select("hash").distinct()
     found = None
     for size in sizes:
@@ -95,35 +109,42 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = stage(found.distinct(), "found")
     ids = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
     # Few documents are left; now with their values.
-    few = stage(docs.join(ids, "doc_id", "left_semi").distinct().select("doc_id", tokens(F.col("text")).alias("words")).withColumn("template", template(F.col("words"))), "few")
+    few = stage(docs.join(ids, "doc_id", "left_semi").distinct().select("doc_id", _readings(F.col("text"))).select("doc_id", "r.*").withColumn("template", template(F.col("words"))), "few")
     pairs = None
     for size in sizes:
         # The templates are compared as they were stored: a lambda function in a join key is not safe where Spark builds the sides of
         # several joins at once, as for the branches of a union.
-        here = few.select("doc_id", "words", "template", F.posexplode(_windows(size)).alias("place", "hash"))
-        here = here.select("doc_id", "place", "hash", F.slice("words", F.col("place") + 1, size).alias("doc_words"), F.slice("template", F.col("place") + 1, size).alias("doc_template"))
-        here = here.join(sized(windows.filter(F.col("size") == size)), "hash").filter(F.col("item_template") == F.col("doc_template")).select(
-            "doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "item_words", "doc_words")
+        here = few.select("doc_id", "form", "words", "template", F.posexplode(_windows(size)).alias("place", "hash"))
+        here = here.select("doc_id", "form", "place", "hash", F.slice("words", F.col("place") + 1, size).alias("doc_words"), F.slice("template", F.col("place") + 1, size).alias("doc_template"))
+        here = here.join(sized(windows.filter(F.col("size") == size)), ["form", "hash"]).filter(F.col("item_template") == F.col("doc_template")).select(
+            "doc_id", "item_id", "form", (F.col("place") - F.col("at")).alias("shift"), "at", "item_words", "doc_words")
         pairs = here if pairs is None else pairs.union(here)
     pairs = stage(pairs.distinct(), "hits")
-    key = ["doc_id", "item_id", "shift"]
+    key = ["doc_id", "item_id", "form", "shift"]
     slots = (pairs.select(*key, F.explode(F.arrays_zip("item_words", "doc_words")).alias("w")).select(*key, F.col("w.item_words").alias("mine"), F.col("w.doc_words").alias("theirs"))
              .filter(F.startswith("mine", F.lit("«"))).distinct())
     slots = slots.groupBy(*key, "mine").agg(F.count("*").alias("values"), F.min(F.col("mine") == F.col("theirs")).alias("same"))
     slots = slots.groupBy(*key).agg(F.max("values").alias("values"), F.min("same").alias("same"))
     at = pairs.groupBy(*key).agg(F.count_distinct("at").alias("windows"))
-    of = windows.groupBy("item_id").agg(F.count_distinct("at").alias("of"))
-    return (at.join(slots, key, "left").filter(F.coalesce("values", F.lit(1)) == 1).join(sized(of), "item_id")
-            .select(*key, "windows", "of", F.coalesce("same", F.lit(True)).alias("exact")))
+    of = windows.groupBy("item_id", "form").agg(F.count_distinct("at").alias("of"))
+    return at.join(slots, key, "left").join(sized(of), ["item_id", "form"]).select(
+        *key, "windows", "of", (F.coalesce("values", F.lit(1)) == 1).alias("consistent"), F.coalesce("same", F.lit(True)).alias("exact"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_items, n_exact, items`` of the documents in which items occur: six template windows in place, or all of a shorter item.
 
-    ``items`` lists their ids in order, ``n_exact`` counts those found with their own values.
+    ``items`` lists their ids in order, ``n_exact`` counts those found with their own values. Occurrences by context count as they are.
+    Those of the other forms add to them: a whole item with its own values always, others unless values were inconsistent in any form,
+    since a passage without names would else pass for an item whose names do not fit.
     """
     found = occurrences(docs, benchmark).filter(F.col("windows") >= F.least("of", F.lit(RUN)))
-    found = found.groupBy("doc_id", "item_id").agg(F.max("exact").alias("exact"))
+    context, fits, own = F.col("form") == CONTEXT, F.col("consistent"), F.col("exact")
+    found = found.groupBy("doc_id", "item_id").agg(
+        F.max(context & fits).alias("by_context"), F.max(context & fits & own).alias("context_exact"), F.max(~fits).alias("odd"),
+        F.max(~context & fits).alias("other"), F.max(~context & fits & own).alias("other_exact"),
+        F.max(~context & fits & own & (F.col("windows") == F.col("of"))).alias("whole"))
+    found = found.filter("by_context or whole or other and not odd").withColumn("exact", F.expr("context_exact or whole or not by_context and other_exact"))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum(F.col("exact").cast("long")).alias("n_exact"),
                                        F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda i: i.cast("string")), ",").alias("items"))
 
