@@ -11,6 +11,7 @@ from .chat import assemble, conversation_digests, extra_turns
 from .decontaminate import contamination
 from .mixing import mixed
 from .near_duplicates import near_duplicates
+from .packing import pack
 from .quality import quality
 from .repeats import repeated_passages
 from .search import quantised, top_products
@@ -75,6 +76,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), staged_path(spark, "token-cache"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Pieces and attention cost are bounded by what the tokens imply, so that sequences are as few as they can be.
+    packed = pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_top_products": op2_top_products,
@@ -86,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_repeats": op9_repeats,
     "op10_token_counts": op10_token_counts,
+    "op13_packing": op13_packing,
 }
