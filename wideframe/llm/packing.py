@@ -25,13 +25,21 @@ from .words import Words, slices
 
 #: The token behind every document.
 END = 0
-#: Words whose ids a task remembers, and the longest such word in bytes: about 200 MB at most. Others are encoded as they come.
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: Words whose ids a task remembers, and their bytes: about 150 MB at most. Beyond them it starts anew.
+MEMO_WORDS, MEMO_BYTES = 600_000, 32 << 20
+#: Words that go to the tokenizer's library as one text.
+TOGETHER = 64
+#: Signs that are a word of their own behind an ASCII letter or digit.
+TAILS = b".,;:!?"
 #: Pieces in one Arrow batch; 32 MB at 2,048 tokens.
 BATCH = 4096
 #: Rows of the table of counts per partition and length that may be broadcast (about 100 bytes each in memory, 30 MB); more are joined by a shuffle.
 BROADCAST_COUNTS = 300_000
 
+_TAIL, _STEM = np.zeros(256, bool), np.zeros(256, bool)
+_TAIL[list(TAILS)] = True
+_STEM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
 _PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, seen long"
 
 
@@ -124,7 +132,10 @@ def plan(counts: Mapping[int, int], capacities: Capacities) -> tuple[np.ndarray,
 
 
 class _Encoder:
-    """Ids of whole columns of text: every distinct word is encoded once, words are what white space parts."""
+    """Ids of whole columns of text: every distinct word is encoded once, words are what white space parts.
+
+    A full stop or the like behind an ASCII letter or digit is a word of its own, as no pattern of the vocabulary goes on there.
+    """
 
     def __init__(self, model: bytes):
         import os
@@ -135,34 +146,67 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_str(model.decode("utf-8"))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, np.ndarray] = {}
+        words = self.tokenizer.get_vocab()
+        #: Ids that end a word; of letters alone, each word ends with one.
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.tails = not any(set(t.content) & set(TAILS.decode()) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.bytes, self.flat, self.begin = 0, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _coded(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. Words of letters go to the library many at a time, as a call costs more than a word."""
+        out: list[list[int]] = [[]] * len(words)
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        rest = [k for k, w in enumerate(words) if not w.isalpha()]
+        groups = [plain[k:k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for group, ids in zip(groups, self._each([" ".join(words[k] for k in g) for g in groups])):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group):  # a letter to the interpreter need not be one to the library
+                rest += group
+                continue
+            for k, begin, stop in zip(group, [0, *stops[:-1].tolist()], stops.tolist()):
+                out[k] = ids[begin:stop]
+        for k, ids in zip(rest, self._each([words[k] for k in rest])):
+            out[k] = ids
+        return out
 
-    def _of(self, words: list[bytes]) -> list[np.ndarray]:
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word's ids in ``flat``; new ones are encoded and remembered."""
+        if len(self.memo) + len(words) > MEMO_WORDS or self.bytes > MEMO_BYTES:
+            self.forget()
         new = [w for w in words if w not in self.memo]
-        coded = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False) if new else []
-        fresh = {w: np.array(e.ids, np.uint32) for w, e in zip(new, coded)}
-        out = [fresh[w] if w in fresh else self.memo[w] for w in words]
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo = {}
-        if len(fresh) <= MEMO_WORDS:
-            self.memo.update((w, i) for w, i in fresh.items() if len(w) <= MEMO_BYTES)
-        return out
+        coded = self._coded([w.decode("utf-8") for w in new])
+        self.memo.update(zip(new, range(len(self.begin) - 1, len(self.begin) - 1 + len(new))))
+        self.bytes += sum(map(len, new))
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(c) for c in coded], dtype=np.int64))
+        self.flat = np.append(self.flat, np.fromiter((i for c in coded for i in c), np.uint32))
+        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin; the end of the last is the last entry."""
         words = Words(texts)
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        at = np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)
-        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(words.data[words.inside])])
+        first, size, content = words.first, words.ends - words.starts, words.data[words.inside]
+        at = np.append(0, np.cumsum(size))
+        if self.tails:
+            tail = (size > 1) & _TAIL[content[at[1:] - 1]] & _STEM[content[np.maximum(at[1:] - 2, 0)]]
+            first = first + np.append(0, np.cumsum(tail))[first]
+            at = np.insert(at, np.flatnonzero(tail) + 1, at[1:][tail] - 1)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(content)])
         coded = column.dictionary_encode()
-        parts = self._of(coded.dictionary.to_pylist())
-        size = np.array([len(p) for p in parts])
-        begin = (np.cumsum(size) - size)[which := coded.indices.to_numpy()]
-        each = size[which]
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        begin, each = self.begin[number], np.diff(self.begin)[number]
         stop = np.cumsum(each)
-        ids = np.concatenate(parts)[np.repeat(begin - (stop - each), each) + np.arange(int(stop[-1]))]
-        return ids, np.concatenate([[0], stop])[words.first]
+        ids = self.flat[np.repeat(begin - (stop - each), each) + np.arange(int(stop[-1]))]
+        return ids, np.append(0, stop)[first]
 
 
 def _cut(model: bytes, longest: int):
