@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from . import decontaminate, mixing, secrets
+from . import decontaminate, lexical, mixing, secrets
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -162,3 +162,15 @@ plan AS (SELECT domain, lang, source, share // leaf.tokens AS whole, share % lea
 r AS (SELECT d.*, whole, rest, md5('0:' || CAST(whole AS VARCHAR) || ':' || doc_id) AS h FROM d JOIN plan USING (domain, lang, source) WHERE tokens > 0),
 t AS (SELECT *, whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest THEN 1 ELSE 0 END AS times FROM r)
 SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(0, CAST(times AS BIGINT))) AS INTEGER) AS epoch FROM t"""
+
+_TERMS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + lexical.TERM + "')"
+ORACLES["op12_lexical_search"] = f"""
+WITH asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM (SELECT doc_id, {_TERMS.format("text")} AS ts FROM documents WHERE doc_id IS NOT NULL) WHERE len(ts) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS N_, CAST(sum(n) AS BIGINT) AS L FROM d),
+p AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(N_) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * N_) // L))))) AS BIGINT) AS score
+      FROM asked JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import staged_path
 from .chat import assemble, conversation_digests, extra_turns
 from .decontaminate import contamination
+from .lexical import lexical_search
 from .mixing import mixed
 from .near_duplicates import near_duplicates
 from .packing import pack
@@ -76,6 +77,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), staged_path(spark, "token-cache"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Pieces and attention cost are bounded by what the tokens imply, so that sequences are as few as they can be.
     packed = pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_repeats": op9_repeats,
     "op10_token_counts": op10_token_counts,
+    "op12_lexical_search": op12_lexical_search,
     "op13_packing": op13_packing,
 }
