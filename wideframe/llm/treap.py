@@ -71,6 +71,7 @@ class Treap:
                 now, later = pick[:step], pick[step:]
             else:
                 now, later = np.arange(len(bound)), np.zeros(0, np.int64)
+            now, later = now[bound[now] >= least], later[bound[later] >= least]
             leaf = level[now] == self.height
             if leaf.any():
                 found_at.append(column[now[leaf]])
@@ -81,8 +82,7 @@ class Treap:
                     keep = sums >= least
                     found_at, found = [np.concatenate(found_at)[keep]], [sums[keep]]
                 now = now[~leaf]
-            now = now[bound[now] >= least]
-            later = later[bound[later] >= least]
+            now, later = now[bound[now] >= least], later[bound[later] >= least]
             turn = self.height - 1 - level[now]
             quarter = 4 * cells[now] + 2 * ((rows[None, :] >> turn[:, None]) & 1)
             nothing = cells[now] < 0
