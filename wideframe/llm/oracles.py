@@ -163,6 +163,30 @@ r AS (SELECT d.*, whole, rest, md5('0:' || CAST(whole AS VARCHAR) || ':' || doc_
 t AS (SELECT *, whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest THEN 1 ELSE 0 END AS times FROM r)
 SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(0, CAST(times AS BIGINT))) AS INTEGER) AS epoch FROM t"""
 
+# CRC-32 bit by bit: a byte is mixed in, then eight shifts follow, each a step of the fold.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, e: CASE WHEN e >= 0 THEN xor(s, e) ELSE xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+ORACLES["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, turn,
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS pos FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS head, {_CRC32.format("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT conv_id, pos, k, words FROM o JOIN c USING (conv_id) WHERE pos >= h
+      UNION ALL SELECT c.conv_id, pos, k, words FROM c JOIN o ON o.conv_id = c.head WHERE pos < h),
+s AS (SELECT c.conv_id, coalesce(list(k ORDER BY pos) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(words ORDER BY pos) FILTER (k IS NOT NULL), []) AS ws
+      FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, ks[1:d] AS path, d, len(ks) AS n, coalesce(ws[d], 0) AS words FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM s)),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+                 sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+sub AS (SELECT path[1:a] AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+        FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN sub ON sub.path = f.path LEFT JOIN nodes u ON f.d > 0 AND u.d = f.d - 1 AND u.path = f.path[1:f.d - 1]"""
+
 _TERMS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + lexical.TERM + "')"
 ORACLES["op12_lexical_search"] = f"""
 WITH asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE item_id IS NOT NULL),
