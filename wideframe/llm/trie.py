@@ -242,7 +242,7 @@ def prefix_trie(coded: DataFrame) -> DataFrame:
     ranges = min(RANGES, max(1, math.ceil(classes.count() / PATHS)))
     nodes = stage(classes.repartitionByRange(ranges, "ids").sortWithinPartitions("ids").mapInArrow(_grown, _NODES), "nodes")
     # At most two paths of each of RANGES ranges meet here.
-    merged = stage(nodes.filter("key is not null").groupBy(F.lit(0)).applyInPandas(_merged, _NODES), "merged")
+    merged = stage(nodes.filter("key is not null").groupBy(F.lit("all").alias("together")).applyInPandas(_merged, _NODES), "merged")
     inner = nodes.filter("key is null")
     above = merged.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("above"))
     above = F.broadcast(above) if above.count() <= BROADCAST_NODES else above
