@@ -2,19 +2,21 @@
 
 All of it is DataFrame work. Numbers, units and names become typed placeholders that carry their value; the template of a token
 is its placeholder without the value. Windows of template tokens are hashed and joined with those of the benchmark, and for the
-few documents with a hit the values behind the placeholders are compared.
+few documents with a hit the values behind the placeholders are compared, run by run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
 
 WINDOW = 8
-#: So many windows in a row make an occurrence (13 tokens); shorter items need all of theirs.
+#: So many windows one after another make an occurrence (13 tokens); shorter items need all of theirs.
 RUN = 6
-#: A window has at least this share of words that are no placeholders.
+#: A window with a smaller share of words that are no placeholders counts only with the item's own values.
 LITERAL = 0.5
 #: Rows of the benchmark's window table that may be broadcast (about 500 bytes each in memory, 25 MB); more are joined by a shuffle.
 BROADCAST_WINDOWS = 50_000
@@ -23,49 +25,84 @@ BROADCAST_IDS = 500_000
 #: Fixed strings: units that count as such behind a number.
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months",
          "years", "miles", "feet", "inches", "pounds", "dollars", "euros", "percent", "degrees", "meters", "metres", "liters", "litres")
-#: A name: capitalised words after a small letter, comma or semicolon and a blank. A number: digits with inner points and commas.
-NAME = r"([\p{Ll},;] )(\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)*)"
-NUMBER = r"([0-9]+(?:[.,:][0-9]+)*)"
-UNIT = r"(«n:[^»]*») ?(%|€|\$|(?:" + "|".join(UNITS) + r")\b)"
-TOKEN = r"«[^»]*»|[\p{L}\p{M}]+"
-
-#: The same two with possessive repetition, which Java runs as a loop: a repeated group of varying length is a call a round otherwise and
-#: ends in a stack overflow on some thousand names or numbers in a row. Nothing follows the repetitions, so the matches are the same.
-LOOPED_NAME = r"([\p{Ll},;] )(\p{Lu}[\p{L}\p{M}]*+(?: \p{Lu}[\p{L}\p{M}]*+)*+)"
-LOOPED_NUMBER = r"([0-9]++(?:[.,:][0-9]++)*+)"
-#: Every run of capitalised words, whatever stands before it.
-CAPITALS = r"(?<![\p{L}\p{M}])(\p{Lu}[\p{L}\p{M}]*+(?: \p{Lu}[\p{L}\p{M}]*+)*+)"
-
-#: Readings of a text: names by what stands before them; no names and no case, for copies in mid-sentence, capitals or small letters;
-#: every capitalised word a name, for names at the start of a sentence.
+SIGNS = ("%", "€", "$")
+#: What a token is: a number with inner points and commas, a word, or a sign. A capitalised word brings along what joins it to the text before it: a
+#: blank behind a letter, or a comma or semicolon and a blank. Repetitions are possessive, which Java runs as loops of any length.
+TOKEN = r"(?:(?:(?<=[\p{L}\p{M}]) |[,;] )(?=\p{Lu}))?+(?:[0-9]++(?:[.,:][0-9]++)*+|[\p{L}\p{M}]++|[%€$])"
+
+#: Readings of a text: names are capitalised words that something joins to the text before them; no names and no case, for copies in
+#: capitals or small letters; every capitalised word a name, for names at the start of a sentence. Names joined by a blank are one.
 CONTEXT, PLAIN, CAPITAL = 0, 1, 2
 FORMS = (CONTEXT, PLAIN, CAPITAL)
 
+_SIGN, _WORD, _CAPITAL, _JOINED, _LISTED, _NUMBER, _UNIT = range(7)
+#: Between tokens, and before a token that goes on with the one before it; no token holds either.
+_BREAK, _GLUE = "\x02", "\x01"
+
+
+def with_kinds(df: DataFrame) -> DataFrame:
+    """``df`` with ``kinds`` in place of ``text``: each token's kind and its word in small letters.
+
+    Here and below, what several functions read is a column of its own first, so that it is computed once.
+    """
+    digit = lambda x: F.substring(x, 1, 1).between("0", "9")
+
+    def kind(x: Column, before: Column) -> Column:
+        word, first = F.lower(F.ltrim(x, F.lit(" ,;"))), F.substring(x, 1, 1)
+        return F.struct(
+            F.when(digit(x), _NUMBER).when(digit(before) & word.isin(*UNITS, *SIGNS), _UNIT).when(x.isin(*SIGNS), _SIGN).when(first == " ", _JOINED)
+            .when(first.isin(",", ";"), _LISTED).when(F.lower(first) != first, _CAPITAL).otherwise(_WORD).alias("kind"), word.alias("word"))
+
+    others = [c for c in df.columns if c != "text"]
+    raw = df.select(*others, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw"))
+    # A token beside the one before it, so that no function looks into the whole array.
+    pairs = F.arrays_zip(F.col("raw").alias("x"), F.slice(F.concat(F.array(F.lit("")), "raw"), 1, F.size("raw")).alias("before"))
+    return raw.select(*others, F.transform(pairs, lambda p: kind(p["x"], p["before"])).alias("kinds"))
+
 
-def tokens(text: Column, form: int = CONTEXT) -> Column:
-    """Words in small letters without punctuation; numbers, units and names as ``«n:value»``, ``«u:value»``, ``«e:value»``."""
-    text = F.translate(text, "«»", "  ")
-    if form == CONTEXT:
-        text = F.regexp_replace(text, LOOPED_NAME, r"$1«e:$2»")
-    text = F.regexp_replace(text, CAPITALS, r"«e:$1»") if form == CAPITAL else F.lower(text) if form == PLAIN else text
-    text = F.regexp_replace(text, LOOPED_NUMBER, r" «n:$1» ")
-    text = F.lower(F.regexp_replace(text, UNIT, r"$1 «u:$2» "))
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def _with_forms(df: DataFrame, put) -> DataFrame:
+    """``df`` with an array ``form0`` to ``form2`` in place of ``kinds``: ``put(mark, goes_on, word)`` of every token, null ones left out.
+
+    ``mark`` is the token's placeholder or null, ``goes_on`` whether it belongs to the name before it.
+    """
+    def each(kind: Column, before: Column, word: Column) -> Column:
+        out = []
+        for form in FORMS:
+            name = (_JOINED, _LISTED) if form == CONTEXT else (_CAPITAL, _JOINED, _LISTED) if form == CAPITAL else ()
+            is_name = kind.isin(*name) if name else F.lit(False)
+            goes_on = (kind == _JOINED) & before.isin(*name) if name else F.lit(False)
+            mark = F.when(kind == _NUMBER, "«n").when(kind == _UNIT, "«u").when(is_name, "«e")
+            out.append(F.when(kind != _SIGN, put(mark, goes_on, word)).alias(f"form{form}"))
+        return F.struct(*out)
+
+    others = [c for c in df.columns if c != "kinds"]
+    pairs = F.arrays_zip(F.col("kinds").alias("x"), F.slice(F.concat(F.array(F.lit(_SIGN)), "kinds.kind"), 1, F.size("kinds")).alias("before"))
+    every = df.select(*others, F.transform(pairs, lambda p: each(p["x"]["kind"], p["before"], p["x"]["word"])).alias("every"))
+    return every.select(*others, *[F.array_compact(F.col("every")[f"form{f}"]).alias(f"form{f}") for f in FORMS])
+
+
+def with_templates(df: DataFrame) -> DataFrame:
+    """The template of a text in each form, from its ``kinds``."""
+    return _with_forms(df, lambda mark, goes_on, word: F.when(~goes_on, F.coalesce(mark, word)))
 
 
-def _readings(text: Column) -> Column:
-    """A row for each form of the text: ``r.form``, ``r.words``."""
-    return F.explode(F.array(*[F.struct(F.lit(f).alias("form"), tokens(text, f).alias("words")) for f in FORMS])).alias("r")
+def with_tokens(df: DataFrame) -> DataFrame:
+    """The same with values: words, and numbers, units and names as ``«n:value``, ``«u:value``, ``«e:value``."""
+    parts = _with_forms(df, lambda mark, goes_on, word: F.when(goes_on, F.concat(F.lit(_GLUE), word)).otherwise(F.concat(F.coalesce(F.concat(mark, F.lit(":")), F.lit("")), word)))
+    whole = [F.replace(F.array_join(f"form{f}", _BREAK), F.lit(_BREAK + _GLUE), F.lit(" ")).alias(f"form{f}") for f in FORMS]
+    parts = parts.select(*[c for c in df.columns if c != "kinds"], *whole)
+    none = F.array().cast("array<string>")
+    return parts.withColumns({f"form{f}": F.when(F.col(f"form{f}") != "", F.split(f"form{f}", _BREAK)).otherwise(none) for f in FORMS})
 
 
 def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("«")), F.substring(w, 1, 2)).otherwise(w))
 
 
-def _windows(size: int) -> Column:
-    """The hash of every window of ``size`` template tokens, by place from 0; none if there are fewer tokens."""
-    count = F.size("template") - size + 1
-    each = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.lit(size), F.slice("template", i, size)))
+def _windows(words: str | Column, size: int, step: int = 1) -> Column:
+    """The hash of the windows of ``size`` template tokens at every ``step``-th place from 0; none if there are fewer tokens."""
+    count = F.size(words) - size + 1
+    each = F.transform(F.sequence(F.lit(1), count, F.lit(step)), lambda i: F.xxhash64(F.lit(size), F.slice(words, i, size)))
     return F.when(count > 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -73,78 +110,82 @@ def _literal(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~F.startswith(w, F.lit("«"))))
 
 
+def _read(table: DataFrame, key: str) -> DataFrame:
+    """``key, form, words, template``, a row per form."""
+    rows = table.select(F.col(key).cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.col(key).isNotNull())
+    forms = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.col(f"form{f}").alias("words")) for f in FORMS])).alias("r")
+    return with_tokens(with_kinds(rows)).select(key, forms).select(key, "r.*").withColumn("template", template(F.col("words")))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, form, shift, windows, of, consistent, exact``: where a benchmark item's text, or its template with other values, is in a document.
+    """``doc_id, item_id, form, shift, at, exact``: the runs of windows of a benchmark item that a document has, with its own or other values.
 
-    Item and document are compared in each of the ``FORMS``. ``shift`` is the place of the item's first token among the document's,
-    ``windows`` how many template windows agree there (of the item's ``of``), ``exact`` whether all values behind placeholders are the
-    item's own, ``consistent`` whether one value of the item stands for one value of the document throughout, within each type of placeholder.
+    Item and document are compared in each of the ``FORMS``. ``shift`` is the place of the item's first token among the document's, a run is
+    ``RUN`` windows one after another from the item's window ``at`` on, or all windows of a shorter item. Within a run one value of the item stands
+    for one value of the document, by type of placeholder; windows that are mostly placeholders have the item's own values. ``exact``
+    says that all values of the run are the item's own. What else the document holds has no say.
 
-    Null texts and items without text have no windows; windows that are mostly placeholders are not used, so an item of
-    placeholders only is never found. Null ids take no part. Rows that repeat an id are searched each; equal hits count once.
+    Null texts and items without tokens have no runs. Null ids take no part. Rows that repeat an id are searched each; equal runs
+    count once. Texts of any length are read whole. Either table may be empty.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    items = benchmark.select(F.col("item_id").cast("long"), _readings(text)).select("item_id", "r.*").filter("item_id is not null and size(words) > 0")
-    items = items.distinct().withColumn("template", template(F.col("words"))).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
-    items = stage(items, "items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
-    windows = None
-    for size in sizes:
-        own = items.filter(F.col("size") == size).select("item_id", "form", "size", "words", "template", F.posexplode(_windows(size)).alias("at", "hash"))
-        own = own.select("item_id", "form", "size", "at", "hash", F.slice("words", F.col("at") + 1, size).alias("item_words"), F.slice("template", F.col("at") + 1, size).alias("item_template"))
-        own = own.filter(_literal(F.col("item_words")) >= LITERAL * size)
-        windows = own if windows is None else windows.unionByName(own)
-    if windows is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, form int, shift int, windows long, of long, consistent boolean, exact boolean")
-    windows = stage(windows, "windows")
+    items = stage(_read(benchmark, "item_id").filter("size(words) > 0").distinct().withColumn("size", F.least(F.size("words"), F.lit(WINDOW))), "items")
+    items = items.withColumn("of", F.size("words") - F.col("size") + 1).withColumn("step", F.when(F.col("of") >= RUN, RUN).otherwise(1))
+    kinds_of = sorted((r["size"], r["step"]) for r in items.select("size", "step").distinct().collect())  # at most WINDOW + 1 pairs
+    if not kinds_of:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, form int, shift int, at int, exact boolean")
+
+    def of_size(make) -> Column:
+        return reduce(lambda rest, size: F.when(F.col("size") == size, make(size)).otherwise(rest), sorted({s for s, _ in kinds_of}), F.array().cast("array<bigint>"))
+
+    windows = items.select("item_id", "form", "size", "of", "step", "words", "template", F.posexplode(of_size(lambda s: _windows("template", s))).alias("at", "hash"))
+    windows = stage(windows.select("item_id", "form", "size", "of", "step", "at", "hash", F.slice("words", F.col("at") + 1, F.col("size")).alias("item_words"),
+                                   F.slice("template", F.col("at") + 1, F.col("size")).alias("item_template")), "windows")
     number = windows.count()
     sized = lambda df: F.broadcast(df) if number <= BROADCAST_WINDOWS else df
-    docs = docs.select(F.col("doc_id").cast("long"), text.alias("text")).filter("doc_id is not null")
-    doc_tokens = docs.select("doc_id", _readings(F.col("text"))).select("doc_id", template(F.col("r.words")).alias("template"))
+
+    # Candidates. Of RUN windows one after another one lies at a multiple of RUN, so of items with so many a document's windows there are
+    # enough to find every document that has a run; shorter items take all places.
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+    read = with_templates(with_kinds(docs))
+    hashes = F.concat(*[_windows(f"form{f}", size, step) for f in FORMS for size, step in kinds_of])
     known = windows.select("hash").distinct()
-    found = None
-    for size in sizes:
-        hit = doc_tokens.select("doc_id", F.explode(_windows(size)).alias("hash")).join(sized(known), "hash", "left_semi").select("doc_id")
-        found = hit if found is None else found.union(hit)
-    found = stage(found.distinct(), "found")
+    found = stage(read.select("doc_id", F.explode(hashes).alias("hash")).join(sized(known), "hash", "left_semi").select("doc_id").distinct(), "found")
     ids = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-    # Few documents are left; now with their values.
-    few = stage(docs.join(ids, "doc_id", "left_semi").distinct().select("doc_id", _readings(F.col("text"))).select("doc_id", "r.*").withColumn("template", template(F.col("words"))), "few")
-    pairs = None
-    for size in sizes:
-        # The templates are compared as they were stored: a lambda function in a join key is not safe where Spark builds the sides of
-        # several joins at once, as for the branches of a union.
-        here = few.select("doc_id", "form", "words", "template", F.posexplode(_windows(size)).alias("place", "hash"))
-        here = here.select("doc_id", "form", "place", "hash", F.slice("words", F.col("place") + 1, size).alias("doc_words"), F.slice("template", F.col("place") + 1, size).alias("doc_template"))
-        here = here.join(sized(windows.filter(F.col("size") == size)), ["form", "hash"]).filter(F.col("item_template") == F.col("doc_template")).select(
-            "doc_id", "item_id", "form", (F.col("place") - F.col("at")).alias("shift"), "at", "item_words", "doc_words")
-        pairs = here if pairs is None else pairs.union(here)
-    pairs = stage(pairs.distinct(), "hits")
+    few = _read(docs.join(ids, "doc_id", "left_semi").distinct(), "doc_id")
+    place = lambda size: F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.struct(
+        (i - 1).alias("place"), F.xxhash64(F.lit(size), F.slice("template", i, size)).alias("hash"), F.slice("words", i, size).alias("words")))
+    empty = F.array().cast("array<struct<place:int,hash:bigint,words:array<string>>>")
+    here = F.concat(*[F.when(F.size("words") >= size, place(size)).otherwise(empty) for size in sorted({s for s, _ in kinds_of})])
+    few = stage(few.select("doc_id", "form", F.explode(here).alias("w")).select("doc_id", "form", "w.place", "w.hash", F.col("w.words").alias("doc_words"))
+                .join(sized(windows.select("item_id", "form", "size", "of", "at", "hash", "item_words", "item_template")), ["form", "hash"]), "few")
+    hits = few.filter(F.col("item_template") == template(F.col("doc_words"))).select(
+        "doc_id", "item_id", "form", (F.col("place") - F.col("at")).alias("shift"), "at", "size", F.least("of", F.lit(RUN)).alias("run"), "item_words", "doc_words",
+        (F.col("item_words") == F.col("doc_words")).alias("own"), (_literal(F.col("item_words")) >= LITERAL * F.col("size")).alias("literal"))
+    hits = stage(hits.filter("own or literal").distinct(), "hits")
+
     key = ["doc_id", "item_id", "form", "shift"]
-    slots = (pairs.select(*key, F.explode(F.arrays_zip("item_words", "doc_words")).alias("w")).select(*key, F.col("w.item_words").alias("mine"), F.col("w.doc_words").alias("theirs"))
-             .filter(F.startswith("mine", F.lit("«"))).distinct())
-    slots = slots.groupBy(*key, "mine").agg(F.count("*").alias("values"), F.min(F.col("mine") == F.col("theirs")).alias("same"))
-    slots = slots.groupBy(*key).agg(F.max("values").alias("values"), F.min("same").alias("same"))
-    at = pairs.groupBy(*key).agg(F.count_distinct("at").alias("windows"))
-    of = windows.groupBy("item_id", "form").agg(F.count_distinct("at").alias("of"))
-    return at.join(slots, key, "left").join(sized(of), ["item_id", "form"]).select(
-        *key, "windows", "of", (F.coalesce("values", F.lit(1)) == 1).alias("consistent"), F.coalesce("same", F.lit(True)).alias("exact"))
+    # A run begins at a window that has run - 1 more behind it without a gap.
+    ahead = Window.partitionBy(*key).orderBy("at").rowsBetween(0, RUN - 1)
+    at = hits.groupBy(*key, "at", "size", "run").agg(F.max("own").alias("own"))
+    block = F.collect_list(F.struct("at", "own")).over(ahead)
+    runs = at.withColumn("block", F.slice(block, 1, F.col("run"))).filter((F.size("block") == F.col("run")) & (F.col("block")[F.size("block") - 1]["at"] == F.col("at") + F.col("run") - 1))
+    runs = runs.select(*key, "at", (F.col("at") + F.col("run") + F.col("size") - 1).alias("stop"), F.forall("block", lambda w: w["own"]).alias("exact"))
+    # Two values for one: it is enough to compare each value with the one before it that stands for the same.
+    slots = hits.select(*key, "at", F.posexplode(F.arrays_zip("item_words", "doc_words")).alias("k", "w")).filter(F.startswith("w.item_words", F.lit("«")))
+    slots = slots.select(*key, (F.col("at") + F.col("k")).alias("p"), F.col("w.item_words").alias("mine"), F.col("w.doc_words").alias("theirs")).distinct()
+    back = Window.partitionBy(*key, "mine").orderBy("p")
+    odd = slots.withColumn("p0", F.lag("p").over(back)).withColumn("was", F.lag("theirs").over(back)).filter("was <> theirs").select(
+        *[F.col(c).alias(f"odd_{c}") for c in key], "p0", "p")
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"odd_{c}") for c in key])
+    return runs.join(odd, same & (F.col("p0") >= F.col("at")) & (F.col("p") < F.col("stop")), "left_anti").select(*key, "at", "exact")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, n_items, n_exact, items`` of the documents in which items occur: six template windows in place, or all of a shorter item.
+    """``doc_id, n_items, n_exact, items`` of the documents in which items occur: by one run of windows, in any form.
 
-    ``items`` lists their ids in order, ``n_exact`` counts those found with their own values. Occurrences by context count as they are.
-    Those of the other forms add to them: a whole item with its own values always, others unless values were inconsistent in any form,
-    since a passage without names would else pass for an item whose names do not fit.
+    ``items`` lists their ids in order, ``n_exact`` counts those that a run has with their own values.
     """
-    found = occurrences(docs, benchmark).filter(F.col("windows") >= F.least("of", F.lit(RUN)))
-    context, fits, own = F.col("form") == CONTEXT, F.col("consistent"), F.col("exact")
-    found = found.groupBy("doc_id", "item_id").agg(
-        F.max(context & fits).alias("by_context"), F.max(context & fits & own).alias("context_exact"), F.max(~fits).alias("odd"),
-        F.max(~context & fits).alias("other"), F.max(~context & fits & own).alias("other_exact"),
-        F.max(~context & fits & own & (F.col("windows") == F.col("of"))).alias("whole"))
-    found = found.filter("by_context or whole or other and not odd").withColumn("exact", F.expr("context_exact or whole or not by_context and other_exact"))
+    found = occurrences(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("exact").alias("exact"))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum(F.col("exact").cast("long")).alias("n_exact"),
                                        F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda i: i.cast("string")), ",").alias("items"))
 
@@ -152,7 +193,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, contaminated, n_items, n_exact, items``, a row for each row of ``docs``; documents without an item have zeros and an empty list.
 
-    ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` needs ``item_id`` and ``text``; either may be empty. Other columns are ignored.
+    ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` needs ``item_id`` and ``text``; either may be empty. Null texts hold nothing, texts of
+    any length are read whole, rows that repeat a ``doc_id`` all say what is in any of them. Other columns are ignored.
     """
     zero = F.lit(0).cast("long")
     return docs.select(F.col("doc_id").cast("long")).join(contaminated(docs, benchmark), "doc_id", "left").select(

@@ -93,35 +93,47 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN one USING (doc_id) LEFT JOIN every USING (doc_id)"""
 
 
-def _tokens(text: str) -> str:
-    out = f"translate(coalesce({text}, ''), '«»', '  ')"
-    out = f"regexp_replace({out}, {_quoted(decontaminate.NAME)}, '\\1«e:\\2»', 'g')"
-    out = f"regexp_replace({out}, {_quoted(decontaminate.NUMBER)}, ' «n:\\1» ', 'g')"
-    out = f"regexp_replace({out}, {_quoted(decontaminate.UNIT)}, '\\1 «u:\\2» ', 'g')"
-    return f"regexp_extract_all(lower({out}), {_quoted(decontaminate.TOKEN)})"
+def _read(table: str, key: str) -> str:
+    """The words of each text in each form, as ``{table}_words (id, form, ws)``: tokens with what lies before them, their kinds, and names put together."""
+    d, pattern = decontaminate, _quoted(r"([^\p{L}\p{M}0-9%€$]*)([0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{M}]+|[%€$])")
+    signs = ", ".join(_quoted(x) for x in d.SIGNS)
+    units = ", ".join(_quoted(x) for x in d.UNITS + d.SIGNS)
+    return f"""
+{table}_raw AS (SELECT row_number() OVER () AS r, {key} AS id, regexp_extract_all(coalesce(text, ''), {pattern}, 1) AS g, regexp_extract_all(coalesce(text, ''), {pattern}, 2) AS w
+    FROM {table} WHERE {key} IS NOT NULL),
+{table}_tokens AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS b FROM (SELECT r, id, unnest(range(1, len(w) + 1)) AS i, unnest(g) AS g, unnest(w) AS w FROM {table}_raw)),
+{table}_kinds AS (SELECT r, id, i, lower(w) AS word, CASE WHEN regexp_matches(w, '^[0-9]') THEN {d._NUMBER} WHEN regexp_matches(b, '^[0-9]') AND lower(w) IN ({units}) THEN {d._UNIT}
+    WHEN w IN ({signs}) THEN {d._SIGN} WHEN regexp_matches(w, '^\\p{{Lu}}') AND g = ' ' AND regexp_matches(b, '^[\\p{{L}}\\p{{M}}]') THEN {d._JOINED}
+    WHEN regexp_matches(w, '^\\p{{Lu}}') AND (ends_with(g, ', ') OR ends_with(g, '; ')) THEN {d._LISTED} WHEN lower(w[1]) <> w[1] THEN {d._CAPITAL} ELSE {d._WORD} END AS kind FROM {table}_tokens),
+{table}_forms AS (SELECT *, CASE form WHEN {d.CONTEXT} THEN kind IN ({d._JOINED}, {d._LISTED}) WHEN {d.PLAIN} THEN false ELSE kind IN ({d._CAPITAL}, {d._JOINED}, {d._LISTED}) END AS name
+    FROM {table}_kinds, (VALUES ({d.CONTEXT}), ({d.PLAIN}), ({d.CAPITAL})) f(form)),
+{table}_goes AS (SELECT *, name AND kind = {d._JOINED} AND coalesce(lag(name) OVER (PARTITION BY r, form ORDER BY i), false) AS goes_on FROM {table}_forms),
+{table}_chains AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY r, form ORDER BY i) AS c FROM {table}_goes WHERE kind <> {d._SIGN}),
+{table}_words AS (SELECT DISTINCT id, form, ws FROM (SELECT r, id, form, list(x ORDER BY c) AS ws FROM (
+    SELECT r, id, form, c, CASE WHEN bool_or(kind = {d._NUMBER}) THEN '«n:' WHEN bool_or(kind = {d._UNIT}) THEN '«u:' WHEN bool_or(name) THEN '«e:' ELSE '' END || string_agg(word, ' ' ORDER BY i) AS x
+    FROM {table}_chains GROUP BY r, id, form, c) GROUP BY r, id, form))"""
 
 
 _TEMPLATE = "array_to_string(list_transform(w, lambda x: CASE WHEN starts_with(x, '«') THEN x[1:2] ELSE x END), ' ')"
-_N = decontaminate.WINDOW
+_PLACE = "doc_id, item_id, form, shift"
 ORACLES["op4_decontaminate"] = f"""
-WITH items AS (SELECT item_id, {_tokens("text")} AS ws FROM benchmark WHERE item_id IS NOT NULL),
-sized AS (SELECT item_id, ws, least(len(ws), {_N}) AS size FROM items WHERE len(ws) > 0),
-item_windows AS (SELECT item_id, size, pos, w AS iw, {_TEMPLATE} AS t FROM (
-    SELECT item_id, size, i - 1 AS pos, ws[i:i + size - 1] AS w FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM sized))
-    WHERE len(list_filter(w, lambda x: NOT starts_with(x, '«'))) >= {decontaminate.LITERAL} * size),
-n_of AS (SELECT item_id, count(DISTINCT pos) AS n FROM item_windows GROUP BY item_id),
-texts AS (SELECT doc_id, {_tokens("text")} AS ws FROM documents WHERE doc_id IS NOT NULL),
-doc_windows AS (SELECT doc_id, size, place, w AS dw, {_TEMPLATE} AS t FROM (
-    SELECT doc_id, size, i - 1 AS place, ws[i:i + size - 1] AS w FROM (
-        SELECT doc_id, ws, size, unnest(range(1, greatest(len(ws) - size + 2, 1))) AS i FROM texts, (SELECT DISTINCT size FROM item_windows)))),
-hits AS (SELECT doc_id, item_id, place - pos AS shift, pos, iw, dw FROM doc_windows JOIN item_windows USING (size, t)),
-slots AS (SELECT doc_id, item_id, shift, p[1] AS mine, p[2] AS theirs FROM (SELECT *, unnest(list_zip(iw, dw)) AS p FROM hits) WHERE starts_with(p[1], '«')),
-odd AS (SELECT DISTINCT doc_id, item_id, shift FROM slots GROUP BY doc_id, item_id, shift, mine HAVING count(DISTINCT theirs) > 1),
-other AS (SELECT DISTINCT doc_id, item_id, shift FROM slots WHERE mine <> theirs),
-found AS (SELECT doc_id, item_id, shift FROM hits JOIN n_of USING (item_id) GROUP BY doc_id, item_id, shift
-          HAVING count(DISTINCT pos) >= least(max(n), {decontaminate.RUN})),
-kept AS (SELECT doc_id, item_id, max(CASE WHEN other.shift IS NULL THEN 1 ELSE 0 END) AS exact
-         FROM (SELECT * FROM found ANTI JOIN odd USING (doc_id, item_id, shift)) LEFT JOIN other USING (doc_id, item_id, shift) GROUP BY doc_id, item_id),
+WITH {_read("benchmark", "item_id")}, {_read("documents", "doc_id")},
+sized AS (SELECT id AS item_id, form, ws, least(len(ws), {decontaminate.WINDOW}) AS size FROM benchmark_words),
+item_windows AS (SELECT item_id, form, size, need, pos, w AS iw, {_TEMPLATE} AS t FROM (
+    SELECT item_id, form, size, least(len(ws) - size + 1, {decontaminate.RUN}) AS need, i - 1 AS pos, ws[i:i + size - 1] AS w FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM sized))),
+doc_windows AS (SELECT doc_id, form, size, place, w AS dw, {_TEMPLATE} AS t FROM (
+    SELECT doc_id, form, size, i - 1 AS place, ws[i:i + size - 1] AS w FROM (
+        SELECT id AS doc_id, form, ws, size, unnest(range(1, greatest(len(ws) - size + 2, 1))) AS i FROM documents_words, (SELECT DISTINCT size FROM item_windows)))),
+hits AS (SELECT DISTINCT doc_id, item_id, form, place - pos AS shift, pos, size, need, iw, dw FROM doc_windows JOIN item_windows USING (form, size, t)
+    WHERE iw = dw OR len(list_filter(iw, lambda x: NOT starts_with(x, '«'))) >= {decontaminate.LITERAL} * size),
+placed AS (SELECT {_PLACE}, pos, size, need, bool_or(iw = dw) AS own FROM hits GROUP BY ALL),
+runs AS (SELECT {_PLACE}, a.pos, a.pos + a.need + a.size - 1 AS stop, bool_and(b.own) AS exact FROM placed a JOIN placed b USING ({_PLACE})
+    WHERE b.pos BETWEEN a.pos AND a.pos + a.need - 1 GROUP BY {_PLACE}, a.pos, a.need, a.size HAVING count(*) = a.need),
+slots AS (SELECT DISTINCT {_PLACE}, pos + k AS p, iw[k + 1] AS mine, dw[k + 1] AS theirs FROM (SELECT *, unnest(range(size)) AS k FROM hits) WHERE starts_with(iw[k + 1], '«')),
+odd AS (SELECT {_PLACE}, a.p AS p0, b.p AS p FROM slots a JOIN slots b USING ({_PLACE}, mine) WHERE a.p < b.p AND a.theirs <> b.theirs),
+kept AS (SELECT doc_id, item_id, max(CASE WHEN exact THEN 1 ELSE 0 END) AS exact FROM runs
+    WHERE NOT EXISTS (SELECT 1 FROM odd WHERE odd.doc_id = runs.doc_id AND odd.item_id = runs.item_id AND odd.form = runs.form AND odd.shift = runs.shift AND p0 >= runs.pos AND p < runs.stop)
+    GROUP BY doc_id, item_id),
 docs AS (SELECT doc_id, count(*) AS n_items, CAST(sum(exact) AS BIGINT) AS n_exact, string_agg(item_id, ',' ORDER BY item_id) AS items FROM kept GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(n_exact, 0) AS n_exact, coalesce(items, '') AS items
 FROM documents LEFT JOIN docs USING (doc_id)"""
