@@ -65,16 +65,16 @@ def test_many_names_and_numbers_in_a_row(spark):
     texts = [(1, fill + " " + names + "\n" + ITEM), (2, fill + " " + numbers + "\n" + ITEM), (3, names + " " + numbers), (4, "a " + names.replace(" ", ", "))]
     got = found(spark, texts)
     assert got[1] == got[2] == (True, 1, 1, "1") and not got[3][0] and not got[4][0]
-    read = d.with_tokens(d.with_kinds(spark.createDataFrame([("x " + names + ". 1.2.3, 4:5. de La Paz, Oslo",)], "text string"))).first()
+    read = d.with_forms(spark.createDataFrame([("x " + names + ". 1.2.3, 4:5. de La Paz, Oslo",)], "text string"), True).first()
     assert read.form0 == ["x", "«e:" + names.lower(), "«n:1.2.3", "«n:4:5", "de", "«e:la paz", "«e:oslo"]
     assert read.form1 == ["x", *names.lower().split(), "«n:1.2.3", "«n:4:5", "de", "la", "paz", "oslo"] and read.form2 == read.form0
 
 
 def test_templates_are_tokens_without_values(spark):
     texts = [ITEM, OTHER, DIGITS, "", "...", "$ 5% Of NEW York, Rome; Li $ 7 km 8Km x", "The Paris Club, Ltd. 5, Km A B c D", *(t for t in TEXTS.values() if t)]
-    df = d.with_kinds(spark.createDataFrame([(t,) for t in texts], "text string"))
-    words = d.with_tokens(df).select(*[d.template(F.col(f"form{f}")).alias(f"form{f}") for f in d.FORMS]).collect()
-    assert d.with_templates(df).collect() == words
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = d.with_forms(df, True).select(*[d.template(F.col(f"form{f}")).alias(f"form{f}") for f in d.FORMS]).collect()
+    assert d.with_forms(df, False).collect() == words
 
 
 QUESTIONS = [(1, "What is the capital of France?"), (2, "Which of the two rivers that cross the old town is the longer one?"),

@@ -93,6 +93,9 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN one USING (doc_id) LEFT JOIN every USING (doc_id)"""
 
 
+_SIGN, _WORD, _CAPITAL, _JOINED, _LISTED, _NUMBER, _UNIT = range(7)
+
+
 def _read(table: str, key: str) -> str:
     """The words of each text in each form, as ``{table}_words (id, form, ws)``: tokens with what lies before them, their kinds, and names put together."""
     d, pattern = decontaminate, _quoted(r"([^\p{L}\p{M}0-9%€$]*)([0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{M}]+|[%€$])")
@@ -102,15 +105,15 @@ def _read(table: str, key: str) -> str:
 {table}_raw AS (SELECT row_number() OVER () AS r, {key} AS id, regexp_extract_all(coalesce(text, ''), {pattern}, 1) AS g, regexp_extract_all(coalesce(text, ''), {pattern}, 2) AS w
     FROM {table} WHERE {key} IS NOT NULL),
 {table}_tokens AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS b FROM (SELECT r, id, unnest(range(1, len(w) + 1)) AS i, unnest(g) AS g, unnest(w) AS w FROM {table}_raw)),
-{table}_kinds AS (SELECT r, id, i, lower(w) AS word, CASE WHEN regexp_matches(w, '^[0-9]') THEN {d._NUMBER} WHEN regexp_matches(b, '^[0-9]') AND lower(w) IN ({units}) THEN {d._UNIT}
-    WHEN w IN ({signs}) THEN {d._SIGN} WHEN regexp_matches(w, '^\\p{{Lu}}') AND g = ' ' AND regexp_matches(b, '^[\\p{{L}}\\p{{M}}]') THEN {d._JOINED}
-    WHEN regexp_matches(w, '^\\p{{Lu}}') AND (ends_with(g, ', ') OR ends_with(g, '; ')) THEN {d._LISTED} WHEN lower(w[1]) <> w[1] THEN {d._CAPITAL} ELSE {d._WORD} END AS kind FROM {table}_tokens),
-{table}_forms AS (SELECT *, CASE form WHEN {d.CONTEXT} THEN kind IN ({d._JOINED}, {d._LISTED}) WHEN {d.PLAIN} THEN false ELSE kind IN ({d._CAPITAL}, {d._JOINED}, {d._LISTED}) END AS name
+{table}_kinds AS (SELECT r, id, i, lower(w) AS word, CASE WHEN regexp_matches(w, '^[0-9]') THEN {_NUMBER} WHEN regexp_matches(b, '^[0-9]') AND lower(w) IN ({units}) THEN {_UNIT}
+    WHEN w IN ({signs}) THEN {_SIGN} WHEN regexp_matches(w, '^\\p{{Lu}}') AND g = ' ' AND regexp_matches(b, '^[\\p{{L}}\\p{{M}}]') THEN {_JOINED}
+    WHEN regexp_matches(w, '^\\p{{Lu}}') AND (ends_with(g, ', ') OR ends_with(g, '; ')) THEN {_LISTED} WHEN regexp_matches(w, '^\\p{{Lu}}') THEN {_CAPITAL} ELSE {_WORD} END AS kind FROM {table}_tokens),
+{table}_forms AS (SELECT *, CASE form WHEN {d.CONTEXT} THEN kind IN ({_JOINED}, {_LISTED}) WHEN {d.PLAIN} THEN false ELSE kind IN ({_CAPITAL}, {_JOINED}, {_LISTED}) END AS name
     FROM {table}_kinds, (VALUES ({d.CONTEXT}), ({d.PLAIN}), ({d.CAPITAL})) f(form)),
-{table}_goes AS (SELECT *, name AND kind = {d._JOINED} AND coalesce(lag(name) OVER (PARTITION BY r, form ORDER BY i), false) AS goes_on FROM {table}_forms),
-{table}_chains AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY r, form ORDER BY i) AS c FROM {table}_goes WHERE kind <> {d._SIGN}),
+{table}_goes AS (SELECT *, name AND kind = {_JOINED} AND coalesce(lag(name) OVER (PARTITION BY r, form ORDER BY i), false) AS goes_on FROM {table}_forms),
+{table}_chains AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY r, form ORDER BY i) AS c FROM {table}_goes WHERE kind <> {_SIGN}),
 {table}_words AS (SELECT DISTINCT id, form, ws FROM (SELECT r, id, form, list(x ORDER BY c) AS ws FROM (
-    SELECT r, id, form, c, CASE WHEN bool_or(kind = {d._NUMBER}) THEN '«n:' WHEN bool_or(kind = {d._UNIT}) THEN '«u:' WHEN bool_or(name) THEN '«e:' ELSE '' END || string_agg(word, ' ' ORDER BY i) AS x
+    SELECT r, id, form, c, CASE WHEN bool_or(kind = {_NUMBER}) THEN '«n:' WHEN bool_or(kind = {_UNIT}) THEN '«u:' WHEN bool_or(name) THEN '«e:' ELSE '' END || string_agg(word, ' ' ORDER BY i) AS x
     FROM {table}_chains GROUP BY r, id, form, c) GROUP BY r, id, form))"""
 
 
