@@ -519,6 +519,7 @@ ORACLES["tree_importance"] = "SELECT unnest(['weight', 'gain']) AS kind, true AS
 ORACLES["error_trace"] = "SELECT unnest(['train', 'test']) AS dataset, 6::BIGINT AS iterations, true AS fell"
 ORACLES["decision_paths"] = "SELECT unnest([0, 1]) AS tree, count(*) AS leaves, count(*) AS starts, 0::BIGINT AS broken FROM lineitem"
 ORACLES["decision_replay"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM lineitem"
+ORACLES["whatif_steps"] = "SELECT count(*) AS n_rows, count(*) AS n_equal, count(*) AS near_optimum FROM lineitem"
 ORACLES["whatif_model"] = "SELECT count(*) AS n_rows, count(*) AS near_optimum FROM lineitem"
 
 

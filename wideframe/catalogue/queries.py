@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from wideframe.functions import flags, geometry, series
 from wideframe.operators import categories, columns, filters, folds, joins, profile, ranks, spatial
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
-from wideframe.plans import models, validation, whatif
+from wideframe.plans import models, steps, validation, whatif
 from wideframe.session import spread, stage, staged_path
 from wideframe.sources import tables
 
@@ -946,3 +947,21 @@ def whatif_model(spark, sf):
     key = [c for c in fx.LEARN_KEY if c != "l_quantity"] + ["planted"]
     best = whatif.whatif(keyed, PipelineModel([pipeline, model]), "l_quantity", sweep, key)
     return best.agg(F.count("*").alias("n_rows"), F.count_if(F.col("best").between(20, 40)).alias("near_optimum"))
+
+
+@query
+def whatif_steps(spark, sf):
+    """A sweep of 100 values with a trained model inside the row: rows, rows that multiplied rows agree with, and rows near the planted optimum."""
+    rows = _learn_vectors(spark, sf)
+    model = models.boosted("y", maxIter=5, maxDepth=4).fit(rows)
+    index, grid = NUMERIC.index("l_quantity"), [0.5 * k for k in range(1, 101)]
+    key = [*fx.LEARN_KEY]
+    best = steps.whatif_steps(rows, model, index, grid, key)
+    # The same by the model itself, for some places of the grid: no prediction is higher, and the best is reached.
+    values = F.array(*[F.get(vector_to_array("features"), F.lit(k)) if k != index else F.col("swept") for k in range(len(NUMERIC))])
+    some = F.array_distinct(F.concat(F.array(*[F.lit(g) for g in grid[::9]]), F.array("best")))
+    probe = rows.select(*key, "features").join(best, key).withColumn("swept", F.explode(some)).withColumn("features", array_to_vector(values))
+    high = model.setPredictionCol("by_model").transform(probe).groupBy(*key).agg(F.max(F.abs(F.when(F.col("swept") == F.col("best"), F.col("by_model") - F.col("prediction")))).alias("off"),
+                                  F.max(F.col("by_model") - F.col("prediction")).alias("over"), F.first("best").alias("best"))
+    agree = (F.col("off") < 1e-9) & (F.col("over") < 1e-9)
+    return high.agg(F.count("*").alias("n_rows"), F.count_if(agree).alias("n_equal"), F.count_if(F.col("best").between(20, 40)).alias("near_optimum"))
