@@ -16,6 +16,7 @@ from wideframe.functions import flags, geometry, series
 from wideframe.operators import categories, columns, filters, folds, joins, profile, ranks, spatial
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
+from wideframe.plans import extra_trees as xt
 from wideframe.plans import models, steps, validation, whatif
 from wideframe.session import spread, stage, staged_path
 from wideframe.sources import tables
@@ -965,3 +966,27 @@ def whatif_steps(spark, sf):
                                   F.max(F.col("by_model") - F.col("prediction")).alias("over"), F.first("best").alias("best"))
     agree = (F.col("off") < 1e-9) & (F.col("over") < 1e-9)
     return high.agg(F.count("*").alias("n_rows"), F.count_if(agree).alias("n_equal"), F.count_if(F.col("best").between(20, 40)).alias("near_optimum"))
+
+
+@query
+def extra_trees(spark, sf):
+    """Per tree of a randomised forest: rows replayed through its node table, cuts outside their node's range, leaves that are not the mean of their rows."""
+    rows = _learn_vectors(spark, sf)
+    model = xt.fit_extra_trees(rows, "y", trees=4, max_depth=5, min_leaf=5, tries=4)
+    nodes = stage(model.table(spark), "nodes")  # model size
+    at = rows.select("y", vector_to_array("features").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("tree"))
+    at = at.join(F.broadcast(nodes.filter("depth = 0").select("tree", "node")), "tree")
+    seen = None
+    for _ in range(6):
+        here = at.join(F.broadcast(nodes.drop("tree", "depth")), "node")
+        value = F.get("v", F.col("feature"))
+        stats = here.groupBy("tree", "node").agg(F.count("*").alias("rows"), F.avg("y").alias("own"), F.first("feature").alias("feature"), F.first("cut").alias("cut"),
+                                                 F.min(value).alias("low"), F.max(value).alias("high"), F.first("n").alias("n"), F.first("mean").alias("mean"))
+        seen = stats if seen is None else seen.union(stats)
+        at = here.filter("feature is not null").select("y", "v", "tree", F.when(value <= F.col("cut"), F.col("left")).otherwise(F.col("right")).alias("node"))
+    leaf = F.col("feature").isNull()
+    scored = model.transform(rows).select("y", "prediction")
+    better = scored.agg((F.avg(F.abs(F.col("y") - F.col("prediction"))) < F.lit(scores.baseline_score(rows, rows).first()["abs_mean"])).alias("beats_mean"))
+    return seen.groupBy("tree").agg(
+        F.sum(F.when(leaf, F.col("rows"))).alias("n_rows"), F.count_if(~leaf & ~((F.col("low") <= F.col("cut")) & (F.col("cut") < F.col("high")))).alias("off_cuts"),
+        F.count_if((F.col("rows") != F.col("n")) | (F.abs(F.col("own") - F.col("mean")) > 1e-9)).alias("off_nodes")).crossJoin(F.broadcast(better))
