@@ -520,6 +520,8 @@ ORACLES["error_trace"] = "SELECT unnest(['train', 'test']) AS dataset, 6::BIGINT
 ORACLES["decision_paths"] = "SELECT unnest([0, 1]) AS tree, count(*) AS leaves, count(*) AS starts, 0::BIGINT AS broken FROM lineitem"
 ORACLES["decision_replay"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM lineitem"
 ORACLES["extra_trees"] = "SELECT unnest([0, 1, 2, 3])::INTEGER AS tree, count(*) AS n_rows, 0::BIGINT AS off_cuts, 0::BIGINT AS off_nodes, true AS beats_mean FROM lineitem"
+ORACLES["boosted_missing"] = """SELECT count(*) AS n_rows, 0::BIGINT AS n_off, true AS better, round(avg(120 - 0.05::DOUBLE * (l_quantity - 30) ** 2 + 0.8::DOUBLE * p_size
+  + ((l_partkey * 7919 + l_linenumber * 104729) % 20 - 10)), 3) AS base FROM lineitem JOIN part ON l_partkey = p_partkey"""
 ORACLES["whatif_steps"] = "SELECT count(*) AS n_rows, count(*) AS n_equal, count(*) AS near_optimum FROM lineitem"
 ORACLES["whatif_model"] = "SELECT count(*) AS n_rows, count(*) AS near_optimum FROM lineitem"
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from wideframe.operators import categories, columns, filters, folds, joins, prof
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
 from wideframe.plans import extra_trees as xt
-from wideframe.plans import models, steps, validation, whatif
+from wideframe.plans import models, sparse_boosting, steps, validation, whatif
 from wideframe.session import spread, stage, staged_path
 from wideframe.sources import tables
 
@@ -990,3 +990,24 @@ def extra_trees(spark, sf):
     return seen.groupBy("tree").agg(
         F.sum(F.when(leaf, F.col("rows"))).alias("n_rows"), F.count_if(~leaf & ~((F.col("low") <= F.col("cut")) & (F.col("cut") < F.col("high")))).alias("off_cuts"),
         F.count_if((F.col("rows") != F.col("n")) | (F.abs(F.col("own") - F.col("mean")) > 1e-9)).alias("off_nodes")).crossJoin(F.broadcast(better))
+
+
+@query
+def boosted_missing(spark, sf):
+    """Boosting where small quantities are often missing: the base, the rows, rows that the tree's leaves do not explain, and whether it errs less than trees on filled values."""
+    rows = fx.learn(spark, sf).withColumn("seen", F.when((F.col("l_quantity") < 20) & (F.col("l_orderkey") % 3 != 0), float("nan")).otherwise(F.col("l_quantity").cast("double")))
+    names = ["seen", "p_size", "l_discount", "l_tax"]
+    filled = Imputer(inputCols=names, outputCols=[f"{n}_filled" for n in names]).fit(rows := rows.withColumn("p_size", F.col("p_size").cast("double"))).transform(rows)
+    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(filled)
+    rows = VectorAssembler(inputCols=[f"{n}_filled" for n in names], outputCol="filled").transform(rows)
+    rows = spread(stage(rows.select("y", "features", "filled"), "learn"))
+    model = sparse_boosting.fit_sparse_boosting(rows, "y", rounds=5, max_depth=3, rate=0.5, columns=0.75)
+    plain = models.boosted("y", "filled", maxIter=5, maxDepth=3, stepSize=0.5).fit(rows)
+    both = plain.setPredictionCol("plain").transform(model.transform(rows, "own"))
+    # The first tree again: its leaves hold the shrunken mean of what the base leaves over.
+    node = F.get(model.leaves(vector_to_array("features"), rounds=1), F.lit(0))
+    first = rows.select("y", node.alias("node")).groupBy("node").agg(F.count("*").alias("n"), (0.5 * F.sum(F.col("y") - F.lit(model.base)) / (F.count("*") + 1.0)).alias("value"))
+    off = F.abs(F.col("value") - F.get(steps.folded_array(model.value, "double"), F.col("node"))) > 1e-6
+    first = first.agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(off, F.col("n"))), F.lit(0).cast("long")).alias("n_off"))
+    better = both.agg((F.avg(F.abs(F.col("y") - F.col("own"))) < F.avg(F.abs(F.col("y") - F.col("plain")))).alias("better"))
+    return first.crossJoin(F.broadcast(better)).withColumn("base", F.round(F.lit(model.base), 3))
