@@ -1001,8 +1001,8 @@ def boosted_missing(spark, sf):
     rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(filled)
     rows = VectorAssembler(inputCols=[f"{n}_filled" for n in names], outputCol="filled").transform(rows)
     rows = spread(stage(rows.select("y", "features", "filled"), "learn"))
-    model = sparse_boosting.fit_sparse_boosting(rows, "y", rounds=5, max_depth=3, rate=0.5, columns=0.75)
-    plain = models.boosted("y", "filled", maxIter=5, maxDepth=3, stepSize=0.5).fit(rows)
+    model = sparse_boosting.fit_sparse_boosting(rows, "y", rounds=10, max_depth=2, rate=0.5, columns=0.75)
+    plain = models.boosted("y", "filled", maxIter=10, maxDepth=2, stepSize=0.5).fit(rows)
     both = plain.setPredictionCol("plain").transform(model.transform(rows, "own"))
     # The first tree again: its leaves hold the shrunken mean of what the base leaves over.
     node = F.get(model.leaves(vector_to_array("features"), rounds=1), F.lit(0))
