@@ -529,7 +529,7 @@ ORACLES["whatif_model"] = "SELECT count(*) AS n_rows, count(*) AS near_optimum F
 # --- the same results by other plans, and round trips ------------------------------------------------
 
 for _name, _like in (("outliers_bracketed", "outliers"), ("holdout_report_bracketed", "holdout_report"), ("spatial_split", "spatial_semi"),
-                     ("feature_set_round_trip", "feature_matrix")):
+                     ("feature_set_round_trip", "feature_matrix"), ("feature_model_round_trip", "feature_matrix")):
     ORACLES[_name] = ORACLES[_like]
 
 ORACLES["fill_not_a_number"] = f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS p

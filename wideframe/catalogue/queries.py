@@ -17,7 +17,7 @@ from wideframe.operators import categories, columns, filters, folds, joins, prof
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
 from wideframe.plans import extra_trees as xt
-from wideframe.plans import models, sparse_boosting, steps, validation, whatif
+from wideframe.plans import models, saved, sparse_boosting, steps, validation, whatif
 from wideframe.session import spread, stage, staged_path
 from wideframe.sources import tables
 
@@ -1011,3 +1011,14 @@ def boosted_missing(spark, sf):
     first = first.agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(off, F.col("n"))), F.lit(0).cast("long")).alias("n_off"))
     better = both.agg((F.avg(F.abs(F.col("y") - F.col("own"))) < F.avg(F.abs(F.col("y") - F.col("plain")))).alias("better"))
     return first.crossJoin(F.broadcast(better)).withColumn("base", F.round(F.lit(model.base), 3))
+
+
+@query
+def feature_model_round_trip(spark, sf):
+    """The feature matrix by a model that was fitted, saved as a pipeline stage, and read again."""
+    season = fx.season_wide(spark, sf)
+    path = staged_path(spark, "feature-model")
+    PipelineModel([saved.FeatureEstimator(cfg=SEASON).fit(season)]).write().overwrite().save(path)
+    fitted = PipelineModel.load(path).stages[0].fitted
+    shaped = plan.shape(plan.clean(season, SEASON), SEASON, drop=True)
+    return rounded(fitted.transform(shaped, drop_outliers=True).long(), 3)
