@@ -515,6 +515,9 @@ ORACLES["stacking"] = """SELECT unnest(['boosted', 'forest', 'stacked']) AS mode
   true AS beats_mean"""
 ORACLES["leaderboard"] = """SELECT unnest(['boosted', 'forest', 'elastic_net']) AS model,
   (SELECT count(*) FROM lineitem) AS n_samples, true AS beats_mean"""
+ORACLES["model_search"] = """SELECT number::INTEGER AS number, CASE WHEN number < 2 THEN 'boosted' ELSE 'forest' END AS family,
+  CASE WHEN number < 4 THEN 'done' ELSE 'skipped' END AS state, CASE WHEN number < 4 THEN 2 ELSE 0 END AS folds_done,
+  CASE WHEN number < 4 THEN (SELECT count(*) FROM lineitem) END AS n_samples, CASE WHEN number < 4 THEN true END AS beats_mean FROM range(6) t(number)"""
 ORACLES["tree_importance"] = "SELECT unnest(['weight', 'gain']) AS kind, true AS complete, 'l_quantity' AS top"
 ORACLES["error_trace"] = "SELECT unnest(['train', 'test']) AS dataset, 6::BIGINT AS iterations, true AS fell"
 ORACLES["decision_paths"] = "SELECT unnest([0, 1]) AS tree, count(*) AS leaves, count(*) AS starts, 0::BIGINT AS broken FROM lineitem"
@@ -605,3 +608,4 @@ ORACLES["model_round_trip"] = "SELECT count(*) AS n_rows, count(*) AS n_same, tr
 
 ORACLES["biweek_spellings"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN '_May 3_'
   ELSE CAST(CAST(ceil(dayofyear(o_orderdate) / 14.0) AS INT) AS VARCHAR) END AS d_biweek FROM orders"""
+ORACLES["sparse_blocks"] = ORACLES["sparse_long"]

@@ -17,9 +17,11 @@ from wideframe.operators import categories, columns, filters, folds, joins, prof
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
 from wideframe.plans import extra_trees as xt
-from wideframe.plans import models, saved, sparse_boosting, steps, validation, whatif
+from wideframe.plans import models, saved
+from wideframe.plans import search as model_search_plan
+from wideframe.plans import sparse_boosting, steps, validation, whatif
 from wideframe.session import spread, stage, staged_path
-from wideframe.sources import tables
+from wideframe.sources import blocks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -453,6 +455,16 @@ def sparse_long(spark, sf):
     return tables.to_sparse_long(wide, [f"rate{i}" for i in fx.SLOTS] + ["n_lines"], "o_orderkey")
 
 
+@query
+def sparse_blocks(spark, sf):
+    """The same triples, read back from blocks of at most some 500 cells with row pointers."""
+    wide = fx.orders_wide(spark, sf).select("o_orderkey", *[f"rate{i}" for i in fx.SLOTS], "n_lines")
+    cells = tables.to_sparse_long(wide, [f"rate{i}" for i in fx.SLOTS] + ["n_lines"], "o_orderkey")
+    path = staged_path(spark, "sparse-blocks")
+    blocks.sparse_blocks(cells, wide, "o_orderkey", cells_per_block=500).write(path)
+    return blocks.SparseBlocks.load(spark, path).triples()
+
+
 @query
 def standardize(spark, sf):
     parts = fx.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -876,6 +888,21 @@ def leaderboard(spark, sf):
     return _beside_mean(validation.leaderboard(rows, "y", "l_suppkey", fx.LEARN_KEY[:2], entries, k=2), rows)
 
 
+@query
+def model_search(spark, sf):
+    """A drawn part of two grids within a budget of four models: every candidate's state, and whether it beat the mean."""
+    grids = {models.boosted: ({"maxDepth": [2, 3], "maxIter": [3, 5]}, 2), models.forest: ({"maxDepth": [3, 5], "numTrees": [4, 8]}, 4)}
+    entries = {}
+    for maker, (choices, n) in grids.items():
+        entries |= model_search_plan.named(maker, "y", models.random_search(models.param_grid(choices), n, 5))
+    rows = _learn_vectors(spark, sf)
+    found = model_search_plan.search(rows, "y", "l_suppkey", entries, k=2, max_models=4, parallelism=4)
+    guess = scores.baseline_score(rows, rows).first()["abs_mean"]
+    board = found.board.select("number", "n_samples", (F.col("abs_mean") < F.lit(guess)).alias("beats_mean"))
+    return found.trials.join(board, "number", "left").select(
+        "number", F.substring_index("model", " ", 1).alias("family"), "state", "folds_done", "n_samples", "beats_mean")
+
+
 @query
 def tree_importance(spark, sf):
     """Whether split counts add up to the splits of the trees and gains to one, with the top feature."""

@@ -14,8 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wideframe.functions.arrays import folded_array, running_sums
 from wideframe.plans.models import FEATURES, best_iteration
-from wideframe.plans.steps import MOST_NODES, folded_array
+from wideframe.plans.steps import MOST_NODES
 from wideframe.session import stage
 
 #: Rounds after which the running predictions are written; between them the trees since then are followed.
@@ -77,8 +78,7 @@ class SparseTrees:
     def errors_by_round(self, df: DataFrame, label: str, features: str = FEATURES) -> DataFrame:
         """``round, abs_mean, abs_std, sq_mean`` after each round, from 1: one pass, in which a row's running sums are its predictions. The plan does not grow with the rounds."""
         rows = df.select(F.col(label).cast("double").alias("y"), vector_to_array(features).alias("v")).filter("y is not null")
-        sums = F.aggregate(self.additions(F.col("v")), F.struct(F.lit(self.base).alias("at"), F.array().cast("array<double>").alias("all")),
-                           lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"] + x)).alias("all")), lambda s: s["all"])
+        sums = running_sums(self.additions(F.col("v")), len(self.roots), F.lit(self.base))
         off = rows.select("y", F.posexplode(sums).alias("k", "p")).select((F.col("k") + 1).alias("round"), F.abs(F.col("y") - F.col("p")).alias("e"))
         return off.groupBy("round").agg(F.avg("e").alias("abs_mean"), F.stddev_pop("e").alias("abs_std"), F.avg(F.col("e") * F.col("e")).alias("sq_mean"))
 
