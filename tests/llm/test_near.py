@@ -49,6 +49,30 @@ def test_odd_documents(spark):
     assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """Rows of one id are one document: components of rows that are alike or share an id."""
+    rng = random.Random(8)
+    bases = [[f"b{g}x{i}" for i in range(40)] for g in range(12)]
+    rows = []
+    for k in range(150):
+        words = list(rng.choice(bases))
+        words[rng.randrange(40)] = f"e{k}"
+        rows.append((rng.randrange(60) if k % 5 else 7, rng.choice([" ".join(words), " ".join(words), "", None])))
+    sets = [shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and (
+        rows[a][0] == rows[b][0] or 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))]
+    root = smallest(range(len(rows)), links)
+    name = {}
+    for k, (i, _) in enumerate(rows):
+        if sets[k]:
+            name[root[k]] = min(name.get(root[k], i), i)
+    of = {i: name[root[k]] for k, (i, _) in enumerate(rows) if sets[k]}
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = near.near_duplicates(df).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted((i, len(s), of.get(i, i)) for (i, _), s in zip(rows, sets))
+
+
 def test_no_documents(spark):
     assert near.near_duplicates(no_documents(spark)).count() == 0
 

@@ -10,13 +10,15 @@ from ..session import stage
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node moves to the smallest node it can see from there."""
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Staged, so that the join has an exchange on either side and a star's centre can be split among tasks.
+    low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
     return both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, move to the smallest of them; edges come as (larger, smaller)."""
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    edges = stage(edges, "large-stars")
+    low = stage(edges.groupBy("a").agg(F.min("b").alias("m")), "lowest")
     moved = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 

@@ -71,9 +71,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in (0, 1):
                     sums[k, some] = np.add.reduceat(mixed(grams ^ _SHIFTS[k]), at)
             signature = [row.tobytes() if n else None for row, n in zip(minima, sizes)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)),
+            yield pa.record_batch([part.column("doc_id"), part.column("digest"), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)),
                                    pa.array(sums[1].view(np.int64)), pa.array(signature, pa.binary())],
-                                  names=["doc_id", "n_shingles", "one", "two", "signature"])
+                                  names=["doc_id", "digest", "n_shingles", "one", "two", "signature"])
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -137,10 +137,10 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node, text`` of the documents whose id is among ``ids`` (one column ``node``), which is broadcast only if it is small."""
-    ids = ids if ids.count() > BROADCAST_IDS else F.broadcast(ids)
-    return docs.withColumnRenamed("doc_id", "node").join(ids, "node").groupBy("node").agg(F.min("text").alias("text"))
+def _among(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``node, text`` for ``places`` (``node, doc_id, digest``), which is broadcast only if it is small."""
+    places = places if places.count() > BROADCAST_IDS else F.broadcast(places)
+    return docs.join(places, ["doc_id", "digest"]).groupBy("node").agg(F.min("text").alias("text"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -151,18 +151,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest ``doc_id`` reachable and ``kept`` marks that document.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null ``doc_id`` has no component and is kept.
-    Rows that repeat a ``doc_id`` get one component; should their texts differ, the smallest text decides it. Other columns
-    are ignored. An empty table gives no rows.
+    Rows that repeat a ``doc_id`` are one document: should their texts differ, each of them is linked with what is like it, and all
+    that is linked with any of them is one component. Other columns are ignored. An empty table gives no rows. A long text is held whole by
+    the task that reads it.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = stage(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, one long, two long, signature binary"), "signatures")
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    signed = stage(docs.mapInArrow(_signatures, "doc_id long, digest long, n_shingles long, one long, two long, signature binary"), "signatures")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     # Small sides of joins are staged where they were grouped by the join's key: a join over a fresh exchange on either side
     # lets adaptive execution split a key that holds many rows, a class of copies or a bucket of near copies.
-    classes = stage(usable.groupBy("one", "two").agg(F.min("doc_id").alias("node")), "classes")
-    members = usable.select("doc_id", "one", "two").join(classes, ["one", "two"]).select("doc_id", "node").distinct()
-    nodes = usable.join(classes.select("one", "two", F.col("node").alias("doc_id")), ["one", "two", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    nodes = stage(nodes.select(F.col("doc_id").alias("node"), "signature"), "nodes")
+    classes = usable.groupBy("one", "two").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    classes = stage(classes.select("one", "two", F.monotonically_increasing_id().alias("node"), "first.*"), "classes")
+    members = stage(usable.select("doc_id", "one", "two").join(classes.select("one", "two", "node"), ["one", "two"]).select("doc_id", "node").distinct(), "members")
+    nodes = usable.join(classes, ["one", "two", "doc_id", "digest"]).dropDuplicates(["node"])
+    nodes = stage(nodes.select("node", "doc_id", "digest", "signature"), "nodes")
+    # Several sets of shingles under one id: versions of a document.
+    versions = stage(members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a"), "versions")
+    versions = members.join(versions, "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keys = nodes.select("node", "signature", band.alias("band"))
@@ -177,12 +182,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs ``a, b`` the links: by signature, then by full sets."""
-        likely = stage(pairs.join(nodes.toDF("a", "sa"), "a").join(nodes.toDF("b", "sb"), "b").filter(equal >= LEAST_EQUAL).select("a", "b"), "pairs")
-        texts = stage(_among(docs, likely.select("a").union(likely.select("b")).distinct().toDF("node")), "texts")
+        signs = nodes.select("node", "signature")
+        likely = stage(pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b").filter(equal >= LEAST_EQUAL).select("a", "b"), "pairs")
+        ends = likely.select("a").union(likely.select("b")).distinct().toDF("node")
+        texts = stage(_among(docs, nodes.select("node", "doc_id", "digest").join(ends, "node", "left_semi")), "texts")
         return stage(likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").mapInArrow(_verified, "a long, b long"), "links")
 
     best = stage(best, "best")
-    links = confirmed(best)
+    links = stage(confirmed(best).union(versions), "first-links")
     labels = stage(components(links), "labels")
     label = F.coalesce("component", "node")
 
@@ -197,8 +204,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = (open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.max("size").alias("size"))
                .filter("low < high").groupBy("content", "size").agg(F.min("key").alias("key")).select("key"))
     rest = stage(open_.join(several, "key", "left_semi"), "open")
-    texts = _among(docs, rest.select("node").distinct())
-    full = stage(rest.join(nodes, "node").join(texts, "node"), "blocks")
+    texts = _among(docs, nodes.select("node", "doc_id", "digest").join(rest.select("node").distinct(), "node", "left_semi"))
+    full = stage(rest.join(nodes.select("node", "signature"), "node").join(texts, "node"), "blocks")
     sizes = full.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     full = full.join(stage(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -206,7 +213,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = full.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long")
     labels = components(stage(links.union(more), "links"))
 
-    found = members.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
+    # A component's name is its smallest document, which is the first of one of its classes.
+    labels = stage(labels, "labels")
+    own = classes.select("node", F.col("doc_id").alias("first")).join(labels, "node", "left")
+    names = stage(own.filter("component is not null").groupBy("component").agg(F.min("first").alias("name")), "names")
+    named = stage(own.join(names, "component", "left").select("node", F.coalesce("name", "first").alias("component")), "named")
+    found = members.join(named, "node").groupBy("doc_id").agg(F.min("component").alias("component"))
     return (signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

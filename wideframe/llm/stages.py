@@ -26,14 +26,18 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network does not reject. It is fitted on labelled rows of these documents."""
+    """Documents that the quality network does not reject. It is fitted on labelled rows of these documents.
+
+    Rows are judged one by one, so repeated rows share their fate; null and empty texts are scored as one empty chunk. Without labels all stay.
+    """
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, one row for each id; rows without an id stay.
 
-    Of rows that repeat an id the one with the smallest text is kept, so that one document of a group stays and not one id.
+    Of rows that repeat an id the one with the smallest text that has words is kept, so that one document of a group stays and not one id;
+    a null or blank text is kept only if no other has the id. Long texts are handled whole; an empty table stays empty.
     """
     dropped = near_duplicates(docs).filter("not kept").select("doc_id")
     repeated = stage(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
@@ -42,13 +46,17 @@ def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir:
     if not number:
         return left
     repeated = F.broadcast(repeated) if number <= BROADCAST_IDS else repeated
-    whole = F.struct(F.col("text").alias("first"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    whole = F.struct(blank.alias("blank"), F.col("text").alias("first"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     once = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole).alias("m")).select("m.row.*")
     return left.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs, neither with its own values nor with others."""
+    """Documents in which no benchmark item occurs, neither with its own values nor with others.
+
+    An id goes with all its rows if one of them has an item; rows without an id or text stay, and without items all do.
+    """
     return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
