@@ -82,6 +82,55 @@ def test_sample_is_bounded_and_leaves_the_held_out_fold_alone(spark, given):
     assert labelled_sample(docs, labels, "quality", 5, 0, 50) == labelled_sample(docs.repartition(9), labels.repartition(2), "quality", 5, 0, 50)
 
 
+def test_long_texts_and_repeated_ids_reach_the_fit(spark):
+    long = "".join(f"ä{k:06d} " for k in range(20_000))
+    docs = spark.createDataFrame([(1, long), (2, "a"), (2, "b"), (2, ""), (3, None), (4, "x" * 40_000)] + [(5, f"t{k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in (1, 2, 3, 4, 5)] + [(2, 0), (2, 1)], "doc_id long, quality int")
+    got = labelled_sample(docs.repartition(7), labels, "quality", 1, 5, 10)
+    assert got == labelled_sample(docs.repartition(2), labels.repartition(3), "quality", 1, 5, 10) and len(got) == 4
+    assert got[1] == ("b", 0) and got[3] == ("t99", 1) and set(got[2][0]) == {"x", "\n"}
+    text = got[0][0]
+    assert 32_000 < len(text) <= 32_768 and long.startswith(text[:200]) and long.endswith(text[-200:])
+    places = [int(line[line.index("ä") + 1:][:6]) for line in text.split("\n")]
+    assert len(places) == 32 and max(b - a for a, b in zip(places, places[1:])) < 800 and places[-1] > 19_000
+
+
+def test_scores_equal_a_plain_loop(given):
+    """The network, byte by byte, and each window with a compressor of its own."""
+    import math
+
+    import numpy as np
+    import zstandard
+    from wideframe.llm import quality as q, toxicity as t
+
+    docs, labels = given
+    texts = [r.text for r in docs.orderBy("doc_id").limit(6).collect()] + ["", "x", "ab" * 700]
+    model = q.fit(labelled_sample(docs, labels, "quality", 5, 0, 60))
+    (embedding, filters, bias), (weights, *scales) = model
+    seen = q.scores(texts, model)
+    for text, score in zip(texts, seen):
+        data, answers = text.encode(), []
+        for start in range(0, max(1, len(data) - (q.CHUNK - q.STEP)), q.STEP):
+            chunk = (data[start:start + q.CHUNK] + bytes(q.CHUNK))[:q.CHUNK]
+            best = [max(sum(float(embedding[chunk[p + i]][d]) * float(filters[i * q.DEPTH + d][f]) for i in range(q.WIDTH) for d in range(q.DEPTH))
+                        for p in range(0, q.CHUNK - q.WIDTH + 1, q.STRIDE)) for f in range(q.FILTERS)]
+            answers.append([max(0.0, b + float(c)) for b, c in zip(best, bias)])
+        pooled = np.hstack([np.mean(answers, 0), np.max(answers, 0)])[None]
+        assert score == pytest.approx(float(q.probability(pooled, model[1])[0]), abs=1e-3)
+    ordinary, toxic, last = t.fit(labelled_sample(docs, labels, "toxic", 4, 2, 200))
+    distance = t.Distances(ordinary, toxic)
+
+    def length(window, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, level=t.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    for text in texts:
+        folded = t.folded(text)
+        z = [length(folded[i:i + t.WINDOW], ordinary) - length(folded[i:i + t.WINDOW], ordinary + toxic) for i in range(0, max(1, len(folded) - 8), t.STEP)]
+        got = distance.features(text)
+        assert got[0] == pytest.approx(sum(z) / len(z), abs=1.0) and got[-1] == math.log(len(z))
+
+
 def test_accepted_keeps_rows_as_they_are(spark, given):
     docs, labels = given
     wide = docs.selectExpr("*", "'x' as score", "1.5 as net")

@@ -20,7 +20,8 @@ from .words import slices, text_bytes
 TRAINING_ROWS = 4000
 CHUNK, STEP = 256, 224
 DEPTH, WIDTH, FILTERS, STRIDE = 4, 6, 16, 2
-CHUNKS_PER_TEXT = 8  # of a text in fitting, chosen at random over its whole length
+#: Least chunks of a text that an epoch reads; it reads more of a long text, so that all epochs together read every chunk.
+CHUNKS_PER_EPOCH = 8
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 BLOCK = 512  # chunks at once in scoring
 PREDICTED_FROM = 0.3
@@ -65,15 +66,29 @@ def _pooled(data: np.ndarray, at: np.ndarray, net) -> np.ndarray:
     return np.hstack([np.add.reduceat(answers, first[:-1]) / np.diff(first)[:, None], np.maximum.reduceat(answers, first[:-1])]).astype(np.float64)
 
 
-def _network(x: np.ndarray, y: np.ndarray, rng) -> tuple:
+def _epochs(first: np.ndarray, rng) -> list[np.ndarray]:
+    """The chunks that each epoch reads, of texts with the chunks ``first[k]`` to ``first[k + 1]``: the next ones in an order drawn for each text."""
+    epochs: list[list[np.ndarray]] = [[] for _ in range(EPOCHS)]
+    for begin, end in zip(first[:-1], first[1:]):
+        order, count = begin + rng.permutation(end - begin), end - begin
+        each = min(count, max(CHUNKS_PER_EPOCH, -(-count // EPOCHS)))
+        for k in range(EPOCHS):
+            epochs[k].append(order[(k * each + np.arange(each)) % count])
+    return [np.concatenate(e or [np.zeros(0, int)]).astype(int) for e in epochs]
+
+
+def _network(x: np.ndarray, y: np.ndarray, epochs: list[np.ndarray], rng) -> tuple:
     """Embedding, filters and biases, by Adam on the log loss of single chunks; both labels weigh alike."""
     net = [rng.normal(0, 0.5, (256, DEPTH)), rng.normal(0, 0.3, (WIDTH * DEPTH, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.3, FILTERS), np.zeros(1)]
     net = [p.astype(np.float32) for p in net]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in net]
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
+    if not len(x):
+        return tuple(net[:3])
+    share = y[epochs[0]].mean()
+    weight = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)).astype(np.float32)
     step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
+    for epoch in epochs:
+        order = epoch[rng.permutation(len(epoch))]
         for k in range(0, len(order), BATCH):
             some = order[k:k + BATCH]
             b, target = x[some], y[some]
@@ -111,11 +126,11 @@ def fit(sample: list[tuple[str, int]]) -> tuple:
     y = np.array([distinct[i][1] for i in order], np.float32)
     starts, first = chunks(at)
     teach = np.arange(len(order)) % 3 < 2
-    picked = np.concatenate([rng.choice(np.arange(first[k], first[k + 1]), min(CHUNKS_PER_TEXT, first[k + 1] - first[k]), replace=False)
-                             for k in np.flatnonzero(teach)] or [np.zeros(0, int)]).astype(int)
-    owner = np.repeat(np.arange(len(order)), np.diff(first))
+    sizes = np.diff(first)
+    owner = np.repeat(np.arange(len(order)), sizes)
+    picked = np.flatnonzero(teach[owner]) if len(order) else np.zeros(0, int)
     x = _bytes(data, starts[picked], at[1:][owner[picked]]) if len(picked) else np.zeros((0, CHUNK), np.uint8)
-    net = _network(x, y[owner[picked]], rng)
+    net = _network(x, y[owner[picked]], _epochs(np.concatenate([[0], np.cumsum(sizes[teach])]), rng), rng)
     if teach.all():
         return net, (np.zeros(2 * FILTERS + 1), 0.0, 1.0)
     pooled = _pooled(data, at, net)

@@ -24,7 +24,6 @@ from .words import slices
 TRAINING_ROWS = 8000
 WINDOW, STEP = 32, 24
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2048
-ORDINARY_WINDOWS = 60_000
 GRAM, LEAST_SHARE, LEAST_ODDS = 6, 0.02, 1.0
 THRESHOLDS = (3, 5, 7)
 LEVEL = 3
@@ -73,11 +72,14 @@ def _stretches(text: bytes, telling: set[bytes]) -> list[bytes]:
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary, or the samples' last bytes where there are too few of them for the trainer."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    """A dictionary by zstandard's trainer, which needs a number of samples: fewer are given to it several times. Samples of a few bytes altogether give none."""
+    times = 1
+    while samples and times * len(samples) <= 4096:
+        try:
+            return zstandard.train_dictionary(size, samples * times).as_bytes()
+        except zstandard.ZstdError:
+            times *= 2
+    return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) > 4096 else b""
 
 
 class Distances:
@@ -109,7 +111,7 @@ def fit(sample: list[tuple[str, int]]) -> tuple[bytes, bytes, tuple]:
     build, tune = [distinct[i] for i in order[::3]] + [distinct[i] for i in order[1::3]], [distinct[i] for i in order[2::3]]
     toxic, ordinary = ([folded(t) for t, y in build if y == k] for k in (1, 0))
     base = [w for t in ordinary for w in windows(t)]
-    base = [base[i] for i in rng.choice(len(base), min(ORDINARY_WINDOWS, len(base)), replace=False)] if base else []
+    base = [base[i] for i in rng.permutation(len(base))]
     telling = _telling(toxic, ordinary)
     marks = [s for t in toxic for s in _stretches(t, telling)]
     marks = [marks[i] for i in rng.permutation(len(marks))]
