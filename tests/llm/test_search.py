@@ -44,8 +44,10 @@ def test_clusters_ties_and_a_hot_vector(spark, monkeypatch, part, slots):
 
 def test_odd_vectors(spark):
     vectors = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [3.0]), (None, [1.0, 1.0]),
-               (7, [-1.0, -2.0]), (0, [1.0, 2.0]), (8, [1e9, 1e9]), (9, [2.0**30, 2.0**30])]
-    check(spark, vectors, [0, 1, 5, 8, 9], k=3)
+               (7, [-1.0, -2.0]), (0, [1.0, 2.0]), (0, [-1.0, 9.0]), (10, [2.0**60, 0.0]), (8, [1e9, 1e9]), (9, [2.0**30, 2.0**30])]
+    check(spark, vectors, [0, 1, 5, 7], k=3)
+    with pytest.raises(ValueError, match="64 bits"):
+        search.top_products(frame(spark, [(0, [1e200]), (1, [1.0])]), frame(spark, [(0, [1e200])]))
 
 
 def test_few_and_none(spark):
@@ -55,7 +57,7 @@ def test_few_and_none(spark):
 
 
 def test_quantised(spark):
-    cells = [[0.1, -0.001, 0.999], [None, 1.0], [float("nan")], [float("inf")], [], None]
+    cells = [[0.1, -0.001, 0.999], [2.0**60, -(2.0**70)], [None, 1.0], [float("nan")], [float("inf")], [], None]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "vec_id long, embedding array<double>")
     got = [r.v for r in df.orderBy("vec_id").select(search.quantised().alias("v")).collect()]
-    assert got == [[25.0, -1.0, 255.0], None, None, None, [], None]
+    assert got == [[25.0, -1.0, 255.0], [2.0**68, -(2.0**78)], None, None, None, [], None]

@@ -146,20 +146,23 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, part: int =
 
     def usable(df):
         return df.select(F.col("vec_id").cast("long"), F.col("vector").cast("array<double>")).filter(
-            F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**53)))
+            F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
-    vectors, queries = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    # One vector for each id, in the table and in the index alike.
+    vectors = stage(usable(vectors).groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    queries = usable(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     fact = vectors.agg(F.max(F.size("vector")).alias("width"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     width, longest = max(fact.width or 0, 1), math.sqrt(fact.square or 0.0) * (1 + 1e-9)
-    sample = vectors.groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()
+    if not math.isfinite(width * longest**2):
+        raise ValueError("components are too large for their products to be whole numbers of 64 bits")
+    sample = vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()
     sample_ids = np.array([r.vec_id for r in sample], np.int64)
     rows = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         rows[i, :len(r.vector)] = r.vector
     lifted = np.hstack([rows, np.sqrt(np.maximum(longest**2 - (rows**2).sum(1), 0))[:, None]])
     pivots = _pivots(lifted, PIVOTS)
-    index = stage(vectors.mapInArrow(_assigned(pivots, longest, width), "vec_id long, pivot int, distance double, vector binary")
-                  .groupBy("vec_id").agg(F.min_by(F.struct("pivot", "distance", "vector"), "vector").alias("v")).select("vec_id", "v.*"), "index")
+    index = stage(vectors.mapInArrow(_assigned(pivots, longest, width), "vec_id long, pivot int, distance double, vector binary"), "index")
     # One row per pivot: how many vectors it has and between which distances.
     rings = index.groupBy("pivot").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high")).collect()
     if not rings:
@@ -187,4 +190,6 @@ def quantised(embedding: str = "embedding", scale: int = 256):
     """A vector column with each component turned into ``floor(scale * x)``; null if a component is null or not finite."""
     cells = F.col(embedding).cast("array<double>")
     fine = F.forall(cells, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(fine, F.transform(cells, lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
+    # Doubles from 2^52 on are whole numbers, and beyond 2^63 there is no integer to round down to.
+    whole = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+    return F.when(fine, F.transform(cells, lambda x: whole(F.lit(float(scale)) * x)))
