@@ -68,3 +68,27 @@ def test_redaction(spark):
     spans = F.expr("array(named_struct('start', 2L, 'rank', 0, 'stop', 4L, 'kind', 'a'), named_struct('start', 3L, 'rank', 0, 'stop', 5L, 'kind', 'a'), named_struct('start', 0L, 'rank', 0, 'stop', 1L, 'kind', 'a'))")
     assert df.select(secrets.redacted(F.col("text"), spans, "#")).first()[0] == "#b#efg"
     assert df.select(secrets.redacted(F.col("text"), F.slice(spans, 1, 0), "#")).first()[0] == "ab漢cdefg"
+
+
+def test_very_long_texts(spark):
+    """Positions run on over many blocks of matches, and runs without a digit are read once."""
+    texts = {1: "-" * 1_000_000 + "Aa", 2: "0123456789abcdef01234567 " * 80_000, 3: "login: bob Ab1Ab1Ab1Ab1Ab1Ab1 password=hunter22 10.0.0.1 " * 600,
+             4: "😀" * 3 + "password=abcdef " * (secrets.BLOCK * 2), 5: ("x" * 40 + "+/_- ") * 20_000}
+    rows = {r.doc_id: r.spans for r in secrets.secret_digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert rows[1] == rows[5] == ""
+    for k in (2, 3, 4):
+        assert rows[k] == joined(base(texts[k]) + (weak(texts[k]) if k == 3 else [])), k
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 1500])
+def test_redaction_of_many_spans(spark, n):
+    rng = random.Random(n)
+    text = "".join(rng.choice("ab漢😀 ") for _ in range(12 * n))
+    spans = sorted((a, 0, min(len(text), a + rng.choice([0, 1, 2, 5, 400 if rng.random() < 0.01 else 9])), "hex") for a in (rng.randrange(len(text)) for _ in range(n)))
+    place, want = 0, ""
+    for a, _, b, _ in spans:
+        if a >= place:
+            want += text[place:a] + "#"
+        place = max(place, b)
+    df = spark.createDataFrame([(text, spans), (text, []), (None, [])], "text string, s array<struct<start:long,rank:int,stop:long,kind:string>>")
+    assert [r[0] for r in df.select(secrets.redacted(F.col("text"), F.col("s"), "#")).collect()] == [want + text[place:], text, None]

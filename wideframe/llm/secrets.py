@@ -22,37 +22,74 @@ ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[
 LEAST_VALUE = 6
 #: A weak opaque value has this many signs and capital, small and digit among them.
 LEAST_OPAQUE = 16
+#: Runs of the signs of ``OPAQUE``, of which those with a digit are its matches; a run is read once, also one without a digit.
+RUN = r"[A-Za-z0-9+/_-]{16,}"
 #: Parts belong together if at most so many code points lie between them.
 SCOPE = 200
 BUCKET = 512
 #: Reported weak spans that may be broadcast (about 64 bytes each); more are joined by a shuffle.
 BROADCAST_SPANS = 100_000
 
+#: Matches or spans that are walked one by one from one place; longer lists are walked in blocks.
+BLOCK = 256
+
 KINDS = ("assign", "access", "hex", "identity", "opaque", "endpoint")
 _SPAN = "array<struct<start:long,rank:int,stop:long,kind:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """An array in slices of at most ``BLOCK`` elements; one empty slice for an empty array."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(items, i + 1, BLOCK))
+
+
+def _before(values: Column, merge) -> Column:
+    """For each element what ``merge`` makes of 0 and the elements before it; meant for one number per block."""
+    zero = F.lit(0).cast("long")
+    return F.transform(values, lambda _, i: F.aggregate(F.slice(values, 1, i), zero, merge))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches as spans in code points, end exclusive; ``keep`` judges group ``group`` of a match."""
+    """Leftmost non-overlapping matches as spans in code points, end exclusive; ``keep`` judges group ``group`` of a match.
+
+    Positions are running sums of lengths. Blocks of matches are summed first and then walked one by one, each from its own
+    place, since an array that grows by one element is copied each time.
+    """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    each = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("place"), F.array().cast(_SPAN).alias("spans"))
     rank = F.lit(KINDS.index(kind))
 
-    def add(state: Column, x: Column) -> Column:
-        begin = state["place"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["hit"])
-        span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("stop"), F.lit(kind).alias("kind"))
-        ok = keep(x["value"]) if keep else F.lit(True)
-        return F.struct(end.alias("place"), F.when(ok, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+    def sizes(hits: Column, values: Column | None) -> Column:
+        each = [F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")] + ([values.alias("value")] if values is not None else [])
+        return F.transform(F.arrays_zip(*each), lambda x: F.struct(
+            F.char_length(x["gap"]).cast("long").alias("skip"), F.char_length(x["hit"]).cast("long").alias("long"),
+            (keep(x["hit" if values is None else "value"]) if keep else F.lit(True)).alias("ok")))
 
-    found = F.aggregate(each, start, add, lambda s: s["spans"])
+    def add(state: Column, x: Column) -> Column:
+        begin = state["place"] + x["skip"]
+        span = F.struct(begin.alias("start"), rank.alias("rank"), (begin + x["long"]).alias("stop"), F.lit(kind).alias("kind"))
+        spans = F.when(x["ok"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct((begin + x["long"]).alias("place"), spans.alias("spans"))
+
+    def walk(block: Column) -> Column:
+        return F.aggregate(block["items"], F.struct(block["place"].alias("place"), F.array().cast(_SPAN).alias("spans")), add, lambda s: s["spans"])
+
+    def placed(blocks: Column) -> Column:
+        total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, x: n + x["skip"] + x["long"])
+        starts = _let(F.transform(blocks, total), lambda sums: _before(sums, lambda n, x: n + x))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("items"), starts.alias("place")), walk))
+
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
+    each = _let(hits, lambda h: sizes(h, values))
+    found = _let(_let(each, _blocks), placed)
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPAN))
 
 
 def _opaque(value: Column) -> Column:
-    return (F.char_length(value) >= LEAST_OPAQUE) & value.rlike("[a-z]") & value.rlike("[A-Z]")
+    return (F.char_length(value) >= LEAST_OPAQUE) & value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
 
 
 def _joined(spans: Column) -> Column:
@@ -75,7 +112,7 @@ def found_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = rows.select(
         "doc_id", F.md5("text").alias("content"),
         F.array_sort(F.concat(_spans(text, ASSIGN, "assign", lambda v: F.char_length(v) >= LEAST_VALUE, 1), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))).alias("base"),
-        F.concat(_spans(text, IDENTITY, "identity"), _spans(text, OPAQUE, "opaque", _opaque), _spans(text, ENDPOINT, "endpoint")).alias("weak"))
+        F.concat(_spans(text, IDENTITY, "identity"), _spans(text, RUN, "opaque", _opaque), _spans(text, ENDPOINT, "endpoint")).alias("weak"))
     rows = stage(rows, "spans")
 
     # The parts of each distinct text, with what they are.
@@ -109,14 +146,30 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with the union of ``spans`` replaced by ``mark``, overlapping spans by one."""
-    start = F.struct(F.lit(0).cast("long").alias("place"), F.lit("").alias("out"))
+    """``text`` with the union of ``spans`` replaced by ``mark``, overlapping spans by one.
+
+    A block of spans cuts its own piece out of the text and is replaced there, so a long text is read once per block, not per span.
+    """
+    def end(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0).cast("long"), lambda n, s: F.greatest(n, s["stop"]))
+
+    def replaced(block: Column) -> Column:
+        start, stop = block["place"], F.greatest(block["place"], end(block["items"]))
+        piece = F.substring(text, (start + 1).cast("int"), (stop - start).cast("int"))
+
+        def add(piece: Column):
+            def one(state: Column, s: Column) -> Column:
+                gap = F.substring(piece, (state["place"] - start + 1).cast("int"), F.greatest(s["start"] - state["place"], F.lit(0)).cast("int"))
+                out = F.when(s["start"] >= state["place"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
+                return F.struct(F.greatest(state["place"], s["stop"]).alias("place"), out.alias("out"))
+            return one
+
+        return _let(piece, lambda p: F.aggregate(block["items"], F.struct(start.alias("place"), F.lit("").alias("out")), add(p), lambda s: s["out"]))
 
-    def add(state: Column, s: Column) -> Column:
-        gap = F.substring(text, (state["place"] + 1).cast("int"), F.greatest(s["start"] - state["place"], F.lit(0)).cast("int"))
-        fresh = s["start"] >= state["place"]
-        out = F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["place"], s["stop"]).alias("place"), out.alias("out"))
+    def whole(blocks: Column) -> Column:
+        starts = _let(F.transform(blocks, end), lambda ends: _before(ends, lambda n, x: F.greatest(n, x)))
+        last = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: F.greatest(n, end(b)))
+        parts = F.transform(F.arrays_zip(blocks.alias("items"), starts.alias("place")), replaced)
+        return F.concat(F.array_join(parts, ""), F.substring(text, (last + 1).cast("int"), F.lit(2**31 - 1)))
 
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["place"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, add, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(_let(F.array_sort(spans), _blocks), whole)).otherwise(text)
