@@ -19,8 +19,11 @@ def _inside(rings, px, py):
     return odd
 
 
-@pytest.mark.parametrize("limit", [1000, 4])
-def test_against_brute_force_with_a_dense_spot(spark, limit):
+@pytest.mark.parametrize("limit,heap", [(1000, 10_000), (4, 10_000), (1000, 3), (4, 1)])
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_against_brute_force_with_a_dense_spot(spark, monkeypatch, limit, heap, shuffled):
+    if shuffled:
+        monkeypatch.setattr("wideframe.operators.ranks.BROADCAST_ROWS", -1)
     rng = np.random.default_rng(8)
     polys = []
     for i in range(120):
@@ -32,7 +35,7 @@ def test_against_brute_force_with_a_dense_spot(spark, limit):
     pts = np.vstack([rng.uniform(0, 10, (150, 2)), rng.normal(5, 0.01, (150, 2)), [[5.0, 5.0]] * 200])
     df = spark.createDataFrame([(i, [[{"x": float(a), "y": float(b)} for a, b in r] for r in rings]) for i, rings in polys], RINGS)
     points = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double")
-    got = {r["id"] for r in spatial.polygons_with_points(df, points, "id", points_per_cell=limit).collect()}
+    got = {r["id"] for r in spatial.polygons_with_points(df, points, "id", points_per_cell=limit, polygons_per_key=heap).collect()}
     assert got == {i for i, rings in polys if any(_inside(rings, a, b) for a, b in pts)}
     assert 0 < len(got) < 120
 
@@ -74,3 +77,17 @@ def test_empty_sides(spark):
     assert spatial.polygons_with_points(df, points, "id").count() == 1
     assert spatial.polygons_with_points(df, points.limit(0), "id").count() == 0
     assert spatial.polygons_with_points(df.limit(0), points, "id").count() == 0
+
+
+def test_a_heap_of_polygons_over_one_point_is_dealt(spark):
+    """100,000 triangles in one cell with one point: no key gets more than a fair share of them, and each is judged."""
+    corner = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    size = F.lit(0.5) + F.col("id") % 2
+    df = spark.range(100_000).select("id", F.array(F.array(corner(0, 0), F.struct(size.alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(0.0).alias("x"), size.alias("y")))).alias("rings"))
+    points = spark.createDataFrame([(0.3, 0.3)], "x double, y double")
+    got = spatial.polygons_with_points(df, points, "id").agg(F.count("*"), F.min(F.col("id") % 2)).first()
+    assert tuple(got) == (50_000, 1)
+    cells = df.select(F.col("id").alias("__id"), geometry.edges(F.col("rings")).alias("edges"), F.lit(0).alias("cx"), F.lit(0).alias("cy"))
+    shares, copies = spatial._dealt(cells, points.withColumn("cx", F.lit(0)).withColumn("cy", F.lit(0)), spatial.POLYGONS_PER_KEY)
+    counts = [r["count"] for r in shares.groupBy("deal").count().collect()]
+    assert len(counts) == 10 == copies.count() and sum(counts) == 100_000 and max(counts) < 1.1 * min(counts)

@@ -531,7 +531,7 @@ ORACLES["whatif_model"] = "SELECT count(*) AS n_rows, count(*) AS near_optimum F
 
 # --- the same results by other plans, and round trips ------------------------------------------------
 
-for _name, _like in (("outliers_bracketed", "outliers"), ("holdout_report_bracketed", "holdout_report"), ("spatial_split", "spatial_semi"),
+for _name, _like in (("outliers_bracketed", "outliers"), ("holdout_report_bracketed", "holdout_report"), ("spatial_split", "spatial_semi"), ("spatial_dealt", "spatial_semi"),
                      ("feature_set_round_trip", "feature_matrix"), ("feature_model_round_trip", "feature_matrix")):
     ORACLES[_name] = ORACLES[_like]
 
@@ -609,3 +609,10 @@ ORACLES["model_round_trip"] = "SELECT count(*) AS n_rows, count(*) AS n_same, tr
 ORACLES["biweek_spellings"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN '_May 3_'
   ELSE CAST(CAST(ceil(dayofyear(o_orderdate) / 14.0) AS INT) AS VARCHAR) END AS d_biweek FROM orders"""
 ORACLES["sparse_blocks"] = ORACLES["sparse_long"]
+
+ORACLES["label_vectors"] = """WITH lines AS (SELECT l_shipdate < TIMESTAMP '1999-01-01' AS known, CAST(l_orderkey AS VARCHAR) AS o,
+  CASE WHEN l_quantity <= 45 THEN l_returnflag END AS f FROM lineitem),
+cells AS (SELECT known, 0 AS c, 'order__DUMMY__' || o AS feature, o AS label FROM lines
+  UNION ALL SELECT known, 1, 'flag__DUMMY__' || coalesce(f, '__na__'), f FROM lines),
+seen AS (SELECT *, row_number() OVER (ORDER BY c, label NULLS FIRST) - 1 AS entry FROM (SELECT DISTINCT c, feature, label FROM cells WHERE known))
+SELECT entry, feature, count(*) AS rows FROM cells JOIN seen USING (c, feature) GROUP BY entry, feature"""

@@ -17,6 +17,7 @@ from wideframe.operators import categories, columns, filters, folds, joins, prof
 from wideframe.operators import score as scores
 from wideframe.plans import features as plan
 from wideframe.plans import extra_trees as xt
+from wideframe.plans import label_vectors as vectors
 from wideframe.plans import models, saved
 from wideframe.plans import search as model_search_plan
 from wideframe.plans import sparse_boosting, steps, validation, whatif
@@ -655,6 +656,13 @@ def spatial_split(spark, sf):
     return spatial.polygons_with_points(shapes, fx.points(spark, sf), "shape_id", points_per_cell=4).select("shape_id", "s_acctbal")
 
 
+@query
+def spatial_dealt(spark, sf):
+    """The same shapes, with the polygons of a cell dealt over keys from the third on."""
+    shapes = geometry.parse_shapes(fx.shapes(spark, sf), "xml")
+    return spatial.polygons_with_points(shapes, fx.points(spark, sf), "shape_id", polygons_per_key=2).select("shape_id", "s_acctbal")
+
+
 @query
 def spatial_parts(spark, sf):
     """Squares of two parts, one with a hole: area of all parts, and whether a point lies in any of them."""
@@ -1049,3 +1057,16 @@ def feature_model_round_trip(spark, sf):
     fitted = PipelineModel.load(path).stages[0].fitted
     shaped = plan.shape(plan.clean(season, SEASON), SEASON, drop=True)
     return rounded(fitted.transform(shaped, drop_outliers=True).long(), 3)
+
+
+@query
+def label_vectors(spark, sf):
+    """Rows per entry of an encoder of orders and flags that was fitted on earlier lines, saved in a pipeline, read again, and given all lines."""
+    lines = fx.table(spark, sf, "lineitem").select(
+        "l_shipdate", F.col("l_orderkey").cast("string").alias("order"), F.when(F.col("l_quantity") <= 45, F.col("l_returnflag")).alias("flag"))
+    path = staged_path(spark, "label-vectors")
+    fitted = vectors.LabelVectorizer(inputCols=["order", "flag"]).fit(lines.filter(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")))
+    PipelineModel([fitted]).write().overwrite().save(path)
+    model = PipelineModel.load(path).stages[0]
+    hits = model.transform(lines).select(F.explode(F.unwrap_udt("dummies")["indices"]).alias("entry")).groupBy("entry").agg(F.count("*").alias("rows"))
+    return hits.join(model.names(), "entry").select(F.col("entry").cast("long").alias("entry"), "feature", "rows")

@@ -175,25 +175,30 @@ def one_hot_long(df: DataFrame, cols: Sequence[str], row_id: Sequence[str],
     return long.select(*row_id, name.alias("feature"), F.lit(1.0).alias("value"))
 
 
-def dummy_vector(df: DataFrame, dictionary: CategoryDictionary, output: str = "dummies", drop_first: bool = False) -> DataFrame:
+def dummy_vector(df: DataFrame, dictionary: CategoryDictionary, output: str = "dummies", drop_first: bool = False,
+                 null_classes: Sequence[str] = ()) -> DataFrame:
     """Dummies of all label columns as one sparse vector, for any number of labels; the label columns stay.
 
     Labels become codes by a join and codes become entries by the sizes of the dictionary, so no label
     reaches the driver. A null or unknown label, and with ``drop_first`` the first, is an all-zero block. Entries
-    follow the dictionary's columns and codes.
+    follow the dictionary's columns and codes; in ``null_classes`` nulls have an entry of their own before the labels.
     """
     sizes, columns = dictionary.sizes(), list(dictionary.columns)
-    known = [c for c in columns if sizes[c] > int(drop_first)]
+    classes = {c: sizes[c] + int(c in null_classes) for c in columns}
+    known = [c for c in columns if classes[c] > int(drop_first)]
     if not known:
         return df.withColumn(output, array_to_vector(F.array().cast("array<double>")))
     codes, hot = [f"__dummy_{c}" for c in known], [f"__hot_{c}" for c in known]
     as_codes = CategoryDictionary(
         dictionary.entries.filter(F.col("column").isin(known)).withColumn("column", F.concat(F.lit("__dummy_"), "column")), tuple(codes))
     coded = encode_codes(df.select("*", *[quoted(c).alias(n) for c, n in zip(known, codes)]), as_codes)
-    entries = {c: sizes[c] - int(drop_first) for c in known}
+    entries = {c: classes[c] - int(drop_first) for c in known}
 
     def place(c: str, n: str):
-        at = quoted(n) - int(drop_first)
+        code = quoted(n)
+        if c in null_classes:
+            code = F.when(quoted(c).isNull(), F.lit(0)).when(code >= 0, code + 1).otherwise(F.lit(NULL_CODE))
+        at = code - int(drop_first)
         return F.when(at >= 0, at).otherwise(F.lit(entries[c])).cast("double").alias(n)
 
     coded = coded.select(*[quoted(c) for c in df.columns], *[place(c, n) for c, n in zip(known, codes)])

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wideframe.functions.geometry import bbox, edges, touches
+from wideframe.operators.ranks import broadcast_if_small
 from wideframe.session import stage
 
 CELLS_PER_SIDE = 4
 POINTS_PER_CELL = 1_000
+POLYGONS_PER_KEY = 10_000
 MAX_SPLITS = 20
 
 
@@ -18,13 +20,15 @@ def _cell(coordinate: Column, origin: float, side: Column | float) -> Column:
 
 
 def polygons_with_points(polys: DataFrame, points: DataFrame, id_col: str, rings_col: str = "rings",
-                         points_per_cell: int = POINTS_PER_CELL) -> DataFrame:
+                         points_per_cell: int = POINTS_PER_CELL, polygons_per_key: int = POLYGONS_PER_KEY) -> DataFrame:
     """Polygons that contain or touch a point (``x``, ``y``), holes left out.
 
     Both sides meet in grid cells. The first grid is as coarse as the largest polygon, which bounds
     the cells per polygon; a cell with more than ``points_per_cell`` distinct points is split in four
-    until it is not, and only the part of each polygon in that cell follows. So neither a dense spot
-    nor a large polygon makes one cell hot, and no point is compared outside its cell.
+    until it is not, and only the part of each polygon in that cell follows. A cell with more than
+    ``polygons_per_key`` polygons deals them over several keys, each with a copy of the cell's points, which
+    are few by then. So neither a dense spot nor a large polygon nor a heap of polygons makes one key hot, and
+    no point is compared outside its cell.
     """
     box = bbox(F.col(rings_col))
     shaped = polys.select(F.col(id_col).alias("__id"), edges(F.col(rings_col)).alias("edges"),
@@ -61,15 +65,33 @@ def polygons_with_points(polys: DataFrame, points: DataFrame, id_col: str, rings
 
     found = None
     for cells, spots_in in zip(settled_polys, settled_points):
-        here = (F.col("cx") == F.col("px")) & (F.col("cy") == F.col("py"))
+        cells, spots_in = _dealt(cells, spots_in, polygons_per_key)
+        here = (F.col("cx") == F.col("px")) & (F.col("cy") == F.col("py")) & (F.col("deal") == F.col("p_deal"))
         held = (F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
                 & touches(F.col("edges"), F.col("x"), F.col("y")))
-        keyed = spots_in.select("x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"))
+        keyed = spots_in.select("x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("deal").alias("p_deal"))
         hits = cells.join(keyed, here & held, "left_semi").select("__id")
         found = hits if found is None else found.unionByName(hits)
     return polys.join(found.withColumnRenamed("__id", id_col).distinct(), id_col, "left_semi")
 
 
+def _dealt(cells: DataFrame, spots: DataFrame, polygons_per_key: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``deal``: the share of a heavy cell's polygons that a row belongs to, 0 in other cells.
+
+    A polygon goes to one share by hash, a point to all shares of its cell. The heavy cells are staged, so that where they are
+    too many to broadcast, adaptive execution can split the cell that is heavy in the join itself.
+    """
+    heavy = stage(cells.groupBy("cx", "cy").count().filter(F.col("count") > polygons_per_key)
+                  .select("cx", "cy", F.ceil(F.col("count") / polygons_per_key).cast("int").alias("deals")), "heavy-cells")
+    n = heavy.count()
+    if not n:
+        return cells.withColumn("deal", F.lit(0)), spots.withColumn("deal", F.lit(0))
+    heavy, deals = broadcast_if_small(heavy, n), F.coalesce("deals", F.lit(1))
+    share = F.pmod(F.xxhash64("__id", "edges"), deals).cast("int")
+    return (cells.join(heavy, ["cx", "cy"], "left").withColumn("deal", share).drop("deals"),
+            spots.join(heavy, ["cx", "cy"], "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals"))
+
+
 def _cover(shapes: DataFrame, side: float, x0: float, y0: float, level: int | None) -> DataFrame:
     """One row per polygon and grid cell that its bounding box reaches.
 
