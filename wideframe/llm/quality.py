@@ -23,6 +23,8 @@ DEPTH, WIDTH, FILTERS, STRIDE = 4, 6, 16, 2
 #: Least chunks of a text that an epoch reads; it reads more of a long text, so that all epochs together read every chunk.
 CHUNKS_PER_EPOCH = 8
 EPOCHS, BATCH, RATE = 12, 128, 0.01
+#: Least steps of a fit. A few dozen texts give some three steps an epoch, which teach little; the epochs are read again until there are as many.
+LEAST_STEPS = 300
 BLOCK = 512  # chunks at once in scoring
 PREDICTED_FROM = 0.3
 
@@ -87,7 +89,8 @@ def _network(x: np.ndarray, y: np.ndarray, epochs: list[np.ndarray], rng) -> tup
     share = y[epochs[0]].mean()
     weight = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)).astype(np.float32)
     step = 0
-    for epoch in epochs:
+    passes = -(-LEAST_STEPS // max(1, sum(-(-len(e) // BATCH) for e in epochs)))
+    for epoch in epochs * passes:
         order = epoch[rng.permutation(len(epoch))]
         for k in range(0, len(order), BATCH):
             some = order[k:k + BATCH]
