@@ -72,3 +72,16 @@ def test_no_labels_and_no_rows(spark, train, rows):
     model = LabelVectorizer(inputCols=["r"]).fit(train)
     assert [r["dummies"].toArray().tolist() for r in model.transform(rows).orderBy("id").collect()] == [[1], [0], [1], [0], [0]]
     assert model.transform(rows.limit(0)).count() == 0
+
+
+def test_schema_does_not_grow_with_the_labels(spark):
+    """The driver holds the schema: it has the vector's size, and names only as far as there may be one column per label."""
+    rows = spark.range(cats.MAX_DUMMY_COLUMNS + 1).select(F.concat(F.lit("v"), "id").alias("p"))
+    for n in (cats.MAX_DUMMY_COLUMNS, cats.MAX_DUMMY_COLUMNS + 1):
+        some = rows.limit(n)
+        made = LabelVectorizer(inputCols=["p"]).fit(some).transform(some)
+        attrs = made.schema["dummies"].metadata["ml_attr"]
+        assert attrs["num_attrs"] == n == made.agg(F.count_distinct(F.unwrap_udt("dummies")["indices"][0])).first()[0]
+        assert len(attrs.get("attrs", {}).get("binary", [])) == (n if n <= cats.MAX_DUMMY_COLUMNS else 0)
+    with pytest.raises(ValueError):
+        cats.dummy_vector(rows.withColumn("dummies", F.lit(1)), cats.fit_dictionary(rows, ["p"]))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,29 +185,35 @@ def dummy_vector(df: DataFrame, dictionary: CategoryDictionary, output: str = "d
     reaches the driver. A null or unknown label, and with ``drop_first`` the first, is an all-zero block. Entries
     follow the dictionary's columns and codes; in ``null_classes`` nulls have an entry of their own before the labels.
     """
+    if output in df.columns:
+        raise ValueError(f"column {output} already exists")
     sizes, columns = dictionary.sizes(), list(dictionary.columns)
     classes = {c: sizes[c] + int(c in null_classes) for c in columns}
     known = [c for c in columns if classes[c] > int(drop_first)]
     if not known:
         return df.withColumn(output, array_to_vector(F.array().cast("array<double>")))
-    codes, hot = [f"__dummy_{c}" for c in known], [f"__hot_{c}" for c in known]
+    codes = [f"__dummy_{c}" for c in known]
     as_codes = CategoryDictionary(
         dictionary.entries.filter(F.col("column").isin(known)).withColumn("column", F.concat(F.lit("__dummy_"), "column")), tuple(codes))
     coded = encode_codes(df.select("*", *[quoted(c).alias(n) for c, n in zip(known, codes)]), as_codes)
     entries = {c: classes[c] - int(drop_first) for c in known}
+    starts = dict(zip(known, accumulate(entries.values(), initial=0)))
 
     def place(c: str, n: str):
         code = quoted(n)
         if c in null_classes:
             code = F.when(quoted(c).isNull(), F.lit(0)).when(code >= 0, code + 1).otherwise(F.lit(NULL_CODE))
         at = code - int(drop_first)
-        return F.when(at >= 0, at).otherwise(F.lit(entries[c])).cast("double").alias(n)
-
-    coded = coded.select(*[quoted(c) for c in df.columns], *[place(c, n) for c, n in zip(known, codes)])
-    # The encoder learns only sizes: one row with each column's last code, which stands for none and is dropped.
-    last = df.sparkSession.createDataFrame([tuple(float(entries[c]) for c in known)], [f"`{n}`".strip("`") for n in codes])
-    encoder = OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True).fit(last)
-    return VectorAssembler(inputCols=hot, outputCol=output).transform(encoder.transform(coded)).drop(*codes, *hot)
+        return F.when(at >= 0, at + starts[c]).cast("int")
+
+    # Spark ML's encoder would name every entry in the schema, which the driver holds; here the schema has the size, and names as the encoder gives them
+    # only up to ``MAX_DUMMY_COLUMNS`` entries.
+    size = sum(entries.values())
+    names = [{"idx": starts[c] + k, "name": f"__hot_{c}_{k}"} for c in known for k in range(entries[c])] if size <= MAX_DUMMY_COLUMNS else []
+    schema = {"ml_attr": ({"attrs": {"binary": names}} if names else {}) | {"num_attrs": size}}
+    vector = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
+    found = F.array_compact(F.array(*[place(c, n) for c, n in zip(known, codes)]))  # ascending, as the blocks are
+    return coded.select(*[quoted(c) for c in df.columns], vector(found).alias(output, metadata=schema))
 
 
 def split_encode(train: DataFrame, test: DataFrame, cols: Sequence[str], exclude: Sequence[str] = (),
