@@ -992,11 +992,11 @@ def whatif_steps(spark, sf):
     model = models.boosted("y", maxIter=5, maxDepth=4).fit(rows)
     index, grid = NUMERIC.index("l_quantity"), [0.5 * k for k in range(1, 101)]
     key = [*fx.LEARN_KEY]
-    best = steps.whatif_steps(rows, model, index, grid, key)
+    best = steps.whatif_steps(rows, model, index, grid, [*key, "features"]).dropna("any", subset=key)
     # The same by the model itself, for some places of the grid: no prediction is higher, and the best is reached.
     values = F.array(*[F.get(vector_to_array("features"), F.lit(k)) if k != index else F.col("swept") for k in range(len(NUMERIC))])
     some = F.array_distinct(F.concat(F.array(*[F.lit(g) for g in grid[::9]]), F.array("best")))
-    probe = rows.select(*key, "features").join(best, key).withColumn("swept", F.explode(some)).withColumn("features", array_to_vector(values))
+    probe = best.withColumn("swept", F.explode(some)).withColumn("features", array_to_vector(values))
     high = model.setPredictionCol("by_model").transform(probe).groupBy(*key).agg(F.max(F.abs(F.when(F.col("swept") == F.col("best"), F.col("by_model") - F.col("prediction")))).alias("off"),
                                   F.max(F.col("by_model") - F.col("prediction")).alias("over"), F.first("best").alias("best"))
     agree = (F.col("off") < 1e-9) & (F.col("over") < 1e-9)
