@@ -91,3 +91,15 @@ def test_a_heap_of_polygons_over_one_point_is_dealt(spark):
     shares, copies = spatial._dealt(cells, points.withColumn("cx", F.lit(0)).withColumn("cy", F.lit(0)), spatial.POLYGONS_PER_KEY)
     counts = [r["count"] for r in shares.groupBy("deal").count().collect()]
     assert len(counts) == 10 == copies.count() and sum(counts) == 100_000 and max(counts) < 1.1 * min(counts)
+
+
+def test_polygons_of_one_file_are_dealt_over_all_tasks(spark, monkeypatch):
+    """The work is polygons times points, so polygons that come in one partition do not stay in one."""
+    seen = []
+    cover = spatial._cover
+    monkeypatch.setattr(spatial, "_cover", lambda shapes, *a: seen.append(shapes.rdd.getNumPartitions()) or cover(shapes, *a))
+    squares = spark.range(400).coalesce(1).selectExpr("id", "id % 20 AS x", "id DIV 20 AS y").selectExpr(
+        "id", "array(array(named_struct('x', x + 0D, 'y', y + 0D), named_struct('x', x + 0.5D, 'y', y + 0D), named_struct('x', x + 0.5D, 'y', y + 0.5D)))  AS rings")
+    points = spark.range(10).selectExpr("id + 0.4D AS x", "0.1D AS y")
+    assert sorted(r["id"] for r in spatial.polygons_with_points(squares, points, "id").collect()) == list(range(10))
+    assert seen[0] >= spark.sparkContext.defaultParallelism

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from wideframe.session import stage
 CELLS_PER_SIDE = 4
 POINTS_PER_CELL = 1_000
 POLYGONS_PER_KEY = 10_000
+POLYGONS_PER_TASK = 5_000
 MAX_SPLITS = 20
 
 
@@ -31,7 +34,10 @@ def polygons_with_points(polys: DataFrame, points: DataFrame, id_col: str, rings
     no point is compared outside its cell.
     """
     box = bbox(F.col(rings_col))
-    shaped = polys.select(F.col(id_col).alias("__id"), edges(F.col(rings_col)).alias("edges"),
+    # Each polygon may meet points_per_cell points in each of its cells, so few bytes are much work: every task gets a share of the polygons.
+    tasks = max(polys.sparkSession.sparkContext.defaultParallelism, math.ceil(polys.count() / POLYGONS_PER_TASK))
+    dealt = polys.select(id_col, rings_col).repartition(tasks)
+    shaped = dealt.select(F.col(id_col).alias("__id"), edges(F.col(rings_col)).alias("edges"),
                           *[c.alias(n) for n, c in box.items()]).filter(F.col("xmin").isNotNull())
     span = shaped.agg(F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))),
                       F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
