@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from wideframe.session import stage
 
 ROWS_PER_SLICE = 1_000_000
+#: ``monotonically_increasing_id`` numbers the rows of a task from a multiple of this on.
+TASK_IDS = 1 << 33
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 
@@ -52,8 +54,11 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], weigh
         earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(share).over(earlier), zero))
 
-    slices = math.ceil(rows / rows_per_slice)
-    cut = stage(df.repartitionByRange(slices, *by, *order).withColumn("__slice", F.spark_partition_id()), "ranks")
+    # Tasks are of ROWS_PER_SLICE rows, or one per core, however short the slices are; a task's sorted rows are numbered from its own number on.
+    parts = min(math.ceil(rows / rows_per_slice), max(math.ceil(rows / ROWS_PER_SLICE), df.sparkSession.sparkContext.defaultParallelism))
+    placed = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id())
+    within = F.pmod("__at", F.lit(TASK_IDS))
+    cut = stage(placed.withColumn("__slice", F.col("__at") - within + F.floor(within / rows_per_slice)).drop("__at"), "ranks")
     earlier_slices = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cut.groupBy(*by, "__slice").agg(F.sum(share).alias("__total"))
