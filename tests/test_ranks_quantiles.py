@@ -92,3 +92,25 @@ def test_quad_fit_recovers_a_planted_curve(spark):
     assert fits[1]["c2"] == pytest.approx(-0.5)
     assert -fits[1]["c1"] / (2 * fits[1]["c2"]) == pytest.approx(30_010, abs=1e-3)
     assert (fits[9]["c0"], fits[9]["c1"], fits[9]["c2"]) == (None, None, None) and fits[9]["n"] == 2
+
+
+def test_short_slices_do_not_make_a_task_each(spark, monkeypatch):
+    """Slices of 20 rows in few tasks: the totals are right, and what is staged has as many files as tasks."""
+    files = []
+    stage = ranks.stage
+    monkeypatch.setattr(ranks, "stage", lambda df, label: files.append((label, stage(df, label))) or files[-1][1])
+    df = spark.range(6_000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("v"), (F.col("id") % 5).alias("n"))
+    sliced = ranks.running_totals(df, ["g"], ["v"], "n", rows_per_slice=20)
+    small = ranks.running_totals(df, ["g"], ["v"], "n")
+    assert sliced.exceptAll(small).count() == 0 and sliced.count() == 6_000
+    cut = dict(files[:2])["ranks"]
+    assert cut.select(F.input_file_name()).distinct().count() <= spark.sparkContext.defaultParallelism
+    assert cut.groupBy("__slice").count().agg(F.max("count"), F.count("*")).first()[0] == 20
+
+
+def test_sketches_of_large_groups_are_small(spark, monkeypatch):
+    """Without an accuracy of the caller's a group's sketch has that of a column's."""
+    seen = []
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda c, p, a, f=F.percentile_approx: seen.append(a) or f(c, p, a))
+    rows = quantiles.group_quantiles(spark.range(4_000).selectExpr("id % 2 AS g", "id DIV 2 AS v"), ["g"], "v", [0.5], small=100).collect()
+    assert [r["quantiles"] for r in rows] == [[999.5], [999.5]] and max(seen) <= quantiles.ACCURACY

@@ -140,11 +140,12 @@ def _pick(df: DataFrame, brackets: list[_Bracket]):
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], small: int = SMALL,
-                    accuracy: int = 10 * ACCURACY) -> DataFrame:
+                    accuracy: int = ACCURACY) -> DataFrame:
     """One row per group with ``quantiles``, an array in the order of ``probs``.
 
     Groups of at most ``small`` rows go through ``percentile``. The others are few (fewer than
-    rows / ``small``) and are bracketed per group, so no task holds a whole large group.
+    rows / ``small``) and are bracketed per group, so no task holds a whole large group. A sketch grows with
+    ``accuracy``, and each task holds one per large group; a bracket holds ``6 / accuracy`` of its group's rows.
     """
     by = list(by)
     rows = df.select(*by, F.col(f"`{value}`").cast("double").alias("__v")).filter(F.col("__v").isNotNull())
