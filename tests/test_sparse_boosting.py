@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
 from wideframe.plans import models
 from wideframe.plans import sparse_boosting as sb
 
@@ -79,3 +81,16 @@ def test_few_and_no_rows(spark):
     assert one.tested == [-1, -1] and one.transform(df).first().prediction == pytest.approx(y[0])
     lost = df.withColumn("features", df.features)
     assert sb.fit_sparse_boosting(lost, "y", 1, least=2.0).transform(df).count() == 4
+
+
+def test_rows_with_the_same_bins_are_added_up_once(spark):
+    """Levels read one row per combination of bins, and the trees are those of the rows themselves."""
+    df = spark.range(5_000).selectExpr("array(double(id % 7), if(id % 3 = 0, double('NaN'), double(id % 2))) AS v", "double(id % 7) * 2 + id % 3 AS y").select(
+        array_to_vector("v").alias("features"), "y")
+    binned, ends = sb._binned(df, "y", "features", 32)
+    assert binned.count() == 7 * 3 and tuple(binned.selectExpr("sum(n)", "sum(s)").first()) == tuple(df.selectExpr("count(*)", "sum(y)").first())
+    model = sb.fit_sparse_boosting(df, "y", rounds=1, max_depth=1, rate=1.0, penalty=0.0)
+    first = model.value[model.left[0]], model.value[model.right[0]]
+    low = F.get(vector_to_array("features"), F.lit(model.tested[0])) <= model.cut[0]
+    means = {r["low"]: r["m"] for r in df.groupBy(low.alias("low")).agg(F.avg(F.col("y") - model.base).alias("m")).collect()}
+    assert model.tested[0] == 0 and first == pytest.approx((means[True], means[False]))

@@ -84,7 +84,10 @@ class SparseTrees:
 
 
 def _binned(df: DataFrame, label: str, features: str, bins: int) -> tuple[DataFrame, list[list[float]]]:
-    """Rows as ``y, b`` with a bin per input: 0 for a missing value, then 1 and up; and the upper ends of the bins but the last."""
+    """``b, n, s``: each combination of bins that occurs, a bin per input, with its rows and the sum of their labels; and the upper ends of the bins but the last.
+
+    Bin 0 is a missing value, then 1 and up. Trees see rows by their bins only, so the gradients of such rows add up to ``n`` predictions less ``s``.
+    """
     rows = df.select(F.col(label).cast("double").alias("y"), vector_to_array(features).alias("v")).filter("y is not null and not isnan(y)")
     width = rows.select(F.max(F.size("v"))).first()[0] or 0
     points = [k / bins for k in range(1, bins)]
@@ -97,7 +100,8 @@ def _binned(df: DataFrame, label: str, features: str, bins: int) -> tuple[DataFr
         return F.when(F.isnan(F.col("v")[k]) | F.col("v")[k].isNull(), 0).otherwise(1 + beyond)
 
     cells = [cell(k, upper) for k, upper in enumerate(ends)]
-    return stage(rows.select("y", F.array(*cells).cast("array<int>").alias("b") if cells else F.array().cast("array<int>").alias("b")), "binned"), ends
+    binned = rows.select("y", F.array(*cells).cast("array<int>").alias("b") if cells else F.array().cast("array<int>").alias("b"))
+    return stage(binned.groupBy("b").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "binned"), ends
 
 
 def fit_sparse_boosting(df: DataFrame, label: str, rounds: int, max_depth: int = 4, rate: float = 0.1, columns: float = 1.0, bins: int = 32, penalty: float = 1.0,
@@ -109,8 +113,8 @@ def fit_sparse_boosting(df: DataFrame, label: str, rounds: int, max_depth: int =
     are left out; no rows give a model of the base 0 without trees.
     """
     rows, ends = _binned(df, label, features, bins)
-    n, mean = rows.agg(F.count("*"), F.avg("y")).first()
-    model = SparseTrees(mean or 0.0)
+    n, total = rows.agg(F.sum("n"), F.sum("s")).first()
+    model = SparseTrees(total / n if n else 0.0)
     if not n:
         return model
     rows = rows.withColumn("p", F.lit(model.base))
@@ -118,14 +122,14 @@ def fit_sparse_boosting(df: DataFrame, label: str, rounds: int, max_depth: int =
     trace: list[float] = []
     for number in range(rounds):
         if number - written == ROUNDS:
-            rows = stage(rows.select("y", "b", _predicted(model, written).alias("p")), "boosting")
+            rows = stage(rows.select("b", "n", "s", _predicted(model, written).alias("p")), "boosting")
             written = number
             if validation is not None and patience:
                 trace = [r["abs_mean"] for r in model.errors_by_round(validation, label, features).orderBy("round").collect()]  # a row per round
                 if best_iteration(trace, patience) + patience <= number:
                     break
         some = sorted(draw.sample(range(len(ends)), max(1, round(columns * len(ends))))) if ends else []
-        gradient = rows.select("b", (_predicted(model, written) - F.col("y")).alias("g"))
+        gradient = rows.select("b", "n", (F.col("n") * _predicted(model, written) - F.col("s")).alias("g"))
         model.roots.append(model.add(0))
         _grow(gradient, model, ends, some, max_depth, rate, penalty, least)
         if len(model.depth) > MOST_NODES:
@@ -146,7 +150,7 @@ def _predicted(model: SparseTrees, written: int) -> Column:
 
 
 def _grow(gradient: DataFrame, model: SparseTrees, ends: Sequence[Sequence[float]], some: Sequence[int], max_depth: int, rate: float, penalty: float, least: float) -> None:
-    """The last tree, level by level; gradients ``g`` of rows with bins ``b`` stay the same for all of its levels."""
+    """The last tree, level by level; gradients ``g`` of the ``n`` rows with bins ``b`` stay the same for all of its levels."""
     tree = len(model.roots) - 1
     level = [model.roots[tree]]
     while level:
@@ -154,9 +158,9 @@ def _grow(gradient: DataFrame, model: SparseTrees, ends: Sequence[Sequence[float
         after: list[int] = []
         for begin in range(0, len(level), each):
             nodes = level[begin:begin + each]
-            here = gradient.select("g", "b", F.get(model.leaves(F.col("b"), True, tree, 1), F.lit(0)).alias("node")).filter(F.col("node").between(nodes[0], nodes[-1]))
+            here = gradient.select("g", "n", "b", F.get(model.leaves(F.col("b"), True, tree, 1), F.lit(0)).alias("node")).filter(F.col("node").between(nodes[0], nodes[-1]))
             cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col("b")[k].alias("bin")) for k in some], F.struct(F.lit(-1).alias("k"), F.lit(0).alias("bin")))
-            sums = here.select("node", "g", F.explode(cells).alias("c")).groupBy("node", "c.k", "c.bin").agg(F.sum("g").alias("g"), F.count("*").cast("double").alias("h"))
+            sums = here.select("node", "g", "n", F.explode(cells).alias("c")).groupBy("node", "c.k", "c.bin").agg(F.sum("g").alias("g"), F.sum("n").cast("double").alias("h"))
             table: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
             for r in sums.collect():  # SUMS rows at most
                 table.setdefault(r["node"], {}).setdefault(r["k"], {})[r["bin"]] = (r["g"], r["h"])
