@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wideframe.functions.arrays import bound
 from wideframe.operators.columns import quoted
 
 # Lower-case spellings that mean "no value" in label columns.
@@ -123,15 +124,16 @@ def parsed_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Timestamp of a date in one of the formats, else null.
 
     A text is only parsed with a format whose shape it has: a failed parse is an exception in the
-    engine and costs far more than a regex. What then is no date is looked at in ``DATE_SPELLINGS``.
+    engine and costs far more than a regex. What then is no date is looked at in ``DATE_SPELLINGS``. Which reading a text has
+    is found once, not once per format, and a text without one is tried with no format.
     """
     shape = "|".join(f"(?:{format_shape(f)})" for f in formats)
     plain = text
     for pattern, reading in DATE_SPELLINGS:
         plain = F.regexp_replace(plain, pattern, reading)
-    known = F.when(text.rlike(shape) | ~text.rlike(DATE_SPELLING), text).otherwise(plain)
-    tried = [F.when(known.rlike(format_shape(f)), F.try_to_timestamp(known, F.lit(f))) for f in formats]
-    return F.coalesce(*tried)
+    known = F.when(text.rlike(shape), text).when(text.rlike(DATE_SPELLING), plain)
+    return bound(known, lambda k: F.when(k.isNotNull(), F.coalesce(
+        *[F.when(k.rlike(format_shape(f)), F.try_to_timestamp(k, F.lit(f))) for f in formats])))
 
 
 def biweek(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:

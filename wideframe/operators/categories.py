@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wideframe.operators.columns import quoted
@@ -28,7 +29,7 @@ MAX_DUMMY_COLUMNS = 5_000
 def column_labels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct ``(column, label)`` pairs without nulls. Duplicates fall away before the shuffle."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("label")) for c in cols])
-    return df.select(F.inline(F.filter(pairs, lambda p: p["label"].isNotNull()))).distinct()
+    return df.select(F.inline(pairs)).filter(F.col("label").isNotNull()).distinct()
 
 
 @dataclass
@@ -165,16 +166,28 @@ def one_hot_long(df: DataFrame, cols: Sequence[str], row_id: Sequence[str],
                  dictionary: CategoryDictionary | None = None, drop_first: bool = False) -> DataFrame:
     """Dummies as ``(row id, feature, value)`` triples, for any number of labels.
 
-    Without a dictionary every label counts, which needs no statistics and no shuffle.
+    Without a dictionary every label counts, which needs no statistics and no shuffle. With one, columns with at most
+    ``MAP_LABELS`` labels are looked up in literals, and only the others are joined.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("label")) for c in cols])
-    long = df.select(*row_id, F.inline(F.filter(pairs, lambda p: p["label"].isNotNull())))
-    if dictionary is not None:
-        entries = dictionary.entries.filter(F.col("code") >= int(drop_first)).select("column", "label")
-        total = sum(dictionary.sizes().values())
-        long = long.join(broadcast_if_small(entries, total, sum(dictionary.bytes().values())), ["column", "label"], "left_semi")
-    name = F.concat("column", F.lit(DUMMY_SEP), "label")
-    return long.select(*row_id, name.alias("feature"), F.lit(1.0).alias("value"))
+    def long(names: Sequence[str], labels: Sequence[Column]) -> DataFrame:
+        cells = df.select(*row_id, F.posexplode(F.array(*labels)).alias("__cell", "label")).filter(F.col("label").isNotNull())
+        return cells.select(*row_id, F.get(F.array(*[F.lit(c) for c in names]), F.col("__cell")).alias("column"), "label")
+
+    def triples(rows: DataFrame) -> DataFrame:
+        return rows.select(*row_id, F.concat("column", F.lit(DUMMY_SEP), "label").alias("feature"), F.lit(1.0).alias("value"))
+
+    texts = {c: quoted(c).cast("string") for c in cols}
+    if dictionary is None:
+        return triples(long(list(texts), list(texts.values())))
+    sizes, entries = dictionary.sizes(), dictionary.entries.filter(F.col("code") >= int(drop_first))
+    few = [c for c in texts if sizes.get(c, 0) <= MAP_LABELS]
+    found = CategoryDictionary(entries.filter(F.col("column").isin(*few)), tuple(few)).labels(MAP_LABELS * max(1, len(few))) if few else {}
+    parts = [long(few, [F.when(texts[c].isin(*found[c]), texts[c]) for c in few])] if few else []
+    many = [c for c in texts if c not in found]
+    if many:
+        known = broadcast_if_small(entries.filter(F.col("column").isin(*many)).select("column", "label"), sum(sizes[c] for c in many), sum(dictionary.bytes()[c] for c in many))
+        parts.append(long(many, [texts[c] for c in many]).join(known, ["column", "label"], "left_semi"))
+    return triples(reduce(DataFrame.unionByName, parts))
 
 
 def dummy_vector(df: DataFrame, dictionary: CategoryDictionary, output: str = "dummies", drop_first: bool = False,

@@ -205,7 +205,7 @@ def encode_raw(df: DataFrame, cfg: FeatureConfig, staged: bool = True) -> Featur
     unconditional, nulls become zero and no outliers are dropped."""
     shaped = _date_labels(shape(df, cfg, drop=True, conditional_delta=False), cfg, drop=True)
     shaped = stage(shaped, "shaped") if staged else shaped
-    return fit_features(shaped, cfg, fill="zero", outliers=False).transform(shaped)
+    return replace(fit_features(shaped, cfg, fill="zero", outliers=False).transform(shaped), complete=True)
 
 
 def shape_to_csv(df: DataFrame, cfg: FeatureConfig, path: str) -> None:

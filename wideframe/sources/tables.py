@@ -150,14 +150,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def to_sparse_long(df: DataFrame, features: Sequence[str], row_id: Sequence[str] | str) -> DataFrame:
     """Non-zero cells as ``(row id, feature, value)`` triples: the exchange form of a sparse matrix.
 
-    Null cells count as zero. A map-side explode; no shuffle.
+    Null cells count as zero. A map-side explode; no shuffle. Rows become arrays of plain doubles, and a cell gets its name
+    once it is known to stay: an array of named cells would be filtered cell by cell by an interpreted function.
     """
     keys = [row_id] if isinstance(row_id, str) else list(row_id)
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in features
-    ])
-    kept = F.filter(cells, lambda cell: F.coalesce(cell["value"], F.lit(0.0)) != 0.0)
-    return df.select(*keys, F.inline(kept))
+    cells = df.select(*keys, F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in features])).alias("__cell", "value"))
+    kept = cells.filter(F.coalesce("value", F.lit(0.0)) != 0.0)
+    return kept.select(*keys, F.get(F.array(*[F.lit(c) for c in features]), F.col("__cell")).alias("feature"), "value")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
