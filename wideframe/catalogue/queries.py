@@ -1053,9 +1053,9 @@ def feature_model_round_trip(spark, sf):
     """The feature matrix by a model that was fitted, saved as a pipeline stage, and read again."""
     season = fx.season_wide(spark, sf)
     path = staged_path(spark, "feature-model")
-    PipelineModel([saved.FeatureEstimator(cfg=SEASON).fit(season)]).write().overwrite().save(path)
+    shaped = stage(plan.shape(plan.clean(season, SEASON), SEASON, drop=True), "shaped")  # read by the fits and by the transformation
+    PipelineModel([saved.FeatureEstimator(cfg=SEASON).fit_shaped(shaped)]).write().overwrite().save(path)
     fitted = PipelineModel.load(path).stages[0].fitted
-    shaped = plan.shape(plan.clean(season, SEASON), SEASON, drop=True)
     return rounded(fitted.transform(shaped, drop_outliers=True).long(), 3)
 
 

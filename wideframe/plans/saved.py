@@ -148,4 +148,8 @@ class FeatureEstimator(Estimator, HasOutputCol):
     def _fit(self, dataset: DataFrame) -> FeatureTransformer:
         shaped = shape(clean(dataset, self.cfg), self.cfg, drop=True)
         shaped = stage(shaped, "shaped") if self.getOrDefault(self.staged) else shaped
+        return self.fit_shaped(shaped)
+
+    def fit_shaped(self, shaped: DataFrame) -> FeatureTransformer:
+        """What ``fit`` learns, from rows that went through ``clean`` and ``shape`` already, for callers that need those too."""
         return FeatureTransformer(fit_features(shaped, self.cfg), self.getOutputCol())
