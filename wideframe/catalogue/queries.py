@@ -762,8 +762,8 @@ def feature_set_round_trip(spark, sf):
 @query
 def model_round_trip(spark, sf):
     """A pipeline with its dictionary saved and loaded: rows whose prediction is unchanged, and the evaluator's score."""
-    full = stage(fx.learn(spark, sf).select(*fx.LEARN_KEY, *[c for c in NUMERIC if c not in fx.LEARN_KEY], "y"), "learn")
-    pipeline, _ = categories.feature_pipeline(full, NUMERIC)
+    full = stage(fx.learn(spark, sf).select(*fx.LEARN_KEY, *[c for c in NUMERIC if c not in fx.LEARN_KEY], *LABELS, "y"), "learn")
+    pipeline, _ = categories.feature_pipeline(full, NUMERIC, LABELS, scale=True)
     vectors = pipeline.transform(full)
     model = models.boosted("y", maxIter=2, maxDepth=3).fit(vectors)
     path = staged_path(spark, "pipeline")
@@ -852,6 +852,7 @@ def whatif_curve(spark, sf):
 # prediction, errors below those of the mean.
 
 NUMERIC = ["l_quantity", "p_size", "l_discount", "l_tax", "p_retailprice"]
+LABELS = ["l_returnflag", "l_linestatus", "p_brand"]
 
 
 def _learn_vectors(spark, sf) -> DataFrame:
